@@ -3,11 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boxloom.llm import minhash
-from boxloom.llm.common import as_table
+from boxloom.llm import contamination, maintext, minhash, piececount, pitmanyor, tokenfiles
+from boxloom.llm.common import as_table, new_path
 
-ORACLES: dict[str, str] = {}
+#: Id that ends each document in op1 (a fixed value of the contract).
+END_ID = 2
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, and what reading them back gives."""
+    path = new_path(spark, "tokens")
+    tokenfiles.write_tokens(as_table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), END_ID)
+    return tokenfiles.read_checksums(spark, path)
+
+
+def op2_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pieces of every document by greedy longest match."""
+    return piececount.piece_counts(as_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,4 +36,39 @@ def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(as_table(spark, sf_dir, "documents"), minhash.MinMax(shingle=4))
 
 
-QUERIES = {"op3_minmax_dedup": op3_minmax_dedup}
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return maintext.extract(as_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that lie in ten-word windows of benchmark items."""
+    found = contamination.contamination(as_table(spark, sf_dir, "documents"), as_table(spark, sf_dir, "benchmark"), 10)
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return pitmanyor.scores(as_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_piece_counts, op3_minmax_dedup, op6_main_text, op9_contamination, op10_pitman_yor)}
+
+#: Fixed patterns of op9 in SQL: what parts words.
+_OP9_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLES: dict[str, str] = {
+    "op9_contamination": rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_OP9_GAP}'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_OP9_GAP}'), lambda x: x <> '') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS p FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, lens WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item, i, dw.n FROM dw JOIN win ON dw.n = win.n AND dw.p = win.p),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS pos FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)""",
+}
