@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import contamination, maintext, minhash, piececount, pitmanyor, tokenfiles
+from boxloom.llm import contamination, embeddedup, maintext, minhash, mixing, personal, piececount, pitmanyor, quality, tokenfiles
 from boxloom.llm.common import as_table, new_path
 
 #: Id that ends each document in op1 (a fixed value of the contract).
@@ -36,11 +36,33 @@ def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(as_table(spark, sf_dir, "documents"), minhash.MinMax(shingle=4))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label at cosine 0.93."""
+    return embeddedup.near_vectors(as_table(spark, sf_dir, "embeddings"))
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document when sources are mixed 3, 1, 2 to one and a half times all words."""
+    return mixing.allotted(as_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    spans = personal.personal_spans(as_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.k = {k})) as bigint)").alias(f"n_{kind}") for k, kind in enumerate(personal.KINDS[:4])]
+    return spans.select("doc_id", *counts, F.sha2(personal.listed("base"), 256).alias("base_sha256"), personal.listed("spans").alias("spans"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return maintext.extract(as_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the weak-label classifier."""
+    return quality.classified(as_table(spark, sf_dir, "documents")).select("doc_id", "quality_score", "keep")
+
+
 def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents that lie in ten-word windows of benchmark items."""
     found = contamination.contamination(as_table(spark, sf_dir, "documents"), as_table(spark, sf_dir, "benchmark"), 10)
@@ -53,12 +75,31 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitmanyor.scores(as_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_piece_counts, op3_minmax_dedup, op6_main_text, op9_contamination, op10_pitman_yor)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_piece_counts, op3_minmax_dedup, op4_embedding_dedup, op5_mix, op6_main_text, op7_personal_data, op8_quality, op9_contamination, op10_pitman_yor)}
 
 #: Fixed patterns of op9 in SQL: what parts words.
 _OP9_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLES: dict[str, str] = {
+    "op5_mix": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', 'mix', CAST(doc_id AS VARCHAR))) AS turn FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][(rank - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS most, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5e0 AS budget FROM s),
+l AS (SELECT *, row_number() OVER (ORDER BY most / weight, rank) AS place,
+  (budget - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, rank, source_size, budget, CASE WHEN most / weight < level THEN most ELSE least(most, weight * min_by(level, CASE WHEN most / weight < level THEN NULL ELSE place END) OVER ()) END AS target FROM l),
+r AS (SELECT d.*, t.rank, t.source_size, t.target, t.budget, sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY turn, doc_id, size) AS pos FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CASE WHEN target > 0 AND size > 0 THEN (copy * source_size + upto) / target END AS finish FROM r, (VALUES (0), (1)) c(copy)),
+m AS (SELECT *, sum(CASE WHEN finish IS NULL THEN 0 ELSE size END) OVER (ORDER BY finish NULLS LAST, rank, pos, copy ROWS UNBOUNDED PRECEDING) AS sofar FROM q)
+SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN finish IS NOT NULL AND sofar <= budget THEN size ELSE 0 END) AS BIGINT) AS taken
+FROM m GROUP BY doc_id, source, pos, size, source_size, target""",
+    "op4_embedding_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
     "op9_contamination": rf"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_OP9_GAP}'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_OP9_GAP}'), lambda x: x <> '') AS w FROM benchmark),
