@@ -23,6 +23,7 @@ from boxloom.llm.common import binary, small_batches
 GOOD, BAD, SILENT = 1, 0, 2
 _UPPER, _LOWER, _DIGITS = (bytes(range(a, b)) for a, b in ((0x41, 0x5B), (0x61, 0x7B), (0x30, 0x3A)))
 _PLAIN = bytes([*_UPPER, *_LOWER, *_DIGITS, *b" \t\n\v\f\r.,;:!?'\"()-", *range(0x80, 0x100)])
+_ODD = frozenset(b"#$%&*+/<=>@\\^_`|~")
 _ENDS = (b".", b"!", b"?", b'"', b":", b"\xe2\x80\xa6")
 
 
@@ -49,10 +50,12 @@ def measures(text: bytes, words: list[bytes]) -> dict[str, float]:
         "symbols": len(text.translate(None, _PLAIN)) / size,
         "capitals": caps / letters if letters >= 30 else 0.0,
         "bare": sum(1 for w in words if not w.strip(_OTHERS)) / n,
+        "tails": sum(1 for w in words if w[-1:] == w[-2:-1] and w[-1] in _ODD) / n,
+        "short": sum(1 for w in words if len(w) <= 4 and w.strip(_OTHERS) == w) / n if n >= 20 else 0.15,
         "repeats": sum(map(eq, words, words[1:])) / n,
         "variety": len(set(words)) / n**0.9,
         "length": (size - n) / n,
-        "ends": sum(1 for x in lines if x.endswith(_ENDS)) / max(1, len(lines)),
+        "ends": max(sum(1 for x in lines if x.endswith(_ENDS)) / max(1, len(lines)), 0.7 if len(lines) < 4 else 0.0),
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
         "shouts": (text.count(b"!!") + text.count(b"??")) / n,
     }
@@ -62,6 +65,8 @@ _OTHERS = bytes(b for b in range(128) if not (0x41 <= b <= 0x5A or 0x61 <= b <=
 #: (figure, bad from, good up to) or, with a minus sign, (figure, bad up to, good from); between them a labeller is silent.
 LABELLERS = (
     ("symbols", 0.10, 0.03),
+    ("tails", 0.15, 0.02),
+    ("-short", 0.08, 0.18),
     ("capitals", 0.50, 0.15),
     ("bare", 0.20, 0.05),
     ("repeats", 0.15, 0.03),
@@ -132,14 +137,14 @@ def accuracies(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.n
     share, table = 0.5, None
     for _ in range(rounds):
         share = np.clip((n * good).sum() / n.sum(), 1e-3, 1 - 1e-3)
-        table = np.empty((v.shape[1], 2, 3))
+        table = np.empty((v.shape[1], 2, 2))
         for j in range(v.shape[1]):
-            for k in range(3):
+            for k in (GOOD, BAD):
                 at = v[:, j] == k
                 table[j, GOOD, k] = (n[at] * good[at]).sum() + 1.0
                 table[j, BAD, k] = (n[at] * (1 - good[at])).sum() + 1.0
             table[j] /= table[j].sum(axis=1, keepdims=True)
-        logs = np.log(table)
+        logs = np.append(np.log(table), np.zeros((v.shape[1], 2, 1)), axis=2)  # silence says nothing
         j = np.arange(v.shape[1])
         up = np.log(share) + logs[j, GOOD, v].sum(axis=1)
         down = np.log(1 - share) + logs[j, BAD, v].sum(axis=1)
