@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from boxloom.plans import box_queries
+
+QUERIES: dict = dict(box_queries.QUERIES)
+ORACLES: dict = dict(box_queries.ORACLES)
