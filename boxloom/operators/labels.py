@@ -21,15 +21,12 @@ def parse_labels(lines: DataFrame, dialect: str = "strict", n_classes: int = 8,
         raise ValueError(f"dialect must be one of {DIALECTS}")
     parts = F.split(F.trim(F.col(line_col)), r"\s+")
     rows = lines.withColumn("_f", parts).where(F.size("_f") >= 5 if dialect == "lenient" else F.size("_f") == 5)
-    field = lambda k: F.get("_f", F.lit(k))
+    whole, number = ("cast({} as int)", "cast({} as double)") if dialect == "throwing" else ("try_cast({} as int)", "try_cast({} as double)")
     if dialect == "raw":
-        class_id: Column = F.expr("try_cast(try_cast(get(_f, 0) as double) as int)")
-    elif dialect == "throwing":
-        class_id = field(0).cast("int")
-    else:
-        class_id = F.expr("try_cast(get(_f, 0) as int)")
-    number = (lambda k: field(k).cast("double")) if dialect == "throwing" else (lambda k: F.expr(f"try_cast(get(_f, {k}) as double)"))
-    rows = rows.withColumn("class_id", class_id).withColumns({n: number(k + 1) for k, n in enumerate(("cx", "cy", "w", "h"))}).drop("_f")
+        whole = "try_cast(try_cast({} as double) as int)"
+    fields = [F.expr(whole.format("element_at(_f, 1)")).alias("class_id"), *(F.expr(number.format(f"element_at(_f, {k})")).alias(n) for k, n in enumerate(("cx", "cy", "w", "h"), 2))]
+    # inline() parses a line once; filters on its columns would otherwise repeat the parsing for every mention
+    rows = rows.select(*lines.columns, F.when(F.size("_f") >= 5, F.array(F.struct(*fields))).alias("_b")).select(*lines.columns, F.inline("_b"))
     if dialect != "throwing":
         rows = rows.where("class_id is not null and cx is not null and cy is not null and w is not null and h is not null")
     if dialect == "validated":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxloom.plans import box_queries, eval_queries, set_queries  # noqa: F401  they register their queries
+from boxloom.plans import box_queries, eval_queries, model_queries, set_queries  # noqa: F401  they register their queries
 
 QUERIES: dict = box_queries.QUERIES
 ORACLES: dict = box_queries.ORACLES
