@@ -257,13 +257,14 @@ def _(v):
 
 
 # ---------------------------------------------------------------- geometry
-_B = [F.col(c) for c in ("cx", "cy", "w", "h")]
+def _b():
+    return [F.col(c) for c in ("cx", "cy", "w", "h")]
 
 
 @query("g1_corners", "SELECT box_id, (cx - w / 2) * width AS x1, (cy - h / 2) * height AS y1, (cx + w / 2) * width AS x2, (cy + h / 2) * height AS y2 FROM fx_boxes JOIN fx_images USING (image_id)")
 def _(v):
     wide = v("fx_boxes").join(v("fx_images"), "image_id")
-    return wide.select("box_id", *(c.alias(n) for c, n in zip(g.corners(*_B, F.col("width"), F.col("height")), ("x1", "y1", "x2", "y2"), strict=True)))
+    return wide.select("box_id", *(c.alias(n) for c, n in zip(g.corners(*_b(), F.col("width"), F.col("height")), ("x1", "y1", "x2", "y2"), strict=True)))
 
 
 IOU_SQL = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
@@ -290,7 +291,7 @@ SELECT box_id, least(greatest(1 - (over_ - apart / diag - v / (1 - over_ + v + 1
 
 @query("g3_ciou_loss", _CIOU)
 def _(v):
-    p = [c * 416 for c in _B]
+    p = [c * 416 for c in _b()]
     t = [(F.col("cx") + (F.col("cents") % 7 - 3) / 50.0 * F.col("w")) * 416, p[1], F.col("w") * 0.9 * 416, F.col("h") * 1.1 * 416]
     return v("fx_boxes").select("box_id", g.ciou_loss(p, t, 416).alias("loss"))
 
@@ -298,7 +299,7 @@ def _(v):
 @query("g4_offsets", "SELECT box_id, (cx - 0.5e0) / 0.25e0 AS tx, (cy - 0.5e0) / 0.5e0 AS ty, ln(greatest(w, 1e-6) / 0.25e0) AS tw, ln(greatest(h, 1e-6) / 0.5e0) AS th, least(greatest(cx, -1e9), 1e9) AS bx, exp(least(greatest(ln(greatest(w, 1e-6) / 0.25e0), -8), 8)) * 0.25e0 AS bw FROM fx_boxes")
 def _(v):
     anchor = [F.lit(x) for x in (0.5, 0.5, 0.25, 0.5)]
-    off = g.encode(anchor, _B)
+    off = g.encode(anchor, _b())
     back = g.decode(anchor, off)
     return v("fx_boxes").select("box_id", *(c.alias(n) for c, n in zip([*off, back[0], back[2]], ("tx", "ty", "tw", "th", "bx", "bw"), strict=True)))
 
@@ -319,7 +320,7 @@ SELECT box_id, (x1 + x2) / 2 / width AS ncx, (y1 + y2) / 2 / height AS ncy, (x2
 @query("g6_rotate", _ROT)
 def _(v):
     wide = v("fx_boxes").join(v("fx_images"), "image_id")
-    box = g.rotated(*_B, (F.col("cents") % 21 - 10).cast("double"), F.col("width"), F.col("height"))
+    box = g.rotated(*_b(), (F.col("cents") % 21 - 10).cast("double"), F.col("width"), F.col("height"))
     return wide.select("box_id", *(c.alias(n) for c, n in zip(box, ("ncx", "ncy", "nw", "nh"), strict=True))).where("nw > 0 and nh > 0")
 
 
