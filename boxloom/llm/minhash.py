@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import WordHashes, binary, mixed, shingle_hashes, small_batches, stored, words_of
@@ -26,7 +26,8 @@ from boxloom.llm.graph import components
 
 @dataclass(frozen=True)
 class MinMax:
-    """Words in a shingle, least similarity in percent, bands, values in a band (a multiple of 2), seed, rounds with pivots."""
+    """Words in a shingle, least similarity in percent, bands, values in a band (a multiple of 2), seed, rounds with pivots, nodes
+    from which a bucket's last comparisons go by blocks, nodes in a block."""
 
     shingle: int = 5
     percent: int = 80
@@ -34,6 +35,8 @@ class MinMax:
     rows: int = 4
     seed: int = 7
     pivots: int = 3
+    crowd: int = 48
+    block: int = 256
 
     @property
     def permutations(self) -> int:
@@ -91,6 +94,60 @@ def _sets(config: MinMax):
     return run
 
 
+def _compare(config: MinMax):
+    """Links between the asking and the asked nodes of two blocks, from products of their 0/1 shingle matrices in slices."""
+
+    def run(table):
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        nodes, comps = table.column("node").to_pylist(), np.array(table.column("component").to_pylist())
+        sets = [np.asarray(x, np.int64) for x in table.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        q, t = np.flatnonzero(asks), np.flatnonzero(~asks)
+        out_a, out_b = [], []
+        if len(q) and len(t):
+            row = np.repeat(np.arange(len(sets)), sizes)
+            _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            keep = seen[at] > 1  # a shingle of one node is in no intersection
+            row, at = row[keep], np.unique(at[keep], return_inverse=True)[1]
+            order = np.argsort(at, kind="stable")
+            row, at = row[order], at[order]
+            both = np.zeros((len(q), len(t)), np.float32)
+            for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+                i, j = np.searchsorted(at, [lo, lo + 4096])
+                x = np.zeros((len(sets), 4096), np.float32)
+                x[row[i:j], at[i:j] - lo] = 1.0
+                both += x[q] @ x[t].T
+            inter = np.rint(both).astype(np.int64)
+            union = sizes[q][:, None] + sizes[t][None, :] - inter
+            a, b = np.nonzero((inter * 100 >= union * config.percent) & (comps[q][:, None] != comps[t][None, :]))
+            # one link from each asking node to each component is as good as all
+            _, first = np.unique(a * (len(sets) + 1) + np.unique(comps[t], return_inverse=True)[1][b], return_index=True)
+            out_a, out_b = [nodes[k] for k in q[a[first]]], [nodes[k] for k in t[b[first]]]
+        kind = table.schema.field("node").type
+        return pa.table({"a": pa.array(out_a, kind), "b": pa.array(out_b, kind)})
+
+    return run
+
+
+def _crowd_links(crowds: DataFrame, sets: DataFrame, config: MinMax) -> DataFrame:
+    """links(a, b) between nodes of different components in crowded buckets(band, node, component).
+
+    Buckets that share nodes form one group. Its nodes outside the group's largest component ask all others, block against block.
+    """
+    kind = crowds.schema["node"].dataType.simpleString()
+    ties = crowds.join(crowds.groupBy("band").agg(F.min("node").alias("head")), "band").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    groups = components(ties).select("node", F.col("component").alias("group"))
+    nodes = stored(crowds.select("node", "component").distinct().join(groups, "node"), "crowd")
+    main = nodes.groupBy("group", "component").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("few"))
+    main = main.select("group", "main", F.ceil(F.col("all") / config.block).cast("int").alias("nt"), F.ceil(F.col("few") / config.block).cast("int").alias("na")).where("na > 0")
+    placed = nodes.join(main, "group").join(sets, "node")
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    columns = ["group", "qa", "qt", "asks", "node", "component", "shingles"]
+    asking = placed.where("component <> main").withColumn("asks", F.lit(True)).withColumn("qa", spot("na")).withColumn("qt", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
+    asked = placed.withColumn("asks", F.lit(False)).withColumn("qt", spot("nt")).withColumn("qa", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
+    return asking.select(columns).union(asked.select(columns)).groupBy("group", "qa", "qt").applyInArrow(_compare(config), f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, config: MinMax = MinMax(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of docs.
 
@@ -114,12 +171,21 @@ def near_duplicates(docs: DataFrame, config: MinMax = MinMax(), id_col: str = "d
     sets = stored(read.join(wanted, "key").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b, na, nb) with enough in common; sizes alone rule many out before the sets are fetched."""
-        able = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * config.percent)
+        """Those of pairs(a, b, na, nb) that have enough in common, on their full sets."""
         left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        return able.join(left, "a").join(right, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * config.percent).select("a", "b")
-
+        return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * config.percent).select("a", "b")
+
+    def with_own(open_: DataFrame) -> DataFrame:
+        """Adds `own`, the shingles of a node that no other component holds; nodes that cannot link for want of shared ones go."""
+        nodes_left = open_.select("node", "component").distinct()
+        seen = nodes_left.join(sets, "node").select("node", "component", F.explode("shingles").alias("shingle"))
+        by = Window.partitionBy("shingle")
+        alone = seen.withColumn("lo", F.min("component").over(by)).withColumn("hi", F.max("component").over(by)).where("lo = hi").groupBy("node").agg(F.count("*").alias("own"))
+        return open_.join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where((F.col("n") - F.col("own")) * 100 >= F.col("n") * config.percent)
+
+    # Two nodes of different components share none of their own shingles, so what they can have in common has this bound.
+    able = (F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob")) * 100 >= F.greatest(F.col("na") + F.col("ob"), F.col("nb") + F.col("oa")) * config.percent) & (F.col("ca") != F.col("cb"))
     links, tried = None, None
     comp = members.select("node", F.col("node").alias("component")).distinct()
     for step in range(config.pivots + 1):
@@ -128,13 +194,20 @@ def near_duplicates(docs: DataFrame, config: MinMax = MinMax(), id_col: str = "d
         open_ = stored(open_.join(mixed_up, "band"), "open")
         if open_.isEmpty():
             break
-        b = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+        open_ = open_.withColumn("own", F.lit(0)) if step == 0 else stored(with_own(open_), "able")
+        b = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("own").alias("ob"))
         if step < config.pivots:
-            pivot = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(step), "node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))).alias("p"))
-            pairs = pivot.select("band", "p.a", "p.na", "p.ca").join(b, "band").where("ca <> cb")
+            pivot = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(step), "node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("own").alias("oa"))).alias("p"))
+            a = pivot.select(F.col("band").alias("band_a"), "p.a", "p.na", "p.ca", "p.oa")
+            pairs = a.join(b, (F.col("band_a") == F.col("band")) & able)
         else:
-            a = open_.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            pairs = a.join(b, "band").where("ca <> cb and a < b")
+            width = open_.groupBy("band").agg(F.count("*").alias("width"))
+            crowds = open_.join(width.where(F.col("width") > config.crowd).select("band"), "band")
+            crowded = stored(_crowd_links(crowds, sets, config), "crowded")
+            links = crowded if links is None else links.union(crowded)
+            open_, b = (d.join(width.where(F.col("width") <= config.crowd).select("band"), "band") for d in (open_, b))
+            a = open_.select(F.col("band").alias("band_a"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("own").alias("oa"))
+            pairs = a.join(b, (F.col("band_a") == F.col("band")) & (F.col("a") < F.col("b")) & able)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
