@@ -9,7 +9,10 @@ a name of their own, and what a lost or repeated attempt left behind is never re
 
 from __future__ import annotations
 
+import os
+import sys
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,6 @@ from boxloom.llm.common import small_batches
 
 #: Stands for a null id in an .idx file (a fixed value).
 NULL_ID = -(2**63)
-#: Words whose ids are kept at hand in a worker; beyond it the store starts anew, so memory is bounded.
-MOST_WORDS = 400_000
-
-_tokenizers: dict = {}
 
 
 def filesystem(uri: str):
@@ -35,31 +34,91 @@ def filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
+#: Words whose ids a worker keeps at hand, over all its tasks; beyond it the store starts anew, so memory is bounded.
+MOST_WORDS = 1_000_000
+#: Marks tokens that end a word (a fixed value of such vocabularies).
+WORD_END = "</w>"
+
+_stores: dict = {}
+
+
 class WordIds:
-    """Ids of a text as bytes. The tokenizer never joins what a space or line feed parts, so distinct words are encoded once."""
+    """Ids of texts as bytes.
 
-    def __init__(self, vocabulary: str, dtype):
+    A tokenizer that drops blanks never joins what a space or line feed parts; for one like that, distinct words are encoded once.
+    Words of letters alone are encoded many at a time: each ends in one token that the vocabulary marks as a word's end, which
+    parts them again, and should their number ever differ, the words go one by one. Other tokenizers encode whole texts.
+    """
+
+    def __init__(self, vocabulary: str, bits: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        if vocabulary not in _tokenizers:
-            _tokenizers[vocabulary] = Tokenizer.from_file(vocabulary)
-        self.tokenizer, self.dtype, self.known = _tokenizers[vocabulary], dtype, {"": b""}
+        self.tokenizer, self.type, self.known = Tokenizer.from_file(vocabulary), {16: "H", 32: "I"}[bits], {"": b""}
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.by_word = all(one(f"{a} {b}\n{a}") == one(a) + one(b) + one(a) for a, b in (("ab", "cd"), ("x.", "'s"), (",", "9")))
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.ends[[k for w, k in words.items() if w.endswith(WORD_END)]] = True
+
+    def pack(self, ids: list[int]) -> bytes:
+        out = array(self.type, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lists = [text.replace("\n", " ").split(" ") for text in texts]
+        if len(self.known) > MOST_WORDS:
+            self.known = {"": b""}
+        words: set[str] = set()
+        for some in lists:
+            words.update(some)
+        self.learn(words.difference(self.known))
+        return [b"".join(map(self.known.__getitem__, some)) for some in lists]
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes new words. A closing comma or full stop after letters is always a token apart."""
+        letters, closed, rest = [], [], []
+        for w in words:
+            if w.isalpha():
+                letters.append(w)
+            elif w[-1] in ",." and w[:-1].isalpha():
+                closed.append(w)
+            else:
+                rest.append(w)
+        letters += {w[:-1] for w in closed}.difference(self.known, words)
+        rest += [p for p in ",." if p not in self.known and p not in words]
+        lots = [letters[at : at + 400] for at in range(0, len(letters), 400)]
+        width = array(self.type).itemsize
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast([" ".join(lot) for lot in lots], add_special_tokens=False), strict=True):
+            ids = e.ids
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(lot) or not ids or stops[-1] != len(ids):
+                rest += lot
+                continue
+            data, places = self.pack(ids), (stops * width).tolist()
+            self.known.update(zip(lot, [data[i:j] for i, j in zip([0, *places], places, strict=False)], strict=True))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[w] = self.pack(e.ids)
+        for w in closed:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+
 
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if new := list({w for w in words if w not in self.known}):
-            if len(self.known) > MOST_WORDS:
-                self.known = {"": b""}
-                new = list(set(words) - {""})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+def word_ids(vocabulary: str, bits: int) -> WordIds:
+    """A worker's store, which its later tasks go on with."""
+    if (vocabulary, bits) not in _stores:
+        _stores.clear()
+        _stores[vocabulary, bits] = WordIds(vocabulary, bits)
+    return _stores[vocabulary, bits]
 
 
 def _writer(path: str, vocabulary: str, end_id: int, bits: int):
     def run(batches):
-        ids = WordIds(vocabulary, f"<u{bits // 8}")
-        end = np.array([end_id], ids.dtype).tobytes()
+        ids = word_ids(vocabulary, bits)
+        end = ids.pack([end_id])
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"
         fs, root = filesystem(path)
@@ -70,8 +129,8 @@ def _writer(path: str, vocabulary: str, end_id: int, bits: int):
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}.bin", buffer_size=1 << 20)
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = ids.encode(text or "") + end
+            for doc, data in zip(batch.column(0).to_pylist(), ids.encode([text or "" for text in batch.column(1).to_pylist()]), strict=True):
+                data += end
                 out.write(data)
                 docs.append(NULL_ID if doc is None else doc)
                 ends.append(ends[-1] + len(data) * 8 // bits)
