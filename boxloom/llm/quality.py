@@ -95,19 +95,23 @@ _RUNS = re.compile(r"(.)\1+")
 class Features:
     """Hashed features: of each word its shape, first and last three bytes; of the text its measures in steps."""
 
-    def __init__(self, buckets: int, most: int = 300_000):
+    def __init__(self, buckets: int, most: int = 200_000):
         self.buckets, self.most, self.known = buckets, most, {}
 
     def _slot(self, name: bytes) -> int:
         return xxhash.xxh32_intdigest(name) % self.buckets
 
+    def made(self, word: bytes) -> tuple[int, int, int]:
+        """Features of a word, not kept at hand."""
+        shape = _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:60].decode("utf-8", "replace")))
+        return self._slot(b"s" + shape.encode()), self._slot(b"p" + word[:3]), self._slot(b"e" + word[-3:])
+
     def of_word(self, word: bytes) -> tuple[int, int, int]:
         got = self.known.get(word)
         if got is None:
             if len(self.known) > self.most:
                 self.known = {}
-            shape = _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:60].decode("utf-8", "replace")))
-            self.known[word] = got = (self._slot(b"s" + shape.encode()), self._slot(b"p" + word[:3]), self._slot(b"e" + word[-3:]))
+            self.known[word] = got = self.made(word)
         return got
 
     def of_text(self, m: dict[str, float]) -> list[int]:
@@ -206,7 +210,7 @@ def _scored(shared, config: Quality, names: list[str], text_col: str):
                 if len(known) > features.most:
                     known = {}
                 for w in {w for w in words if w not in known}:
-                    known[w] = sum(weights[f] for f in features.of_word(w))
+                    known[w] = sum(weights[f] for f in features.made(w))
                 z = sum(map(known.__getitem__, words)) / len(words) + 0.5 * sum(weights[f] for f in features.of_text(measures(text, words))) + weights[-1]
                 out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in names), pa.array(out, pa.float64())], [*names, "quality_score"])
