@@ -1,15 +1,19 @@
 """Language-model scores from a hierarchical Pitman-Yor model (operator 10).
 
-One restaurant serves words. Its base measure spells a word character by character, by a hierarchy of restaurants: each pair of
-preceding characters has one, those that end in the same character share a parent, and all parents share the root. A table of the
-word restaurant is a customer of the spelling restaurants, and a table of a child is a customer of its parent.
-
-Gibbs sweeps seat all customers anew, given the table totals of the last sweep. Words are seated where Spark keeps them. Characters
-outside the `symbols` most frequent ones share one symbol, so the spelling counts are a cube of at most (symbols + 2)^3 numbers
-whatever the corpus, and only that cube meets on the driver. Sweeps after `burn_in` are averaged into the predictive probability.
-
-Texts are read once. A chunk of documents becomes word counts over its own word list; the lists meet the corpus table in joins, so
-a frequent word costs a row per chunk, not per occurrence.
+Each word has a restaurant for the words that follow it; the end token stands before a text's first word and after its last. A
+table of such a context restaurant is a customer of the one word restaurant, their parent. The base measure of the word restaurant
+spells words character by character, by a hierarchy of restaurants: each pair of preceding characters has one, those that end in the
+same character share a parent, and all parents share the root. A table of the word restaurant is a customer of the spelling
+restaurants, and a table of a child is a customer of its parent.
+
+Gibbs sweeps seat all customers anew, given the table totals of the last sweep. Pairs and words are seated where Spark keeps them; a
+pair seen once has one table in every sweep, so only pairs seen again are rows. Characters outside the `symbols` most frequent ones
+share one symbol, so the spelling counts are a cube of at most (symbols + 2)^3 numbers whatever the corpus, and only that cube meets
+on the driver. Sweeps after `burn_in` are averaged into the predictive probability.
+
+Texts are read once. A chunk of documents becomes sequences over its own word list, and its distinct pairs with their counts, packed
+by bucket of the pair's hash; lists and pairs meet the corpus in joins, so a frequent pair costs an entry per chunk, not per
+occurrence.
 """
 
 from __future__ import annotations
@@ -23,18 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import binary, new_path, small_batches, stored, words_of
+from boxloom.llm.common import binary, mixed, new_path, small_batches, stored, words_of
 
 
 @dataclass(frozen=True)
 class PitmanYor:
-    """Sweeps, those not averaged, most frequent characters with a symbol of their own, strengths and spelling discounts by context length, base share of the end token, seed, tokens and words in a chunk."""
+    """Sweeps, those not averaged, most frequent characters with a symbol of their own, strengths of words, spellings and context restaurants, spelling discounts by context length, base share of the end token, seed, tokens and words in a chunk."""
 
     sweeps: int = 5
     burn_in: int = 2
     symbols: int = 110
     strength: float = 10.0
     spelling_strength: float = 2.0
+    context_strength: float = 2.0
     spelling_discounts: tuple = (0.1, 0.4, 0.6)
     end_share: float = 1e-3
     seed: int = 5
@@ -46,6 +51,8 @@ class PitmanYor:
 END, OTHER = 0, 1
 #: Code points that share OTHER evenly (a fixed value of Unicode).
 CODE_POINTS = 0x110000
+#: The end token as a word (no word of a text is empty), the seed of Spark's xxhash64, and the leading bits of a pair's hash that name its bucket (fixed values).
+END_WORD, HASH_SEED, BUCKET_BITS = b"", 42, 10
 
 
 class _Index(dict):
@@ -54,44 +61,149 @@ class _Index(dict):
         return n
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Spark's xxhash64 of each word, unsigned."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed=HASH_SEED) for w in words), np.uint64, len(words))
+
+
+def pair_hashes(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(mixed(u + np.uint64(0x9E3779B97F4A7C15)) + w)
+
+
+def _chunk_pairs(sequences: list[np.ndarray], held: np.ndarray, hashes: np.ndarray):
+    """(numbers of the pair's two words, its hash, count in training documents) of a chunk's distinct pairs, in the order of the hash."""
+    sizes = np.fromiter((len(x) + 1 for x in sequences), np.int64, len(sequences))
+    before, after = np.zeros(sizes.sum(), np.int64), np.zeros(sizes.sum(), np.int64)
+    if len(sequences):
+        all_ = np.concatenate(sequences)
+        ends = np.cumsum(sizes) - 1
+        inner = np.ones(len(after), bool)
+        inner[ends] = False
+        after[inner] = all_
+        inner = np.ones(len(before), bool)
+        inner[ends - sizes + 1] = False
+        before[inner] = all_
+    keys, at = np.unique(before << 32 | after, return_inverse=True)
+    n = np.bincount(at, np.repeat(~held, sizes), len(keys)).astype(np.int64)
+    u, w = keys >> 32, keys & 0xFFFFFFFF
+    h = pair_hashes(hashes[u], hashes[w])
+    order = np.argsort(h, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return u[order], w[order], h[order], n[order], rank[at], sizes
+
+
 def _chunked(config: PitmanYor):
-    """Documents as counts over their chunk's words, then the chunk's words with their counts in training documents."""
+    """Documents as word numbers of their chunk, then the chunk's words and its pairs by bucket, with their counts in training documents."""
 
     def run(batches):
         names = ["kind", "chunk", "id", "held_out", "at", "n", "word", "words", "counts"]
         types = [pa.string(), pa.int64(), None, pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        chunk, index, train, seen, kind = TaskContext.get().partitionId() << 24, _Index(), np.zeros(1024, np.int64), 0, pa.int64()
+        chunk, index, train, seen, kind = TaskContext.get().partitionId() << 24, _Index({END_WORD: 0}), np.zeros(1024, np.int64), 0, pa.int64()
+        sequences, held_out = [], []
+
+        def rows(n, columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t or kind) if c in columns else pa.nulls(n, t or kind) for c, t in zip(names, types, strict=True)], names)
 
-        def words():
+        def closed():
             listed = list(index)
             for at in range(0, len(listed), 50_000):
                 some = listed[at : at + 50_000]
                 n = len(some)
-                columns = {"kind": ["word"] * n, "chunk": [chunk] * n, "at": np.arange(at, at + n, dtype=np.int32), "n": train[at : at + n], "word": some}
-                yield pa.RecordBatch.from_arrays([pa.array(columns[c], t or kind) if c in columns else pa.nulls(n, t or kind) for c, t in zip(names, types, strict=True)], names)
+                yield rows(n, {"kind": ["word"] * n, "chunk": [chunk] * n, "at": np.arange(at, at + n, dtype=np.int32), "n": train[at : at + n], "word": some})
+            hashes = _hashes(listed)
+            u, w, h, n, _, _ = _chunk_pairs(sequences, np.array(held_out, bool), hashes)
+            edges = np.searchsorted(h >> np.uint64(64 - BUCKET_BITS), np.arange(2**BUCKET_BITS + 1, dtype=np.uint64))
+            live = np.flatnonzero(np.diff(edges))
+            parts = [slice(edges[k], edges[k + 1]) for k in live]
+            for at in range(0, len(live), 100):
+                some = parts[at : at + 100]
+                yield rows(len(some), {"kind": ["pair"] * len(some), "chunk": [chunk] * len(some), "at": live[at : at + 100].astype(np.int32), "words": [np.stack([hashes[u[x]], hashes[w[x]]]).tobytes() for x in some], "counts": [n[x].astype("<i4").tobytes() for x in some]})
 
         for batch in batches:
             kind = batch.column(0).type
-            sizes, lists, counts = [], [], []
-            for text, held in zip(binary(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            held = batch.column(2).to_pylist()
+            lists = []
+            for text, out in zip(binary(batch.column(1)), held, strict=True):
                 own = words_of(text)
-                ids, c = np.unique(np.fromiter(map(index.__getitem__, own), np.int32, len(own)), return_counts=True)
+                ids = np.fromiter(map(index.__getitem__, own), np.int32, len(own))
                 if len(index) > len(train):
                     train = np.concatenate([train, np.zeros(max(len(train), len(index)), np.int64)])
-                if not held:
-                    train[ids] += c
+                if not out:
+                    np.add.at(train, ids, 1)
+                    train[0] += 1
                 seen += len(own)
-                sizes.append(len(own))
-                lists.append(ids.astype("<i4").tobytes())
-                counts.append(c.astype("<i4").tobytes())
-            n = len(sizes)
-            columns = {"kind": pa.array(["doc"] * n), "chunk": pa.array([chunk] * n, pa.int64()), "id": batch.column(0), "held_out": batch.column(2), "n": pa.array(sizes, pa.int64()), "words": pa.array(lists, pa.binary()), "counts": pa.array(counts, pa.binary())}
-            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t or kind) for c, t in zip(names, types, strict=True)], names)
+                lists.append(ids)
+            sequences += lists
+            held_out += held
+            n = len(lists)
+            yield rows(n, {"kind": ["doc"] * n, "chunk": [chunk] * n, "id": batch.column(0), "held_out": batch.column(2), "n": [len(x) for x in lists], "words": [x.astype("<i4").tobytes() for x in lists]})
             if seen > config.chunk_tokens or len(index) > config.chunk_words:
-                yield from words()
-                chunk, index, train, seen = chunk + 1, _Index(), np.zeros(1024, np.int64), 0
-        if index:
-            yield from words()
+                yield from closed()
+                chunk, index, train, seen = chunk + 1, _Index({END_WORD: 0}), np.zeros(1024, np.int64), 0
+                sequences, held_out = [], []
+        if sequences:
+            yield from closed()
+
+    return run
+
+
+def _unpacked(table: pa.Table):
+    """Per row of packed pairs, its hashes of both words (2 x n) and counts."""
+    return [(np.frombuffer(x, "<u8").reshape(2, -1), np.frombuffer(c, "<i4")) for x, c in zip(table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Pairs of a bucket seen again as (u, w, c); of those seen once, how many begin (u, null, c) and end (null, w, c) with a word."""
+    parts = _unpacked(table)
+    uw, n = np.concatenate([x for x, _ in parts], axis=1), np.concatenate([c for _, c in parts])
+    _, first, at = np.unique(pair_hashes(uw[0], uw[1]), return_index=True, return_inverse=True)
+    c = np.bincount(at, n, len(first)).astype(np.int64)
+    uw = uw[:, first].view(np.int64)
+    again, once = c > 1, c == 1
+    (us, nu), (ws, nw) = (np.unique(uw[k, once], return_counts=True) for k in (0, 1))
+    m = int(again.sum())
+    total = m + len(us) + len(ws)
+    return pa.table({
+        "bucket": pa.array(np.full(total, table.column("at")[0].as_py(), np.int32)),
+        "u": pa.concat_arrays([pa.array(uw[0, again]), pa.array(us), pa.nulls(len(ws), pa.int64())]),
+        "w": pa.concat_arrays([pa.array(uw[1, again]), pa.nulls(len(us), pa.int64()), pa.array(ws)]),
+        "c": pa.array(np.concatenate([c[again], nu, nw]).astype(np.int64)),
+    })
+
+
+def _seat_pairs(config, sweep: int, discount: float, keep: bool):
+    """Seats a batch of pairs seen again, given the last sweep's tables of their context and probability of their word."""
+
+    def run(batches):
+        for batch in batches:
+            u, w, c, tables, p = (batch.column(k).to_numpy() for k in (1, 2, 3, 5, 6))
+            t = tables_served(c, (config.context_strength + discount * tables) * p, discount, _seed(config, sweep, [u.tobytes(), w.tobytes()]))
+            ts = [[*x, y] for x, y in zip(batch.column(4).to_pylist(), t.tolist(), strict=True)] if keep else batch.column(4)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ts, pa.list_(pa.int64())), pa.array(t)], ["bucket", "u", "w", "c", "ts", "t"])
+
+    return run
+
+
+def _masses(discount: float, samples: int):
+    """For each chunk's pairs of a bucket, customers less discounts in every sample, as floats in the order of the pair's hash."""
+
+    def run(packed: pa.Table, again: pa.Table) -> pa.Table:
+        parts = _unpacked(packed)
+        if not parts:
+            return pa.table({"chunk": pa.array([], pa.int64()), "at": pa.array([], pa.int32()), "words": pa.array([], pa.binary())})
+        keys, at = np.unique(np.concatenate([pair_hashes(*x) for x, _ in parts]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([n for _, n in parts]), len(keys))
+        t = np.ones((samples, len(keys)))
+        if again.num_rows:
+            u, w = (again.column(k).to_numpy().view(np.uint64) for k in ("u", "w"))
+            t[:, np.searchsorted(keys, pair_hashes(u, w))] = again.column("ts").combine_chunks().flatten().to_numpy().reshape(-1, samples).T
+        mass = np.maximum(c - discount * t, 0.0).astype("<f4")
+        edges = np.cumsum([0, *(len(n) for _, n in parts)])
+        blobs = [pa.compress(np.ascontiguousarray(mass[:, at[i:j]]).tobytes(), "zstd", asbytes=True) for i, j in zip(edges, edges[1:], strict=False)]
+        return pa.table({"chunk": packed.column("chunk"), "at": packed.column("at"), "words": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -175,82 +287,97 @@ def _seed(config: PitmanYor, sweep: int, words: list[bytes]):
     return np.random.default_rng([config.seed, sweep, len(words), xxhash.xxh64_intdigest(b"\n".join(words))])
 
 
-def _seat(config, shared, sweep: int, discount: float, pull: float):
-    """Seats a batch of words: the symbols of its tables' spellings, as (cell of the cube, tables), and the tables in all at cell -1."""
+def _base_logs(words: list[bytes], table: np.ndarray, cube, end_share: float) -> np.ndarray:
+    symbols, starts, pads = spelled(words, table)
+    logs = word_logs(symbols, starts, pads, cube) if cube is not None else np.full(len(words), -20.0)
+    return np.where(np.array([w == END_WORD for w in words], bool), math.log(end_share), logs + math.log1p(-end_share))
+
+
+def _seat(config, sweep: int, discount: float, pull: float):
+    """Seats a batch of words, their customers being the tables of the context restaurants; column c1 in, t1 out."""
 
     def run(batches):
-        symbols_of, cube = shared.value
+        for batch in batches:
+            words, c1, base = batch.column("word").to_pylist(), batch.column("c1").to_numpy(), batch.column("base").to_numpy()
+            t = tables_served(c1, pull * np.exp(base), discount, _seed(config, sweep, words))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t)], [*batch.schema.names, "t1"])
+
+    return run
+
+
+def _cells(shared):
+    """The symbols of the spellings of words' tables, as (cell of the cube, tables)."""
+
+    def run(batches):
+        symbols_of = shared.value[0]
         table = Spelling(symbols_of, None).table
         a = len(symbols_of) + 2
-        cells, total = np.zeros(a**3, np.int64), 0
+        cells = np.zeros(a**3, np.int64)
         for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            symbols, starts, pads = spelled(words, table)
-            logs = word_logs(symbols, starts, pads, cube) if cube is not None else np.full(len(words), -20.0)
-            t = tables_served(c, pull * (1 - config.end_share) * np.exp(logs), discount, _seed(config, sweep, words))
-            total += int(t.sum())
-            weight = np.repeat(t, np.diff([*starts, len(symbols)])) if len(words) else np.empty(0, np.int64)
-            weight = np.concatenate([np.zeros(2, np.int64), weight]) if len(words) else weight
-            weight[pads[pads < len(weight)]] = 0
-            if len(words):
+            words, t = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            if words:
+                symbols, starts, pads = spelled(words, table)
+                weight = np.concatenate([np.zeros(2, np.int64), np.repeat(t, np.diff([*starts, len(symbols)]))])
+                weight[pads[pads < len(weight)]] = 0
                 at = (symbols[:-2] * a + symbols[1:-1]) * a + symbols[2:]
                 cells += np.bincount(at, weight[2:], a**3).astype(np.int64)
         live = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.append(live, -1), pa.int64()), "t": pa.array(np.append(cells[live], total), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(live, pa.int64()), "t": pa.array(cells[live], pa.int64())})
 
     return run
 
 
-def _log10_mean(parts: list[np.ndarray]) -> np.ndarray:
-    top = np.maximum.reduce(parts)
-    safe = np.where(np.isfinite(top), top, 0.0)
-    return (safe + np.log(sum(np.exp(p - safe) for p in parts) / len(parts))) / math.log(10)
-
-
-def _predict(config, shared, discount: float, samples: list, n_train: int, base_of):
-    """Per word: whether it is known, its base score, the averaged log10 probability, and its part of the chance of a new table.
-
-    A sample is (sweep, pull, tables in all). Words not known in training get their probability later.
-    """
+def _with_base(config, shared):
+    """Column base, the logarithm of a word's base probability, put after the others."""
 
     def run(batches):
-        symbols_of, cubes = shared.value
+        symbols_of, cube = shared.value
         table = Spelling(symbols_of, None).table
         for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            symbols, starts, pads = spelled(words, table)
-            logs = {k: word_logs(symbols, starts, pads, cube) if cube is not None else np.full(len(words), -20.0) for k, cube in cubes.items()}
-            parts, fresh = [], np.zeros(len(words))
-            for sweep, pull, tables in samples:
-                t = tables_served(c, pull * (1 - config.end_share) * np.exp(logs[sweep - 1]), discount, _seed(config, sweep, words))
-                with np.errstate(divide="ignore"):
-                    own = np.log(np.maximum(c - discount * t, 0.0)) - math.log(config.strength + n_train)
-                new = math.log((config.strength + discount * tables) / (config.strength + n_train)) + math.log1p(-config.end_share) + logs[sweep]
-                parts.append(np.logaddexp(own, new))
-                fresh += np.where(c > 0, np.exp(new), 0.0) / len(samples)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(base_of(c)), pa.array(np.where(c > 0, _log10_mean(parts), 0.0)), pa.array(fresh)], ["word", "known", "base", "model", "fresh"])
+            base = _base_logs(batch.column("word").to_pylist(), table, cube, config.end_share)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base)], [*batch.schema.names, "base"])
 
     return run
 
 
-def _sum_up(end: dict, unknown: float, n_train: int):
-    """The sums of a chunk's documents, from the chunk's answers by word number."""
-
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        at = answers.column("at").to_numpy()
-        values = np.zeros((3, int(at.max()) + 1 if len(at) else 0))
-        for k, c in enumerate(("known", "base", "model")):
-            values[k, at] = answers.column(c).to_numpy(zero_copy_only=False)
-        sums = np.zeros((3, docs.num_rows))
-        for k, (words, counts) in enumerate(zip(docs.column("words").to_pylist(), docs.column("counts").to_pylist(), strict=True)):
-            if words:
-                sums[:, k] = values[:, np.frombuffer(words, "<i4")] @ np.frombuffer(counts, "<i4")
+def _sum_up(unknown: list[float], base_unknown: float, config: PitmanYor, n_train: int):
+    """The sums of a chunk's documents, from the chunk's answers by word number and by pair in the order of the hash."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        is_doc = np.array([k == "doc" for k in rows.column("kind").to_pylist()], bool)
+        docs, packed = rows.filter(pa.array(is_doc)), rows.filter(pa.array(~is_doc)).sort_by("at")
+        at, samples = answers.column("at").to_numpy(), len(unknown)
+        size = len(at)
+        order = np.argsort(at)
+
+        def spread(name, missing):
+            return np.nan_to_num(answers.column(name).to_numpy(zero_copy_only=False).astype(float), nan=missing)[order]
+
+        def lists(name, missing):
+            cells = answers.column(name).to_pylist()
+            return np.array([missing if cells[k] is None else cells[k] for k in order]).reshape(size, samples).T
+
+        known, base, context = spread("c", 0.0) > 0, spread("score", base_unknown), spread("c", 0.0)
+        p1, tables_share = lists("p1s", unknown), lists("shares", [1.0] * samples)
+        if not known[0]:  # no training document: the end token has its base share
+            p1[:, 0] = config.end_share
+        hashes = answers.column("h").to_numpy().view(np.uint64)[order]
+        sequences = [np.frombuffer(x, "<i4") for x in docs.column("words").to_pylist()]
+        u, w, _, _, pair, sizes = _chunk_pairs(sequences, np.zeros(len(sequences), bool), hashes)
+        mass = np.concatenate([np.frombuffer(zstd_bytes(x), "<f4").reshape(samples, -1) for x in packed.column("words").to_pylist()], axis=1)
+        chance = (mass / (config.context_strength + context[u]) + tables_share[:, u] * p1[:, w]).mean(axis=0)
+        starts = np.cumsum(sizes) - sizes
+        sums = np.add.reduceat(np.stack([known[w], base[w], np.log10(chance)])[:, pair], starts, axis=1)
         n = docs.num_rows
-        return pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(docs.column("n").to_numpy() + 1), "n_known": pa.array(np.rint(sums[0]).astype(np.int64) + int(end["known"])), "train_tokens": pa.array(np.full(n, n_train, np.int64)), "base_score": pa.array(sums[1] + end["base"]), "score": pa.array(sums[2] + end["model"] + unknown * (docs.column("n").to_numpy() - sums[0]))})
+        return pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(docs.column("n").to_numpy() + 1), "n_known": pa.array(np.rint(sums[0]).astype(np.int64)), "train_tokens": pa.array(np.full(n, n_train, np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
     return run
 
 
+def zstd_bytes(x: bytes) -> bytes:
+    return pa.CompressedInputStream(pa.BufferReader(x), "zstd").read()
+
+
 def scores(docs: DataFrame, config: PitmanYor = PitmanYor(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row per row of docs, scores as log10.
 
@@ -267,45 +394,81 @@ def scores(docs: DataFrame, config: PitmanYor = PitmanYor(), id_col: str = "doc_
     path = new_path(spark, "chunks")
     schema = f"kind string, chunk bigint, id {kind}, held_out boolean, at int, n bigint, word binary, words binary, counts binary"
     rows.mapInArrow(_chunked(config), schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    documents = spark.read.schema(schema).parquet(path).where("kind = 'doc'").select("chunk", "id", "held_out", "n", "words", "counts")
-    listed = spark.read.schema(schema).parquet(path).where("kind = 'word'").select("chunk", "at", "n", "word")
-    counts = stored(listed.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-
-    facts = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
-    n_docs = documents.where("not held_out").count()
-    n_train, n_words = (facts.n or 0) + n_docs, facts.v + (n_docs > 0)
-    discount = min(0.95, max(0.05, facts.n1 / (facts.n1 + 2 * facts.n2))) if facts.n1 else 0.5
-    low = n_train + 0.1 * (n_words + 1)
 
-    def base_of(c):
-        return np.log10((c + 0.1) / low)
+    def chunks():
+        return spark.read.schema(schema).parquet(path)
+
+    listed = chunks().where("kind = 'word'").select("chunk", "at", "n", "word")
+    packed = chunks().where("kind = 'pair'").select("chunk", "at", "words", "counts")
+    counts = listed.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0").withColumn("h", F.xxhash64("word"))
+
+    pairs = stored(packed.groupBy("at").applyInArrow(_counted, "bucket int, u bigint, w bigint, c bigint"), "pairs")
+    again = pairs.where("u is not null and w is not null")
+    part = pairs.agg(F.sum(F.expr("if(w is null, c, 0)")).alias("n1"), F.count_if(F.expr("u is not null and w is not null and c = 2")).alias("n2")).first()
+    begins = pairs.where("u is not null").groupBy(F.col("u").alias("h")).agg(F.sum(F.expr("if(w is null, c, 0)")).alias("once_u"), F.sum(F.expr("if(w is null, c, 1)")).alias("tables"))
+    closes = pairs.where("w is not null").groupBy(F.col("w").alias("h")).agg(F.sum(F.expr("if(u is null, c, 0)")).alias("once_w"), F.sum(F.expr("if(u is null, c, 1)")).alias("c1"))
+    counts = counts.join(begins, "h", "left").join(closes, "h", "left").select("word", "h", "c", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("once_u", "once_w", "tables", "c1")))
+    words = stored(counts.withColumns({"p1s": F.expr("cast(array() as array<double>)"), "shares": F.expr("cast(array() as array<double>)")}), "counts")
+
+    facts = words.agg(F.sum("c").alias("n"), F.sum("c1").alias("c1"), F.count("*").alias("v"), F.count_if(F.col("c1") == 1).alias("n1"), F.count_if(F.col("c1") == 2).alias("n2")).first()
+    n_train, n_words = facts.n or 0, facts.v
+
+    def discount_of(n1, n2):
+        return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+
+    discount, own = discount_of(facts.n1, facts.n2), discount_of(part.n1 or 0, part.n2 or 0)
+    low = n_train + 0.1 * (n_words + 1)
 
     small_batches(spark, 20_000)
-    codes = counts.select(F.explode(F.split(F.col("word").cast("string"), "")).alias("char")).groupBy("char").count().orderBy(F.desc("count"), "char").limit(config.symbols)
+    codes = words.where(F.length("word") > 0).select(F.explode(F.split(F.col("word").cast("string"), "")).alias("char")).groupBy("char").count().orderBy(F.desc("count"), "char").limit(config.symbols)
     symbols = {ord(r.char): k + 2 for k, r in enumerate(codes.collect()) if r.char}
     a = len(symbols) + 2
     rng = np.random.default_rng(config.seed)
-    cubes, totals, samples = {0: None}, [], []
-    tables = float(facts.v)
-    end_tables, end_parts = 1, []
+    totals, unknown = [], []
+    columns = ["word", "h", "c", "once_u", "once_w", "tables", "c1", "p1s", "shares"]
+    types = "word binary, h bigint, c bigint, once_u bigint, once_w bigint, tables bigint, c1 bigint, p1s array<double>, shares array<double>"
+
+    def probable(words, cube, customers, tables):
+        """words with base, and p1: their probability in the word restaurant. t1 is the last seating's tables, at first one each."""
+        shared = spark.sparkContext.broadcast((symbols, cube))
+        if "t1" not in words.columns:
+            words = words.withColumn("t1", F.lit(1).cast("bigint"))
+        words = words.select(*columns, "t1").mapInArrow(_with_base(config, shared), f"{types}, t1 bigint, base double")
+        new = config.strength + discount * tables
+        return words.withColumn("p1", (F.col("c1") - discount * F.col("t1") + new * F.exp("base")) / (config.strength + customers))
+
+    tables, customers = float(n_words), float(facts.c1 or 0)
+    state = stored(probable(words, None, customers, tables), "words")
+    again = again.withColumn("ts", F.expr("cast(array() as array<bigint>)"))
     for sweep in range(1, config.sweeps + 1):
-        pull = config.strength + discount * tables
-        shared = spark.sparkContext.broadcast((symbols, cubes[sweep - 1]))
-        made = counts.mapInArrow(_seat(config, shared, sweep, discount, pull), "cell bigint, t bigint").groupBy("cell").agg(F.sum("t").alias("t")).toPandas()
+        sampled = sweep > config.burn_in
+        asked = again.select("bucket", "u", "w", "c", "ts").join(state.select(F.col("h").alias("u"), "tables"), "u").join(state.select(F.col("h").alias("w"), "p1"), "w").select("bucket", "u", "w", "c", "ts", "tables", "p1")
+        again = stored(asked.mapInArrow(_seat_pairs(config, sweep, own, sampled), "bucket int, u bigint, w bigint, c bigint, ts array<bigint>, t bigint"), "seated")
+        up = again.groupBy(F.col("u").alias("h")).agg(F.sum("t").alias("more_u"))
+        down = again.groupBy(F.col("w").alias("h")).agg(F.sum("t").alias("more_w"))
+        fed = state.drop("tables", "c1", "t1", "p1").join(up, "h", "left").join(down, "h", "left")
+        fed = fed.withColumns({"tables": F.col("once_u") + F.coalesce("more_u", F.lit(0)), "c1": F.col("once_w") + F.coalesce("more_w", F.lit(0))}).select(*columns, "base")
+        seated = stored(fed.mapInArrow(_seat(config, sweep, discount, config.strength + discount * tables), f"{types}, base double, t1 bigint"), "words")
+        shared = spark.sparkContext.broadcast((symbols, None))
+        made = seated.where(F.length("word") > 0).select("word", "t1").mapInArrow(_cells(shared), "cell bigint, t bigint").groupBy("cell").agg(F.sum("t").alias("t")).toPandas()
         cube = np.zeros(a**3, np.int64)
-        inside = made.cell >= 0
-        cube[made.cell[inside]] = made.t[inside]
-        end_tables = int(tables_served(np.array([n_docs]), np.array([pull * config.end_share]), discount, rng)[0])
-        tables = float(made.t[~inside].sum()) + end_tables
-        cubes[sweep], totals = seat_spelling(cube.reshape(a, a, a), config, totals, rng)
-        if sweep > config.burn_in:
-            samples.append((sweep, pull, tables))
-            end_parts.append(np.log((max(n_docs - discount * end_tables, 0.0) + (config.strength + discount * tables) * config.end_share) / (config.strength + n_train)))
-    end = {"known": n_docs > 0, "base": float(base_of(np.array(float(n_docs)))), "model": float(_log10_mean([np.array(x) for x in end_parts]))}
-    shared = spark.sparkContext.broadcast((symbols, {k: cubes[k] for k in {s - d for s, _, _ in samples for d in (0, 1)}}))
-    predicted = stored(counts.mapInArrow(_predict(config, shared, discount, samples, n_train, base_of), "word binary, known boolean, base double, model double, fresh double"), "predicted")
-    chance = sum((config.strength + discount * x) / (config.strength + n_train) for _, _, x in samples) / len(samples) * (1 - config.end_share)
-    unknown = math.log10(max(chance - (predicted.agg(F.sum("fresh")).first()[0] or 0.0), 1e-12))
-    answers = listed.select("chunk", "at", "word").join(predicted, "word").select("chunk", "at", "known", "base", "model")
+        cube[made.cell] = made.t
+        sums = seated.agg(F.sum("t1").alias("t1"), F.sum("c1").alias("c1")).first()
+        tables, customers = float(sums.t1 or 0), float(sums.c1 or 0)
+        cube, totals = seat_spelling(cube.reshape(a, a, a), config, totals, rng)
+        state = probable(seated, cube, customers, tables)
+        if sampled:
+            share = (config.context_strength + own * F.col("tables")) / (config.context_strength + F.col("c"))
+            state = state.withColumns({"p1s": F.array_append("p1s", F.col("p1")), "shares": F.array_append("shares", share)})
+        state = stored(state, "words")
+        if sampled:
+            spelt = state.where(F.length("word") > 0).agg(F.sum(F.exp("base"))).first()[0] or 0.0
+            unknown.append(max((config.strength + discount * tables) / (config.strength + customers) * (1 - config.end_share - spelt), 1e-12))
+    known = state.select("word", "c", F.log10((F.col("c") + 0.1) / low).alias("score"), "p1s", "shares")
+    answers = listed.select("chunk", "at", "word").join(known, "word", "left").select("chunk", "at", F.xxhash64("word").alias("h"), "c", "score", "p1s", "shares")
+    masses = packed.groupBy("at").cogroup(again.select("bucket", "u", "w", "ts").groupBy("bucket")).applyInArrow(_masses(own, len(unknown)), "chunk bigint, at int, words binary")
+    documents = chunks().where("kind = 'doc'").select("kind", "chunk", "id", "held_out", "at", "n", "words")
+    rows = documents.unionByName(masses.withColumn("kind", F.lit("pair")), allowMissingColumns=True)
     out = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return documents.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sum_up(end, unknown, n_train), out).withColumnRenamed("id", id_col)
+    base_unknown = math.log10(0.1 / low)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sum_up(unknown, base_unknown, config, n_train), out).withColumnRenamed("id", id_col)

@@ -349,3 +349,16 @@ def test_pipeline_odd_rows(spark, odd):
 def test_hashes_are_lowercase_hex(spark):
     r = queries.op7_personal_data(spark, SF).first()
     assert re.fullmatch("[0-9a-f]{64}", r.base_sha256) and hashlib.sha256(b"").hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_op10_order_of_words_counts(spark):
+    """A reordered held-out text keeps its base score and loses score."""
+    train = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 10][:300]
+    apart = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0][:7]
+    rows = [(i, "red fox runs home" if i % 2 else "old dog sleeps here") for i in train]
+    rows += [(apart[0], "red fox runs home"), (apart[1], "home runs fox red"), *((i, w) for i, w in zip(apart[2:], ["red", "old", "fox", "unseen", ""]))]
+    got = {r.doc_id: r for r in pitmanyor.scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    straight, turned = got[apart[0]], got[apart[1]]
+    assert straight.base_score == pytest.approx(turned.base_score)
+    assert straight.score > turned.score + 3
+    assert len(got) == len(rows)
