@@ -1,9 +1,10 @@
 """Personal data (operator 7), with DataFrame functions only: patterns, and information-theoretic sanitisation around them.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. The method then asks which other terms give such an entity
-away: over the corpus, pointwise mutual information compares how often a term stands near an entity with how often both occur. A
-term whose information about the entity is at least `disclosure` of the entity's own information content, log2(N / documents with
-it), is a span of kind "term" wherever it stands near that entity.
+Patterns find e-mail addresses, IP addresses, card and phone numbers. A protected entity is such a value, and also what values
+share: their kind, an e-mail's domain, an address's networks, a card's issuer, a phone's dialling prefixes; values mostly occur once.
+The method asks which terms outside the values give an entity away: over the corpus, pointwise mutual information compares how many
+documents hold both with how many hold either. A term whose information about the entity is at least `disclosure` of the entity's
+own information content, log2(N / documents with it), is a span of kind "term" wherever it stands in a document with that entity.
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ TERM = r"[\p{L}\p{N}_]++"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Code points looked at on either side of an entity, different texts that must show the pair, share of the entity's information, least letters of a term."""
+    """Different texts that must show the pair, share of the entity's information, least letters of a term."""
 
-    reach: int = 64
     support: int = 3
     disclosure: float = 0.9
     letters: int = 3
@@ -71,30 +71,52 @@ def base_spans(text: str) -> Column:
     return F.expr(f"array_sort(concat({', '.join(found)}))")
 
 
+#: What a value shares with others of its kind, besides the kind: SQL for strings, by kind (fixed lengths of networks and prefixes).
+SHARED = {
+    "email": ["substring_index(lower(s.value), '@', -1)"],
+    "ip": ["substring_index(s.value, '.', 2)", "substring_index(s.value, '.', 3)"],
+    "card": ["left(regexp_replace(s.value, '[^0-9]', ''), 6)"],
+    "phone": ["left(regexp_replace(s.value, '[^0-9]', ''), 3)", "left(regexp_replace(s.value, '[^0-9]', ''), 6)"],
+}
+
+
+def _entities() -> str:
+    """SQL for the array of protected entities of a span s."""
+    shared = " ".join(f"when {k} then array({', '.join(f'concat({k}, {chr(39)}/{n}:{chr(39)}, {x})' for n, x in enumerate(SHARED[kind]))})" for k, kind in enumerate(KINDS[:4]))
+    return f"concat(array(concat(s.k, ''), concat(s.k, ':', lower(s.value))), case s.k {shared} end)"
+
+
 def found_in(docs: DataFrame, config: Disclosure, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, base, near): mark tells texts apart; near holds the terms around every entity with their places."""
+    """(row, id, mark, base, entities, terms, places): mark tells texts apart, terms are the distinct ones outside base spans; places, of documents with entities, says where terms stand."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("id", F.xxhash64("text").alias("mark"), "text", base_spans("text").alias("base"))
-    w = config.reach
-    left, right = f"substring(text, greatest(s.start - {w}, 0) + 1, least(s.start, {w}))", f"substring(text, s.end + 1, {w})"
-    whole = f"(side = 0 and (p.start > 0 or s.start <= {w})) or (side = 1 and (p.end < {w}))"
-    near = f"""flatten(transform(base, s -> flatten(transform(array(0, 1), side -> transform(
-        filter({_places(f"if(side = 0, {left}, {right})", TERM, "term")}, p -> char_length(p.value) >= {config.letters} and ({whole})),
-        p -> named_struct('entity', concat(s.k, ':', lower(s.value)), 'term', lower(p.value),
-          'start', p.start + if(side = 0, greatest(s.start - {w}, 0), s.end), 'end', p.end + if(side = 0, greatest(s.start - {w}, 0), s.end)))))))"""
-    return rows.select("id", "mark", "base", F.expr(f"if(size(base) > 0, {near}, null)").alias("near"))
-
-
-def telling_terms(docs: DataFrame, near: DataFrame, entities: DataFrame, config: Disclosure, text_col: str) -> DataFrame:
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.xxhash64("text").alias("mark"), "text", base_spans("text").alias("base"))
+    # A value becomes as many spaces, so places stay; one that begins inside an earlier one adds what stands out of it.
+    hidden = """aggregate(base, named_struct('at', 0, 'out', cast(array() as array<string>)),
+        (a, s) -> if(s.end <= a.at, a, named_struct('at', s.end, 'out', array_append(array_append(a.out, substring(text, a.at + 1, greatest(s.start - a.at, 0))), repeat(' ', s.end - greatest(s.start, a.at))))),
+        a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))"""
+    rows = rows.withColumn("text", F.expr(f"if(size(base) > 0, {hidden}, text)"))
+    long = f"x -> char_length(x) >= {config.letters}"
+    pattern = TERM.replace("\\", "\\\\")
+    terms = f"array_distinct(transform(filter(regexp_extract_all(text, '{pattern}', 0), {long}), x -> lower(x)))"
+    places = f"filter({_places('text', TERM, 'term')}, p -> char_length(p.value) >= {config.letters})"
+    entities = f"array_distinct(flatten(transform(base, s -> {_entities()})))"
+    return rows.select("row", "id", "mark", "base", F.expr(entities).alias("entities"), F.expr(terms).alias("terms"), F.expr(f"if(size(base) > 0, {places}, null)").alias("places"))
+
+
+def _paired(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(row, mark, entity, term) of documents and the known entities."""
+    mine = found.where("size(base) > 0").select("row", F.explode("entities").alias("entity")).join(known.select("entity"), "entity")
+    mine = mine.groupBy("row").agg(F.collect_list("entity").alias("mine"))
+    both = found.where("size(base) > 0").select("row", "mark", "terms").join(mine, "row")
+    return both.select("row", "mark", F.explode("mine").alias("entity"), "terms").select("row", "mark", "entity", F.explode("terms").alias("term"))
+
+
+def telling_terms(found: DataFrame, known: DataFrame, config: Disclosure) -> DataFrame:
     """(entity, term): pairs above the disclosure threshold. Counts are of documents, over the whole corpus."""
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
-    spread = terms.groupBy("term").agg(F.count("*").alias("with_term"))
-    total = docs.select(F.count("*").alias("n"))
-    pairs = near.groupBy("entity", "term", "id", "mark").agg(F.count("*").alias("times")).groupBy("entity", "term").agg(F.count("*").alias("together"), F.approx_count_distinct("mark", 0.02).alias("texts"))
-    pairs = pairs.where(F.col("texts") >= config.support)
-    known = entities.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    n = F.lit(float(total.first().n))
-    scored = pairs.join(known, "entity").join(spread, "term")
+    spread = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    n = F.lit(float(found.count()))
+    pairs = _paired(found, known).groupBy("entity", "term").agg(F.count("*").alias("together"), F.approx_count_distinct("mark", 0.02).alias("texts"))
+    scored = pairs.where(F.col("texts") >= config.support).join(known, "entity").join(spread, "term")
     own = F.log2(n / F.col("with_entity"))
     mutual = F.log2(n * F.col("together") / (F.col("with_term") * F.col("with_entity")))
     return scored.where((own > 0) & (mutual >= config.disclosure * own)).select("entity", "term")
@@ -103,19 +125,18 @@ def telling_terms(docs: DataFrame, near: DataFrame, entities: DataFrame, config:
 def personal_spans(docs: DataFrame, config: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, base, spans): base and all spans as array<struct<start,k,end,value>>, in code points, end exclusive; k counts KINDS.
 
-    A row per row of docs; a null text is an empty one. Terms that overlap a base span are left to it. Rows that repeat an id are
-    told apart by their text. Other columns are not read.
+    A row per row of docs; a null text is an empty one. Terms do not overlap base spans. Rows that repeat an id are told apart by
+    their text. Other columns are not read.
     """
     found = stored(found_in(docs, config, id_col, text_col), "found")
-    near = found.where("near is not null").select("id", "mark", F.explode("near").alias("x")).select("id", "mark", "x.*")
-    entities = found.where("near is not null").select("id", "mark", F.explode(F.expr("array_distinct(transform(base, s -> concat(s.k, ':', lower(s.value))))")).alias("entity"))
-    telling = telling_terms(docs, near, entities, config, text_col)
-    extra = near.join(telling, ["entity", "term"]).select("id", "mark", F.struct("start", F.lit(4).alias("k"), "end", F.col("term").alias("value")).alias("s")).distinct()
-    extra = extra.groupBy("id", "mark").agg(F.collect_list("s").alias("terms"))  # at most the terms near one document's entities
-    extra = extra.select(F.col("id").alias("i"), F.col("mark").alias("m"), "terms")
-    all_ = found.select("id", "mark", "base").join(extra, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
-    clear = F.expr("filter(coalesce(terms, cast(array() as array<struct<start:int,k:int,end:int,value:string>>)), t -> not exists(base, b -> b.start < t.end and t.start < b.end))")
-    return all_.select(F.col("id").alias(id_col), "mark", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
+    entities = found.where("size(base) > 0").select("mark", F.explode("entities").alias("entity"))
+    known = entities.groupBy("entity").agg(F.count("*").alias("with_entity"), F.approx_count_distinct("mark", 0.02).alias("shown"))
+    known = stored(known.where(F.col("shown") >= config.support).select("entity", "with_entity"), "known")  # others cannot reach the support with any term
+    telling = stored(telling_terms(found, known, config), "telling")
+    hits = _paired(found, telling.select("entity").distinct()).join(telling, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("hits"))
+    all_ = found.select("row", "id", "mark", "base", "places").join(hits, "row", "left")
+    extra = F.expr("if(hits is null, cast(array() as array<struct<start:int,k:int,end:int,value:string>>), transform(filter(places, p -> array_contains(hits, lower(p.value))), p -> named_struct('start', p.start, 'k', 4, 'end', p.end, 'value', lower(p.value))))")
+    return all_.select(F.col("id").alias(id_col), "mark", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
 def listed(spans: str) -> Column:

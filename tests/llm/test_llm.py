@@ -362,3 +362,17 @@ def test_op10_order_of_words_counts(spark):
     assert straight.base_score == pytest.approx(turned.base_score)
     assert straight.score > turned.score + 3
     assert len(got) == len(rows)
+
+
+def test_op7_terms_of_one_off_values(spark):
+    """Every address occurs once, and the term stands far from it; the kind, a domain and a network recur."""
+    far = "plain words go on and on here " * 10
+    rows = [(k, f"Zephyrine {far}box{k}@h{k}.example {k}") for k in range(5)]
+    rows += [(10 + k, f"Quillon {far}10.20.{k}.{k + 1} {k}") for k in range(5)]
+    rows += [(20 + k, f"{far}solo{k}@other{k}.example {k}") for k in range(5)]
+    rows += [(100 + k, f"{far}nothing {k}") for k in range(300)]
+    got = {r.doc_id: r.spans for r in personal.personal_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    terms = {i: [(s.start, s.end, s.value) for s in spans if s.k == 4] for i, spans in got.items()}
+    assert all(terms[k] == [(0, 9, "zephyrine")] for k in range(5))
+    assert all(terms[10 + k] == [(0, 7, "quillon")] for k in range(5))
+    assert not any(terms[i] for i in terms if i >= 20)
