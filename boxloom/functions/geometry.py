@@ -97,3 +97,49 @@ def valid_box(cx="cx", cy="cy", w="w", h="h") -> Column:
 def size_bucket(area_percent: Column) -> Column:
     """tiny, small, medium, large at 2, 5 and 15 percent of the image."""
     return F.when(area_percent < 2, "tiny").when(area_percent < 5, "small").when(area_percent < 15, "medium").otherwise("large")
+
+
+def mosaic(box: list[Column], quadrant: Column, cx: Column, cy: Column, width: Column, height: Column, size: float) -> list[Column]:
+    """x1, y1, x2, y2 of an image's pixel corner box in a mosaic of four around (cx, cy): quadrants 0 to 3 are top left, top right, bottom left, bottom right.
+
+    The image's corner nearest the centre lies on it; the box is shifted and clipped to what shows of the image.
+    """
+
+    def side(lo, hi, before, at, length):
+        edge, shift = F.lit(float(size)), F.when(before, at - length).otherwise(at)
+        start = F.when(before, F.greatest(at - length, F.lit(0))).otherwise(at)
+        end = F.when(before, at).otherwise(F.least(at + length, edge))
+        return F.greatest(lo + shift, start), F.least(hi + shift, end)
+
+    x1, x2 = side(box[0], box[2], quadrant % 2 == 0, cx, width)
+    y1, y2 = side(box[1], box[3], quadrant < 2, cy, height)
+    return [x1, y1, x2, y2]
+
+
+def mosaic_keeps(box: list[Column]) -> Column:
+    """Both sides of a mosaic's box are over two pixels."""
+    return (box[2] - box[0] > 2) & (box[3] - box[1] > 2)
+
+
+def occluder_tries(key: Column, width: Column, height: Column, tries: int = 15) -> Column:
+    """array<struct<n,x1,y1,w,h>>: rectangles of a twelfth to a fifth of the image (at least 18 to 24 pixels), drawn from a hash of key and try."""
+
+    def one(n):
+        h = F.md5(F.concat_ws("|", F.lit("occluder"), key.cast("string"), n.cast("string")))
+        draw = lambda at, lo, hi: lo + F.conv(F.substring(h, at, 7), 16, 10).cast("bigint") % (hi - lo + 1)
+        reach = lambda x: (F.greatest(F.lit(18), F.floor(x / 12)), F.greatest(F.lit(24), F.floor(x / 5)))
+        w, high = draw(1, *reach(width)), draw(8, *reach(height))
+        x1, y1 = draw(15, F.lit(0), F.greatest(F.lit(0), width - w)), draw(22, F.lit(0), F.greatest(F.lit(0), height - high))
+        return F.struct(n.alias("n"), x1.cast("bigint").alias("x1"), y1.cast("bigint").alias("y1"), w.cast("bigint").alias("w"), high.cast("bigint").alias("h"))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(tries)), one)
+
+
+def occluder(tries: Column, boxes: Column, width: Column, height: Column) -> Column:
+    """The first try that holds no box's centre while its area is over 0.6 of that box; null if there is none. boxes: array<struct<cx,cy,w,h>>."""
+
+    def covers(t, b):
+        x, y, area = F.floor(b["cx"] * width), F.floor(b["cy"] * height), F.floor(b["w"] * width) * F.floor(b["h"] * height)
+        return x.between(t["x1"], t["x1"] + t["w"]) & y.between(t["y1"], t["y1"] + t["h"]) & (t["w"] * t["h"] > F.greatest(F.lit(1), area) * 0.6)
+
+    return F.get(F.filter(tries, lambda t: ~F.exists(boxes, lambda b: covers(t, b))), F.lit(0))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.functions import geometry as g
+
 # For each profile, an operation's chance and the ranges of its parameters, in the order of the plan.
 PROFILES = {
     "train": {
@@ -42,6 +44,18 @@ def degrade_plan(plan: DataFrame, seed=42, profile: str = "train") -> DataFrame:
     return plan.withColumn("ops", F.transform(picked, lambda e: F.struct(e["op"].alias("op"), e["p1"].alias("p1"), e["p2"].alias("p2"))))
 
 
+def with_occluders(plan: DataFrame, sizes: DataFrame, boxes: DataFrame) -> DataFrame:
+    """plan(image_id, pass, ops) with occluder: the rectangle that spares the boxes of the image, null where no try does.
+
+    sizes(image_id, width, height); boxes(image_id, cx, cy, w, h).
+    """
+    per = boxes.groupBy("image_id").agg(F.collect_list(F.struct("cx", "cy", "w", "h")).alias("_boxes"))
+    wide = plan.join(sizes.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id").join(per, "image_id", "left")
+    size, none = (F.col("_w"), F.col("_h")), F.expr("cast(array() as array<struct<cx:double,cy:double,w:double,h:double>>)")
+    tries = g.occluder_tries(F.concat_ws("|", "image_id", "pass"), *size)
+    return wide.withColumn("occluder", g.occluder(tries, F.coalesce("_boxes", none), *size)).select(*plan.columns, "occluder")
+
+
 def _resize_weights(n: int, m: int) -> np.ndarray:
     """Area weights from n to m cells, rows summing to 1; for growing sizes the nearest cells by overlap."""
     edges = np.linspace(0, n, m + 1)
@@ -116,21 +130,33 @@ def applied(a: np.ndarray, op: str, p1, p2, rng) -> np.ndarray:
 
 
 def apply_plan(pixels: DataFrame, plan: DataFrame) -> DataFrame:
-    """(path, pass, height, width, data): pixels after the operations of plan(path, pass, ops)."""
+    """(path, pass, height, width, data): pixels after the operations of plan(path, pass, ops).
+
+    If plan has the column occluder, an occlusion fills that rectangle, and nothing where it is null.
+    """
+    placed = "occluder" in plan.columns
 
     def run(frames):
         import zlib
 
         for pdf in frames:
             out = []
-            for a, ops, name in zip(_arrays(pdf), pdf["ops"], pdf["path"].astype(str) + pdf["pass"].astype(str), strict=True):
+            places = pdf["occluder"] if placed else [None] * len(pdf)
+            for a, ops, name, place in zip(_arrays(pdf), pdf["ops"], pdf["path"].astype(str) + pdf["pass"].astype(str), places, strict=True):
                 rng = np.random.default_rng(zlib.crc32(name.encode()))
                 for o in ops:
+                    if placed and o["op"] == "occlusion":
+                        if place is not None:
+                            a = a.copy()
+                            top, bottom, left, right = map(int, place)
+                            a[top:bottom, left:right] = 40
+                        continue
                     a = applied(a, o["op"], o["p1"], o["p2"], rng)
                 out.append(np.ascontiguousarray(a).tobytes())
             yield pdf[["path", "pass", "height", "width"]].assign(data=out)
 
-    joined = pixels.select("path", "height", "width", "data").join(plan.select("path", "pass", "ops"), "path")
+    edges = F.expr("if(occluder is null, null, array(occluder.y1, occluder.y1 + occluder.h, occluder.x1, occluder.x1 + occluder.w))").alias("occluder")
+    joined = pixels.select("path", "height", "width", "data").join(plan.select("path", "pass", "ops", *[edges] * placed), "path")
     return joined.mapInPandas(run, "path string, pass string, height int, width int, data binary")
 
 

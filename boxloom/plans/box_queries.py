@@ -341,3 +341,35 @@ def _(v):
 def _(v):
     area = F.col("w") * F.col("h") * 100
     return v("fx_boxes").select("box_id", (F.col("w") * 640).alias("px_w"), (F.col("h") * 640).alias("px_h"), area.alias("area_percent"), g.size_bucket(area).alias("bucket"))
+
+
+@query("g7_mosaic", """
+WITH m AS (SELECT image_id AS mosaic_id, image_id - q AS image_id, q AS quadrant, 104 + image_id % 209 AS mx, 104 + image_id * 7 % 209 AS my FROM fx_images, (VALUES (0), (1), (2), (3)) t(q)),
+p AS (SELECT mosaic_id, quadrant, box_id, mx, my, width, height, (cx - w / 2) * width AS ox1, (cy - h / 2) * height AS oy1, (cx + w / 2) * width AS ox2, (cy + h / 2) * height AS oy2 FROM m JOIN fx_images USING (image_id) JOIN fx_boxes USING (image_id)),
+s AS (SELECT *, CASE WHEN quadrant IN (0, 2) THEN greatest(mx - width, 0) ELSE mx END AS x1s, CASE WHEN quadrant IN (0, 2) THEN mx ELSE least(mx + width, 416) END AS x1e, CASE WHEN quadrant < 2 THEN greatest(my - height, 0) ELSE my END AS y1s, CASE WHEN quadrant < 2 THEN my ELSE least(my + height, 416) END AS y1e FROM p),
+d AS (SELECT *, x1s - CASE WHEN quadrant IN (0, 2) THEN width - (x1e - x1s) ELSE 0 END AS dx, y1s - CASE WHEN quadrant < 2 THEN height - (y1e - y1s) ELSE 0 END AS dy FROM s),
+n AS (SELECT mosaic_id, quadrant, box_id, greatest(ox1 + dx, x1s) AS x1, greatest(oy1 + dy, y1s) AS y1, least(ox2 + dx, x1e) AS x2, least(oy2 + dy, y1e) AS y2 FROM d)
+SELECT * FROM n WHERE x2 - x1 > 2 AND y2 - y1 > 2""")
+def _(v):
+    i = v("fx_images").select("image_id")
+    plan = i.select(F.col("image_id").alias("mosaic_id"), (104 + F.col("image_id") % 209).alias("mx"), (104 + F.col("image_id") * 7 % 209).alias("my"), F.explode(F.array(*map(F.lit, range(4)))).alias("quadrant"))
+    wide = plan.withColumn("image_id", F.col("mosaic_id") - F.col("quadrant")).join(v("fx_images"), "image_id").join(v("fx_boxes"), "image_id")
+    box = g.mosaic(g.corners(*_b(), F.col("width"), F.col("height")), F.col("quadrant"), F.col("mx"), F.col("my"), F.col("width"), F.col("height"), 416)
+    named = wide.select("mosaic_id", "quadrant", "box_id", *(c.alias(n) for c, n in zip(box, ("x1", "y1", "x2", "y2"), strict=True)))
+    return named.where(g.mosaic_keeps([F.col(c) for c in ("x1", "y1", "x2", "y2")]))
+
+
+_HEX = "CAST(concat('0x', substring(d, {}, 7)) AS BIGINT)"
+
+
+@query("g12_occluder", f"""
+WITH t AS (SELECT image_id, width, height, n, md5(concat_ws('|', 'occluder', image_id, n)) AS d FROM fx_images, range(1, 16) r(n)),
+z AS (SELECT *, greatest(18, width // 12) + {_HEX.format(1)} % (greatest(24, width // 5) - greatest(18, width // 12) + 1) AS w, greatest(18, height // 12) + {_HEX.format(8)} % (greatest(24, height // 5) - greatest(18, height // 12) + 1) AS h FROM t),
+a AS (SELECT *, {_HEX.format(15)} % (greatest(0, width - w) + 1) AS x1, {_HEX.format(22)} % (greatest(0, height - h) + 1) AS y1 FROM z),
+bad AS (SELECT DISTINCT a.image_id, n FROM a JOIN fx_boxes b ON a.image_id = b.image_id WHERE floor(b.cx * width) BETWEEN x1 AND x1 + a.w AND floor(b.cy * height) BETWEEN y1 AND y1 + a.h AND a.w * a.h > greatest(1, floor(b.w * width) * floor(b.h * height)) * 0.6e0)
+SELECT image_id, n, x1, y1, w, h FROM a ANTI JOIN bad USING (image_id, n) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n) = 1""")
+def _(v):
+    boxes = v("fx_boxes").groupBy("image_id").agg(F.collect_list(F.struct("cx", "cy", "w", "h")).alias("boxes"))
+    wide = v("fx_images").join(boxes, "image_id", "left").withColumn("boxes", F.coalesce("boxes", F.expr("cast(array() as array<struct<cx:double,cy:double,w:double,h:double>>)")))
+    size = F.col("width"), F.col("height")
+    return wide.select("image_id", g.occluder(g.occluder_tries(F.col("image_id"), *size), F.col("boxes"), *size).alias("o")).where("o is not null").select("image_id", "o.*")

@@ -26,6 +26,7 @@ DOUBLES = {
     "g4_offsets": "tx ty tw th bx bw",
     "g5_flip": "flipped_x flipped_y",
     "g6_rotate": "ncx ncy nw nh",
+    "g7_mosaic": "x1 y1 x2 y2",
     "g8_rescale": "x1 y1 x2 y2",
     "g9_pixel_boxes": "cx cy w h",
     "g10_sizes": "px_w px_h area_percent",

@@ -205,3 +205,17 @@ def test_sinks(spark, tmp_path):
     base = spark.createDataFrame([(4, "a.jpg", 1)], "seq int, image string, class_id int")
     extra = spark.createDataFrame([("z.jpg", "Mango"), ("y.jpg", "kiwi")], "image string, raw_name string")
     assert {(r.seq, r.image) for r in annotations.integrate_export(base, extra, {"mango": 3}).collect()} == {(4, "a.jpg"), (5, "z.jpg")}
+
+
+def test_occluders_spare_boxes(spark):
+    """A rectangle never holds the centre of a small box; where no try spares all boxes, the image stays as it is."""
+    ids = range(12)
+    sizes = spark.createDataFrame([(str(i), 100, 100) for i in ids], "image_id string, width int, height int")
+    crowd = [("0", x / 20, y / 20, 0.05, 0.05) for x in range(20) for y in range(20)]
+    boxes = spark.createDataFrame([*crowd, *((str(i), 0.5, 0.5, 0.05, 0.05) for i in ids)], "image_id string, cx double, cy double, w double, h double")
+    plan = spark.createDataFrame([(str(i), "warm", [("occlusion", 0.9, 0.9)]) for i in ids], "image_id string, pass string, ops array<struct<op:string,p1:double,p2:double>>")
+    pixels = spark.createDataFrame([(str(i), 100, 100, bytearray([200] * 30000)) for i in ids], "path string, height int, width int, data binary")
+    placed = images.with_occluders(plan, sizes, boxes).withColumnRenamed("image_id", "path")
+    out = {r.path: np.frombuffer(r.data, np.uint8).reshape(100, 100, 3) for r in images.apply_plan(pixels, placed).collect()}
+    assert len(out) == 12 and (out["0"] == 200).all()
+    assert all((a[50, 50] == 200).all() for a in out.values()) and sum((a == 40).any() for a in out.values()) >= 10
