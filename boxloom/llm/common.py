@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Unset (local runs, tests): a new temporary folder."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Unset in a local run or test: a new temporary folder;
+    on a cluster there is no folder to guess, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -29,12 +33,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Intermediate tables of one computation: Parquet in the shared folder, which cuts lineage and survives lost executors.
+
+    `drop` deletes what nothing reads any more, so the folder holds a computation's live tables only.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows written once and read back."""
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *frames: DataFrame, but: tuple = ()) -> None:
+        """Deletes these tables; without any named, all of them but those in `but`. Shuffle files that no plan holds go too."""
+        gone = [p for p, df in self.paths.items() if (any(df is f for f in frames) if frames else not any(df is f for f in but))]
+        for path in gone:
+            del self.paths[path]
+            removed(self.spark, path)
+        gc.collect()  # Spark clears the shuffles of plans that neither Python nor the JVM refers to
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once as Parquet in the shared folder and read back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table of its own in the shared folder, for results that outlive the call."""
+    return Tables(df.sparkSession).stored(df, name)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import stored
+from boxloom.llm.common import Tables
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, tables: Tables | None = None, most_rounds: int = 60) -> DataFrame:
     """links(a, b) in any direction -> (node, component), component the smallest node reachable. Nodes without links are absent.
 
     Null ends and loops are left out. Each round is two joins by node and is stored, so a hub of millions of links is only
     a skewed join key. Ends when a round changes nothing; rounds grow with the logarithm of the longest path.
     """
-    edges = stored(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    tables = tables or Tables(links.sparkSession)
+    edges = tables.stored(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = _mark(edges)
     for _ in range(most_rounds):
         if mark[0] == 0:
             break
-        edges = stored(_small(_large(edges)), "links")
+        old, edges = edges, tables.stored(_small(_large(edges)), "links")
         new = _mark(edges)
+        tables.drop(old)
         if new == mark:
             break
         mark = new

@@ -1,13 +1,16 @@
 """Near-duplicate documents by min-max hashing (operator 3).
 
 Each of `permutations` hash functions gives two signature values, its smallest and its largest over a document's shingles, so
-64 functions give 128 values. Bands of 4 values send documents to buckets; a pair with similarity 0.8 misses all 32 bands with
-probability (1 - 0.8^4)^32 = 5e-8. What a bucket proposes is confirmed on the full shingle sets.
-
-Documents with equal sets are one node from the start. In a bucket all nodes are first compared with one pivot, not with each
-other. Links give components, and only buckets that still hold nodes of several components go on: with other pivots, and at the
-end with all pairs between different components. So large groups of copies cost a comparison per member, and no candidate that
-could join two components is left out.
+64 functions give 128 values, of which 16 bits each are kept. Bands of 4 values send documents to buckets; a pair with similarity
+0.8 misses all 32 bands with probability (1 - 0.8^4)^32 = 5e-8. The bands together are the whole signature, so a candidate pair whose
+signatures agree in far too few values (7 standard deviations below the least similarity) is put aside without its sets. All other
+candidates are confirmed on full shingle sets.
+
+Documents with equal sets are one node from the start. A bucket's nodes are first compared with one of them, the hub: the node that
+meets most others in its buckets, which in a group of edited copies is their original. Links give components. Buckets that still hold
+several components go on with those of their nodes that can link at all, and there blocks of nodes meet blocks of nodes, as products of
+0/1 shingle matrices. So a large group of copies costs a comparison per member, no pair list is made within a group, and no candidate
+that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -17,30 +20,32 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import WordHashes, binary, mixed, shingle_hashes, small_batches, stored, words_of
+from boxloom.llm.common import Tables, WordHashes, binary, shingle_hashes, small_batches, words_of
 from boxloom.llm.graph import components
 
 
 @dataclass(frozen=True)
 class MinMax:
-    """Words in a shingle, least similarity in percent, bands, values in a band (a multiple of 2), seed, rounds with pivots, nodes
-    from which a bucket's last comparisons go by blocks, nodes in a block."""
+    """Words in a shingle, least similarity in percent, bands (of 4 values each), seed, nodes in a block."""
 
     shingle: int = 5
     percent: int = 80
     bands: int = 32
-    rows: int = 4
     seed: int = 7
-    pivots: int = 3
-    crowd: int = 48
     block: int = 256
 
     @property
     def permutations(self) -> int:
-        return self.bands * self.rows // 2
+        return self.bands * 2
+
+    @property
+    def least_equal(self) -> int:
+        """Signature values in which a pair of the least similarity agrees, less 7 standard deviations."""
+        n, p = 4 * self.bands, self.percent / 100
+        return max(1, int(n * p - 7 * (n * p * (1 - p)) ** 0.5))
 
 
 def signature(shingles: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
@@ -54,11 +59,9 @@ def signature(shingles: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.nda
 
 
 def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
-    """One 64-bit key per band; a band takes values of different permutations, half of them smallest and half largest."""
-    acc = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for part in values.reshape(-1, bands):
-        acc = mixed(acc + part)
-    return acc.view(np.int64)
+    """One 64-bit key per band: 16 bits of 4 values, two smallest and two largest, all of different permutations."""
+    parts = values.astype(np.uint16).reshape(4, bands)
+    return np.ascontiguousarray(parts.T).view(np.int64).ravel()
 
 
 def _sign(config: MinMax):
@@ -99,14 +102,14 @@ def _compare(config: MinMax):
 
     def run(table):
         asks = np.array(table.column("asks").to_pylist(), bool)
-        nodes, comps = table.column("node").to_pylist(), np.array(table.column("component").to_pylist())
-        sets = [np.asarray(x, np.int64) for x in table.column("shingles").to_pylist()]
-        sizes = np.array([len(x) for x in sets])
+        nodes, comps = table.column("node").to_numpy(), table.column("component").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
         q, t = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out_a, out_b = [], []
+        out_a, out_b = nodes[:0], nodes[:0]
         if len(q) and len(t):
-            row = np.repeat(np.arange(len(sets)), sizes)
-            _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            _, at, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
             keep = seen[at] > 1  # a shingle of one node is in no intersection
             row, at = row[keep], np.unique(at[keep], return_inverse=True)[1]
             order = np.argsort(at, kind="stable")
@@ -114,30 +117,28 @@ def _compare(config: MinMax):
             both = np.zeros((len(q), len(t)), np.float32)
             for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
                 i, j = np.searchsorted(at, [lo, lo + 4096])
-                x = np.zeros((len(sets), 4096), np.float32)
+                x = np.zeros((len(sizes), 4096), np.float32)
                 x[row[i:j], at[i:j] - lo] = 1.0
                 both += x[q] @ x[t].T
             inter = np.rint(both).astype(np.int64)
             union = sizes[q][:, None] + sizes[t][None, :] - inter
             a, b = np.nonzero((inter * 100 >= union * config.percent) & (comps[q][:, None] != comps[t][None, :]))
             # one link from each asking node to each component is as good as all
-            _, first = np.unique(a * (len(sets) + 1) + np.unique(comps[t], return_inverse=True)[1][b], return_index=True)
-            out_a, out_b = [nodes[k] for k in q[a[first]]], [nodes[k] for k in t[b[first]]]
-        kind = table.schema.field("node").type
-        return pa.table({"a": pa.array(out_a, kind), "b": pa.array(out_b, kind)})
+            _, first = np.unique(a * (len(sizes) + 1) + np.unique(comps[t], return_inverse=True)[1][b], return_index=True)
+            out_a, out_b = nodes[q[a[first]]], nodes[t[b[first]]]
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
 
 
-def _crowd_links(crowds: DataFrame, sets: DataFrame, config: MinMax) -> DataFrame:
-    """links(a, b) between nodes of different components in crowded buckets(band, node, component).
+def _block_links(open_: DataFrame, sets: DataFrame, config: MinMax, tables: Tables) -> DataFrame:
+    """links(a, b) between nodes of different components in the buckets open_(band, node, component).
 
     Buckets that share nodes form one group. Its nodes outside the group's largest component ask all others, block against block.
     """
-    kind = crowds.schema["node"].dataType.simpleString()
-    ties = crowds.join(crowds.groupBy("band").agg(F.min("node").alias("head")), "band").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(ties).select("node", F.col("component").alias("group"))
-    nodes = stored(crowds.select("node", "component").distinct().join(groups, "node"), "crowd")
+    ties = open_.join(open_.groupBy("band").agg(F.min("node").alias("head")), "band").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")
+    groups = components(ties, tables).select("node", F.col("component").alias("group"))
+    nodes = tables.stored(open_.select("node", "component").distinct().join(groups, "node"), "grouped")
     main = nodes.groupBy("group", "component").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("few"))
     main = main.select("group", "main", F.ceil(F.col("all") / config.block).cast("int").alias("nt"), F.ceil(F.col("few") / config.block).cast("int").alias("na")).where("na > 0")
     placed = nodes.join(main, "group").join(sets, "node")
@@ -145,80 +146,81 @@ def _crowd_links(crowds: DataFrame, sets: DataFrame, config: MinMax) -> DataFram
     columns = ["group", "qa", "qt", "asks", "node", "component", "shingles"]
     asking = placed.where("component <> main").withColumn("asks", F.lit(True)).withColumn("qa", spot("na")).withColumn("qt", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
     asked = placed.withColumn("asks", F.lit(False)).withColumn("qt", spot("nt")).withColumn("qa", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-    return asking.select(columns).union(asked.select(columns)).groupBy("group", "qa", "qt").applyInArrow(_compare(config), f"a {kind}, b {kind}")
+    return asking.select(columns).union(asked.select(columns)).groupBy("group", "qa", "qt").applyInArrow(_compare(config), "a bigint, b bigint")
+
+
+def _several(open_: DataFrame) -> DataFrame:
+    """Those rows of open_(band, node, component, ...) whose bucket holds more than one component."""
+    ends = open_.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return open_.join(ends.select("band"), "band", "left_semi")
+
+
+def _able(open_: DataFrame, sets: DataFrame, config: MinMax) -> DataFrame:
+    """open_ without nodes that can link to no other component: too many of their shingles are in no other component of open_."""
+    left = open_.select("node", "component").distinct()
+    seen = left.join(sets, "node").select("node", "component", F.explode("shingles").alias("shingle"))
+    both = seen.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    met = seen.join(both, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
+    return open_.join(met, "node").where(F.col("met") * 100 >= F.col("n") * config.percent).drop("met")
+
+
+#: Equal values of the signatures ba and bb, for SQL.
+_EQUAL = "aggregate(zip_with(ba, bb, (x, y) -> x ^ y), 0, (s, z) -> s + if(z & 65535 = 0, 1, 0) + if(z & 4294901760 = 0, 1, 0) + if(z & 281470681743360 = 0, 1, 0) + if(shiftrightunsigned(z, 48) = 0, 1, 0))"
+
+
+def _hub_pairs(members: DataFrame, nodes: DataFrame, config: MinMax) -> DataFrame:
+    """pairs(a, b) of every bucket's hub and other nodes whose sizes and signatures allow a link."""
+    degree = members.groupBy("node").agg(F.sum("width").alias("degree"))
+    ranked = members.join(degree, "node").select("band", "node", "n", F.struct("degree", F.xxhash64("node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na")).alias("hub"))
+    hubs = ranked.groupBy("band").agg(F.max("hub").alias("hub")).select("band", "hub.a", "hub.na")
+    fits = (F.col("a") != F.col("node")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * config.percent)
+    pairs = members.join(hubs, "band").where(fits).select("a", F.col("node").alias("b")).distinct()
+    signs = nodes.select("node", "bands")
+    pairs = pairs.join(signs.select(F.col("node").alias("a"), F.col("bands").alias("ba")), "a").join(signs.select(F.col("node").alias("b"), F.col("bands").alias("bb")), "b")
+    return pairs.where(F.expr(_EQUAL) >= config.least_equal).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, config: MinMax = MinMax(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of docs.
 
-    Null or blank texts have no shingles and are their own component. A null id has a null component and is kept. Rows that
-    repeat an id share its component. Other columns are not read, so their names cannot clash.
+    Null or blank texts have no shingles and link with nothing. Rows that repeat an id are compared each by its own text. A row
+    without an id takes part through its text: its component is the smallest id of its group, null if there is none, and it is kept
+    only then. Other columns are not read, so their names cannot clash.
     """
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
     small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    signed = stored(texts.mapInArrow(_sign(config), f"id {kind}, n bigint, key binary, bands array<bigint>"), "signed")
-    nodes = signed.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = stored(nodes, "nodes")
+    signed = tables.stored(texts.mapInArrow(_sign(config), f"id {kind}, n bigint, key binary, bands array<bigint>"), "signed")
+    distinct = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = tables.stored(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    members = stored(banded.join(shared, "band"), "members")
-
-    wanted = members.select("node").distinct().join(nodes.select("node", "key"), "node")
-    wanted = stored(wanted, "wanted")
-    read = texts.join(wanted.select(F.col("node").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets(config), "key binary, shingles array<bigint>")
-    sets = stored(read.join(wanted, "key").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of pairs(a, b, na, nb) that have enough in common, on their full sets."""
-        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * config.percent).select("a", "b")
-
-    def with_own(open_: DataFrame) -> DataFrame:
-        """Adds `own`, the shingles of a node that no other component holds; nodes that cannot link for want of shared ones go."""
-        nodes_left = open_.select("node", "component").distinct()
-        seen = nodes_left.join(sets, "node").select("node", "component", F.explode("shingles").alias("shingle"))
-        by = Window.partitionBy("shingle")
-        alone = seen.withColumn("lo", F.min("component").over(by)).withColumn("hi", F.max("component").over(by)).where("lo = hi").groupBy("node").agg(F.count("*").alias("own"))
-        return open_.join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where((F.col("n") - F.col("own")) * 100 >= F.col("n") * config.percent)
-
-    # Two nodes of different components share none of their own shingles, so what they can have in common has this bound.
-    able = (F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob")) * 100 >= F.greatest(F.col("na") + F.col("ob"), F.col("nb") + F.col("oa")) * config.percent) & (F.col("ca") != F.col("cb"))
-    links, tried = None, None
-    comp = members.select("node", F.col("node").alias("component")).distinct()
-    for step in range(config.pivots + 1):
-        open_ = members.join(comp, "node")
-        mixed_up = open_.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        open_ = stored(open_.join(mixed_up, "band"), "open")
-        if open_.isEmpty():
-            break
-        open_ = open_.withColumn("own", F.lit(0)) if step == 0 else stored(with_own(open_), "able")
-        b = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("own").alias("ob"))
-        if step < config.pivots:
-            pivot = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(step), "node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("own").alias("oa"))).alias("p"))
-            a = pivot.select(F.col("band").alias("band_a"), "p.a", "p.na", "p.ca", "p.oa")
-            pairs = a.join(b, (F.col("band_a") == F.col("band")) & able)
-        else:
-            width = open_.groupBy("band").agg(F.count("*").alias("width"))
-            crowds = open_.join(width.where(F.col("width") > config.crowd).select("band"), "band")
-            crowded = stored(_crowd_links(crowds, sets, config), "crowded")
-            links = crowded if links is None else links.union(crowded)
-            open_, b = (d.join(width.where(F.col("width") <= config.crowd).select("band"), "band") for d in (open_, b))
-            a = open_.select(F.col("band").alias("band_a"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("own").alias("oa"))
-            pairs = a.join(b, (F.col("band_a") == F.col("band")) & (F.col("a") < F.col("b")) & able)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        new = stored(confirmed(pairs), "confirmed")
-        links = new if links is None else links.union(new)
-        found = components(links)
-        comp = stored(members.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "comp")
-
-    labelled = nodes.select("key", "node").join(comp, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("width")).where("width > 1")
+    members = tables.stored(banded.join(shared, "band"), "members")
+
+    wanted = members.select("node").distinct().join(nodes.select("node", "key", "least"), "node")
+    wanted = tables.stored(wanted, "wanted")
+    ids = wanted.select(F.col("least").alias("id")).distinct()
+    read = texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi").mapInArrow(_sets(config), "key binary, shingles array<bigint>")
+    sets = tables.stored(read.join(wanted.select("key", "node"), "key").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+    pairs = tables.stored(_hub_pairs(members, nodes, config), "pairs")
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    links = pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * config.percent).select("a", "b")
+    comp = components(links, tables)
+
+    open_ = members.join(comp, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    open_ = tables.stored(_several(open_), "open")
+    open_ = tables.stored(_several(_able(open_, sets, config)), "able")
+    if not open_.isEmpty():
+        more = _block_links(open_, sets, config, tables)
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), tables)
+
+    named = nodes.select("key", "node", "least").join(comp, "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
+    first = named.groupBy("component").agg(F.min("least").alias("first"))
+    labelled = tables.stored(named.join(first, "component").select("key", "first"), "labelled")
+    tables.drop(but=(signed, labelled))
     out = signed.select("id", "n", "key").join(labelled, "key", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("first"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import WORD_PATTERN, stored
+from boxloom.llm.common import WORD_PATTERN, Tables
 
 
 @dataclass(frozen=True)
@@ -53,12 +53,12 @@ def targets(sizes: DataFrame, config: Mix) -> DataFrame:
     return listed.select("source", "rank", "source_size", target.alias("target"), "budget")
 
 
-def queued(docs: DataFrame, config: Mix, id_col: str, source_col: str, text_col: str) -> DataFrame:
+def queued(docs: DataFrame, config: Mix, id_col: str, source_col: str, text_col: str, tables: Tables) -> DataFrame:
     """Every document's turns: (id, source, rank, size, source_size, target, bucket, pos, copy, finish, taken)."""
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
     sizes = sizes.withColumn("turn", F.md5(F.concat_ws("|", F.lit(config.seed), F.col("id").cast("string")))).withColumn("bucket", F.substring("turn", 1, 3))
-    sizes = stored(sizes, "sizes")
-    goal = stored(targets(sizes, config), "targets")
+    sizes = tables.stored(sizes, "sizes")
+    goal = tables.stored(targets(sizes, config), "targets")
     buckets = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before")
@@ -68,8 +68,8 @@ def queued(docs: DataFrame, config: Mix, id_col: str, source_col: str, text_col:
     run = run.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     turns = run.withColumn("copy", F.explode(F.array(*(F.lit(k) for k in range(config.passes)))))
     finish = F.expr("if(target > 0 and size > 0, (copy * source_size + before + upto) / target, null)")
-    turns = turns.withColumn("finish", finish).withColumn("slice", F.least(F.floor(F.col("finish") * config.slices), F.lit(4 * config.slices)))
-    turns = stored(turns.select("id", "source", "rank", "size", "source_size", "target", "budget", "bucket", "pos", "copy", "finish", "slice"), "turns")
+    turns = turns.withColumn("finish", finish).withColumn("slice", F.floor(F.col("finish") * config.slices))
+    turns = tables.stored(turns.select("id", "source", "rank", "size", "source_size", "target", "budget", "bucket", "pos", "copy", "finish", "slice"), "turns")
     slices = turns.where("slice is not null").groupBy("slice").agg(F.sum("size").alias("words"))
     slices = slices.withColumn("sofar", F.coalesce(F.sum("words").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     order = Window.partitionBy("slice", F.expr("if(slice is null, bucket, null)")).orderBy("finish", "rank", "bucket", "pos", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -83,12 +83,15 @@ def allotted(docs: DataFrame, config: Mix = Mix(), id_col: str = "doc_id", sourc
     A null text has size 0, and what has size 0 is never taken. A null source is a source of its own, the last. Rows that repeat
     an id queue one by one. An empty table gives an empty result. Reruns agree, since the order hangs on ids alone.
     """
-    turns = queued(docs, config, id_col, source_col, text_col)
+    tables = Tables(docs.sparkSession)
+    turns = queued(docs, config, id_col, source_col, text_col, tables)
     sums = turns.groupBy("id", "source", "bucket", "pos", "size", "source_size", "target").agg(F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("taken"))
-    return sums.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")
+    out = tables.stored(sums.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken"), "allotted")
+    tables.drop(but=(out,))
+    return out
 
 
 def mixed(docs: DataFrame, config: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: (id, source, copy, size, finish) of all that is taken, in the order of finish times over the whole table."""
-    turns = queued(docs, config, id_col, source_col, text_col).where("taken")
+    turns = queued(docs, config, id_col, source_col, text_col, Tables(docs.sparkSession)).where("taken")
     return turns.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "copy", "size", "finish").orderBy("finish", source_col, id_col, "copy")

@@ -15,7 +15,7 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import binary, small_batches
@@ -29,10 +29,11 @@ _ENDS = (b".", b"!", b"?", b'"', b":", b"\xe2\x80\xa6")
 
 @dataclass(frozen=True)
 class Quality:
-    """Buckets of hashed features, documents the scorer is fitted on (at most), passes over them, step, decay, least chance to be kept, seed."""
+    """Buckets of hashed features, documents the scorer is fitted on and their distinct features (at most), passes over them, step, decay, least chance to be kept, seed."""
 
     buckets: int = 1 << 16
     sample: int = 6000
+    features: int = 20_000_000
     passes: int = 200
     step: float = 4.0
     decay: float = 1e-4
@@ -93,7 +94,7 @@ _RUNS = re.compile(r"(.)\1+")
 
 
 class Features:
-    """Hashed features: of each word its shape, first and last three bytes; of the text its measures in steps."""
+    """Hashed features: of each word its shape, first and last three characters; of the text its measures in steps."""
 
     def __init__(self, buckets: int, most: int = 200_000):
         self.buckets, self.most, self.known = buckets, most, {}
@@ -103,8 +104,9 @@ class Features:
 
     def made(self, word: bytes) -> tuple[int, int, int]:
         """Features of a word, not kept at hand."""
-        shape = _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:60].decode("utf-8", "replace")))
-        return self._slot(b"s" + shape.encode()), self._slot(b"p" + word[:3]), self._slot(b"e" + word[-3:])
+        said = word.decode("utf-8", "replace")
+        shape = _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in said))
+        return self._slot(b"s" + shape.encode()), self._slot(b"p" + said[:3].encode()), self._slot(b"e" + said[-3:].encode())
 
     def of_word(self, word: bytes) -> tuple[int, int, int]:
         got = self.known.get(word)
@@ -159,19 +161,25 @@ def accuracies(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.n
     return float(share), table, dict(zip(names, good.tolist(), strict=True))
 
 
-def _featured(config: Quality):
+def _featured(shared, config: Quality):
+    """Features of documents that have words, with the chance that their vote pattern is good."""
+
     def run(batches):
-        features = Features(config.buckets)
+        features, chance = Features(config.buckets), shared.value
         for batch in batches:
-            slots, values = [], []
-            for text in binary(batch.column(1)):
+            ids, slots, values, good = [], [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
                 words = text.split() if text else []
-                flat = np.array([f for w in words for f in features.of_word(w)], np.int64)
-                own, counts = np.unique(flat, return_counts=True)
-                extra = features.of_text(measures(text, words)) if words else []
+                if not words:
+                    continue
+                own, counts = np.unique(np.array([f for w in words for f in features.of_word(w)], np.int64), return_counts=True)
+                m = measures(text, words)
+                extra = features.of_text(m)
+                ids.append(name)
+                good.append(chance["".join(map(str, votes(m)))])
                 slots.append([*own.tolist(), *extra])
-                values.append([*(counts / max(1, len(words))).tolist(), *[0.5] * len(extra)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), batch.column(2)], ["id", "slots", "values", "good"])
+                values.append([*(counts / len(words)).tolist(), *[0.5] * len(extra)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(good, pa.float64())], ["id", "slots", "values", "good"])
 
     return run
 
@@ -219,7 +227,8 @@ def _scored(shared, config: Quality, names: list[str], text_col: str):
 
 
 def train(docs: DataFrame, config: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text"):
-    """(weights, share of good documents, vote table): votes of all documents, a scorer fitted on a sample of at most config.sample."""
+    """(weights, share of good documents, vote table): votes of all documents, a scorer fitted on a sample of at most config.sample
+    documents with config.features distinct features in all."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -231,18 +240,13 @@ def train(docs: DataFrame, config: Quality = Quality(), id_col: str = "doc_id",
     # a sample by hash, a little below the bound on average, so that it keeps to it
     part = min(1.0, 0.9 * config.sample / total)
     sample = rows.where((F.pmod(F.xxhash64(F.lit(config.seed), "id"), F.lit(1 << 30)) / float(1 << 30) < part) & (F.length("text") > 0))
-    voted = sample.mapInArrow(_voted_text, f"id {kind}, text string, pattern string").where("pattern is not null")
-    goods = F.create_map(*(F.lit(x) for kv in chance.items() for x in kv))
-    made = voted.select("id", "text", goods[F.col("pattern")].alias("good")).mapInArrow(_featured(config), f"id {kind}, slots array<int>, values array<float>, good double").orderBy("id").limit(config.sample).toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast(chance)  # at most 3^labellers numbers
+    made = sample.select("id", "text").mapInArrow(_featured(shared, config), f"id {kind}, slots array<int>, values array<float>, good double").orderBy("id").limit(config.sample)
+    upto = F.sum(F.size("slots")).over(Window.orderBy("id", "good").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # of at most config.sample rows
+    made = made.withColumn("upto", upto).where(F.col("upto") <= config.features).select("slots", "values", "good").toPandas()
     return fitted(made.slots.tolist(), made["values"].tolist(), made.good.to_numpy(), config), share, table
 
 
-def _voted_text(batches):
-    for batch in batches:
-        patterns = [p for out in _vote([batch]) for p in out.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(patterns, pa.string())], ["id", "text", "pattern"])
-
-
 def scored(docs: DataFrame, weights: np.ndarray, config: Quality = Quality(), text_col: str = "text") -> DataFrame:
     """docs with quality_score, the chance to be good: every row and column, texts not shuffled. Null or blank texts score 0.
 

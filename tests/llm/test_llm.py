@@ -121,8 +121,8 @@ def test_op2_counts_are_greedy(spark, docs, odd, nothing, vocabulary):
     assert [c.count(w) for w in ("abcef", "abcdx", "abcd", "x", "abce", "")] == [3, 0, 1, 0, 3, 0]
 
 
-@pytest.mark.parametrize("crowd", [48, 1])
-def test_op3_is_exact(spark, docs, crowd):
+@pytest.mark.parametrize("block", [256, 16])
+def test_op3_is_exact(spark, docs, block):
     base = [f"v{k}" for k in range(60)]
     rng = np.random.default_rng(2)
     rows = []
@@ -133,10 +133,18 @@ def test_op3_is_exact(spark, docs, crowd):
         rows.append((10_000 + i, " ".join(w), "s"))
     table = docs.union(spark.createDataFrame(rows, docs.schema))
     root, sizes = linked({r.doc_id: r.text for r in table.collect()}, 4, 80)
-    got = minhash.near_duplicates(table, minhash.MinMax(shingle=4, crowd=crowd, pivots=1, block=16)).collect()
+    got = minhash.near_duplicates(table, minhash.MinMax(shingle=4, block=block)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (sizes[i], root[i], root[i] == i) for i in root}
 
 
+def test_op3_texts_that_share_an_id(spark):
+    """Every row is compared by its own text; rows without an id take part."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (None, b + " y"), (None, "c d e f g h"), (9, "c d e f g h")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), minhash.MinMax(shingle=4)).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, 1, False), (0, 9, False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (9, 9, True)]
+
+
 def test_op3_odd_rows(spark, odd, nothing):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect())
     assert len(got) == len(ODD) and minhash.near_duplicates(nothing).collect() == []
@@ -332,16 +340,18 @@ def test_pipeline_is_its_stages(spark):
 
 
 def test_pipeline_odd_rows(spark, odd):
-    frame = spark.createDataFrame(ODD, SCHEMA)
+    rows = [*ODD, (8, "one two three four five six seven ABCD", "b", 17), (8, " ".join(f"x{k}" for k in range(20)), "b", 18), (10, " ".join(f"x{k}" for k in range(20)) + " y", "b", 19)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.concat(F.lit(c), F.col("n")) for c in ("quality_score", "keep", "k", "copies", "_n", "row_number", "id", "own")})
+    known = {r.n: r for r in frame.collect()}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, frame, SF)
-        rows = out.collect()
+        got = out.collect()
         if name != "token_files":
-            assert out.columns == frame.columns
+            assert out.columns == frame.columns and all(r == known[r.n] for r in got)
         if name == "near_duplicates":
-            assert sorted(r.doc_id for r in rows if r.doc_id) == [1, 2, 3, 4, 6, 7]
+            assert sorted(r.doc_id or -1 for r in got) in ([-1, 1, 2, 3, 4, 7, 8, 8], [1, 2, 3, 4, 6, 7, 8, 8])
         if name == "decontamination":
-            assert len(rows) == len(ODD)
+            assert len(got) == len(rows)
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, frame.limit(0), SF).collect()
 
