@@ -1,5 +1,8 @@
 """A corpus pipeline over `documents`: low-quality texts go, one document of each group of copies stays, benchmark passages go,
-sources are mixed to their weights, and the mix becomes token files. Each stage is written as Parquet and read by the next one."""
+sources are mixed to their weights, and the mix becomes token files. Each stage is written as Parquet and read by the next one.
+
+Stages decide by row: by doc_id where it names rows, else by a row number. Columns of the input keep their values, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -7,61 +10,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.llm import contamination, minhash, mixing, quality, tokenfiles
-from boxloom.llm.common import new_path, stored
+from boxloom.llm.common import Tables, new_path
 from boxloom.llm.queries import END_ID, tokenizer_file
 
 #: The classifier, the min-max signatures and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is not in ids(doc_id); rows without an id stay."""
-    return docs.join(ids.distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
-def repeated_ids(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+def keyed(docs: DataFrame, tables: Tables) -> tuple[DataFrame, str]:
+    """docs and the column that tells its rows apart: doc_id, or where ids repeat or lack, a row number that is written down with them."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs, "doc_id"
+    key = "row_number"
+    while key in docs.columns:
+        key += "_"
+    return tables.stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps. Null and blank texts go."""
-    return quality.classified(docs).where("keep").select(docs.columns)
+    own = {c: c if c in ("doc_id", "text") else f"column_{k}" for k, c in enumerate(docs.columns)}
+    kept = quality.classified(docs.select(*(F.col(f"`{c}`").alias(a) for c, a in own.items()))).where("keep")
+    return kept.select(*(F.col(a).alias(c) for c, a in own.items()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group linked on five-word shingles at similarity 0.8; of rows that repeat an id, one."""
-    groups = stored(minhash.near_duplicates(docs), "groups")
-    out = without(docs, groups.where("not kept").select("doc_id"))
-    again = stored(repeated_ids(docs), "repeated")
-    if again.isEmpty():
-        return out
-    once = out.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return without(out, again).unionByName(once)
+    """The first document of each group linked on five-word shingles at similarity 0.8."""
+    tables = Tables(spark)
+    rows, key = keyed(docs, tables)
+    copies = tables.stored(minhash.near_duplicates(rows, id_col=key).where("not kept").select(key), "copies")
+    return rows.join(copies, key, "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten-word window of a benchmark item."""
-    found = contamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.where("n_hit > 0").select("doc_id"))
+    tables = Tables(spark)
+    rows, key = keyed(docs, tables)
+    found = contamination.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    hit = tables.stored(found.where("n_hit > 0").select(key), "hit")
+    return rows.join(hit, key, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document is there as often as it is taken, not at all or up to twice.
-
-    Rows that share id, source and size are exchangeable for the mix: each takes one of their allotments.
-    """
-    turns = mixing.allotted(docs).where("taken > 0").select("doc_id", F.col("source").alias("_source"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    turns = stored(turns, "turns")
-    sized = docs.withColumn("_n", mixing.n_words(F.col("text").cast("string")))
-    same = docs["doc_id"].eqNullSafe(turns["doc_id"]) & docs["source"].eqNullSafe(turns["_source"]) & (F.col("_n") == F.col("_size"))
-    if not docs.groupBy("doc_id", "source").count().where("count > 1").isEmpty():
-        own = F.row_number().over(mixing.Window.partitionBy("doc_id", "source", "_n").orderBy("text"))
-        sized = sized.withColumn("_k", own)
-        turns = turns.withColumn("_t", F.row_number().over(mixing.Window.partitionBy("doc_id", "_source", "_size").orderBy(F.desc("_copies"))))
-        sized, turns = sized.alias("a"), turns.alias("b")
-        same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_t"))
-        return sized.join(turns, same).select("a.*", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
-    return sized.alias("a").join(turns, same).select("a.*", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """The mix of sources: a document is there as often as it is taken, not at all or up to twice."""
+    tables = Tables(spark)
+    rows, key = keyed(docs, tables)
+    taken = mixing.allotted(rows, id_col=key).where("taken > 0").select(F.col(key).alias("k"), F.expr("cast(taken / size as int)").alias("copies"))
+    turns = tables.stored(taken, "turns")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+    return rows.select(F.col(key).alias("k"), own).join(turns, "k").select("own", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("own.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +79,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`: a row per document of the mix with its place and checksum in the token files."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = tables.stored(stage(spark, docs, sf_dir), name)
+        tables.drop(but=(docs,))
     return docs
