@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import sys
+import unicodedata
 import uuid
 from array import array
 
@@ -39,15 +40,29 @@ MOST_WORDS = 400_000
 #: Marks tokens that end a word (a fixed value of such vocabularies).
 WORD_END = "</w>"
 
+#: First code point beyond Latin letters (a fixed value of Unicode).
+BEYOND_LATIN = "\u0250"
+
 _stores: dict = {}
 
 
+def plain(word: str) -> bool:
+    """Whether a word is, and stays in composed lower case, Latin letters alone, so that no tokenizer parts it or joins it to a neighbour."""
+    if not word.isalpha():
+        return False
+    if word.isascii():
+        return True
+    made = unicodedata.normalize("NFC", word).lower()
+    return made.isalpha() and max(made) < BEYOND_LATIN
+
+
 class WordIds:
     """Ids of texts as bytes.
 
     A tokenizer that drops blanks never joins what a space or line feed parts; for one like that, distinct words are encoded once.
-    Words of letters alone are encoded many at a time: each ends in one token that the vocabulary marks as a word's end, which
-    parts them again, and should their number ever differ, the words go one by one. Other tokenizers encode whole texts.
+    Words of plain letters are encoded many at a time: each ends in one token that the vocabulary marks as a word's end, which
+    parts them again, and should their number ever differ, the words go one by one. All other words are encoded whole, and other
+    tokenizers encode whole texts.
     """
 
     def __init__(self, vocabulary: str, bits: int):
@@ -80,12 +95,12 @@ class WordIds:
         return [b"".join(map(self.known.__getitem__, some)) for some in lists]
 
     def learn(self, words: set[str]) -> None:
-        """Encodes new words. A closing comma or full stop after letters is always a token apart."""
+        """Encodes new words. A closing comma or full stop after plain letters is always a token apart."""
         letters, closed, rest = [], [], []
         for w in words:
-            if w.isalpha():
+            if plain(w):
                 letters.append(w)
-            elif w[-1] in ",." and w[:-1].isalpha():
+            elif w[-1] in ",." and plain(w[:-1]):
                 closed.append(w)
             else:
                 rest.append(w)
