@@ -2,7 +2,9 @@
 
 A page becomes a tree. Every paragraph gives points for its length and its commas to its container, half of them to the one above
 and ever less further up; a container's points are discounted by the share of its text that lies in links. The container with most
-points is kept, with those of its siblings that score well or read like prose, less what inside them is furniture or mostly links.
+points is kept, with those of its siblings that score well or read like prose; if it lies in an article or main element, that element is kept. Link
+density chooses the container, but cuts nothing out of an article: inside what is kept only furniture goes, and outside of articles
+also lists of short links.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ SCOPES = frozenset("ul ol dl table div section article body html form nav aside
 # Furniture by element, by role, and by words of class and id; the weak words yield to words that name content.
 FURNITURE = frozenset("head nav header footer aside form button select input label fieldset dialog menu svg canvas object audio video math script style noscript iframe template textarea title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-STRONG = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion comment comments commentlist disqus cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs footer newsletter subscribe popup modal overlay masthead sidebar toolbar pagination pager login signup".split())
-WEAK = frozenset("header related recommended share sharing social widget banner notice alert tags meta byline skip rail outbrain taboola".split())
+STRONG = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist disqus cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs footer newsletter subscribe popup modal overlay masthead sidebar toolbar pagination pager login signup".split())
+WEAK = frozenset("promo promoted promotion header related recommended share sharing social widget banner notice alert tags meta byline skip rail outbrain taboola".split())
 CONTENT = frozenset("article content main body post entry story text page".split())
 NEVER = frozenset("html body article main".split())
+# Words before a word of class and id that turn it into a remark about the layout (layout-with-sidebar, no-ads).
+REMARKS = frozenset("with has no without".split())
+# Marks at which a sentence ends, and the mean length under which the links of a list read like a menu (code points).
+SENTENCE, MENU_LINK = (".", "!", "?", ":", "…", "”", '"'), 25
 BONUS = {"article": 10.0, "main": 8.0, "section": 3.0, "div": 3.0, "blockquote": 2.0, "td": 2.0, "pre": 2.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "body": 0.0}
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
@@ -36,8 +42,9 @@ _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*+(?:=\s*+(?:"([^"]*+
 _WORDS = re.compile(r"[a-z]+")
 
 
-def furniture(tag: str, attrs: str) -> bool:
-    if tag in FURNITURE:
+def furniture(tag: str, attrs: str, in_article: bool = False) -> bool:
+    """Whether an element is no part of any article. The header of an article holds its title and is one."""
+    if tag in FURNITURE and not (tag == "header" and in_article):
         return True
     if not attrs or tag in NEVER:
         return False
@@ -47,13 +54,14 @@ def furniture(tag: str, attrs: str) -> bool:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.strip() in ROLES:
             return True
         if name in ("class", "id"):
-            words.update(_WORDS.findall(value))
+            found = _WORDS.findall(value)
+            words.update(w for before, w in zip(["", *found], found, strict=False) if before not in REMARKS)
     return bool(words & STRONG) or bool(words & WEAK) and not words & CONTENT
 
 
 def blocks_of(html: str):
     """(tags, parents, blocks): elements in page order, and the blocks (element, text, characters in links) that are not furniture."""
-    tags, parents, gone, links = ["#"], [-1], [False], [False]
+    tags, parents, gone, links, within = ["#"], [-1], [False], [False], [False]
     open_, blocks, parts, size_in_links = [0], [], [], 0
     owner = 0
 
@@ -129,7 +137,8 @@ def blocks_of(html: str):
         up = open_[-1]
         tags.append(tag)
         parents.append(up)
-        gone.append(gone[up] or furniture(tag, attrs))
+        gone.append(gone[up] or furniture(tag, attrs, within[up]))
+        within.append(within[up] or tag == "article")
         links.append(links[up] or tag == "a")
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
@@ -173,22 +182,42 @@ def main_text(html: str | None) -> str:
     density = lambda k: linked[k] / chars[k] if chars[k] else 0.0
     worth = {k: (score[k] + BONUS.get(tags[k], 0.0)) * (1 - density(k)) for k in holds}
     best = max(sorted(worth), key=worth.__getitem__)
+    k = best
+    while k > 0:  # the outermost article, or else the main element, that the best container lies in
+        if tags[k] == "article" or tags[k] == "main" and tags[best] != "article":
+            best = k
+        k = parents[k]
+    whole = tags[best] in ("article", "main")
     keep = {best}
-    if best and tags[best] not in ("body", "html", "article", "main"):
+    if best and not whole and tags[best] not in ("body", "html"):
+        said = {k: False for k in range(n)}
+        for owner, text, _ in blocks:
+            if text.endswith(SENTENCE):
+                k = owner
+                while k >= 0 and not said[k]:
+                    said[k] = True
+                    k = parents[k]
         for k in range(n):
             if parents[k] == parents[best] and k != best and chars[k]:
                 good = worth.get(k, -1.0) >= max(10.0, 0.2 * worth[best])
-                prose = tags[k] in ("p", "pre", "blockquote", "h1", "h2", "h3") and density(k) < 0.25 and (chars[k] > 80 or not linked[k])
+                prose = density(k) < 0.25 and (said[k] or tags[k] in ("p", "pre", "blockquote", "h1", "h2", "h3"))
                 if good or prose:
                     keep.add(k)
+    texts_in = [0] * n
+    for owner, _, _ in blocks:
+        k = owner
+        while k >= 0:
+            texts_in[k] += 1
+            k = parents[k]
+    menu = lambda k: tags[k] in ("ul", "ol", "dl") and density(k) > 0.5 and chars[k] < MENU_LINK * texts_in[k]
     out = []
-    for owner, text, in_links in blocks:
-        k, inside, bad = owner, False, in_links > 0.8 * len(text) and len(text) < 200
+    for owner, text, _ in blocks:
+        k, inside, bad = owner, False, False
         while k >= 0:
             if k in keep:
                 inside = True
                 break
-            bad = bad or tags[k] in ("ul", "ol", "dl", "div", "section", "table") and density(k) > 0.5
+            bad = bad or not whole and menu(k)
             k = parents[k]
         if inside and not bad:
             out.append(text)
