@@ -98,6 +98,21 @@ def test_op1_round_trip(spark, docs, odd, nothing, vocabulary):
     assert tokenfiles.read_tokens(spark, path).collect() == []
 
 
+def test_op1_any_unicode(vocabulary):
+    """Joined parts are what the tokenizer gives for the whole text, whatever the letters do when they are composed or lowered."""
+    from tokenizers import Tokenizer
+
+    file = vocabulary("word_bpe_49k.json")
+    t, rng = Tokenizer.from_file(file), np.random.default_rng(9)
+    odd = "aİıßẞſKÅΣςﬁǅée\u0301\u0307\u0327\u093c\u0915\u0958\u0344\u1100\u1161\u11a8가日٣²½_'’.,!-\u00a0\u2003\t\n \u200d😀\x85"
+    texts = ["xİ, ok", "ABİ. ok", "abc\u0915\u093c, x", "xİ İ. y", "a <|endoftext|> b", "x<|endoftext|>y."]
+    texts += ["".join(rng.choice(list(odd), rng.integers(1, 30))) for _ in range(1500)]
+    texts += [" ".join("".join(rng.choice(list("abÉñİςe\u0301"), rng.integers(1, 6))) + rng.choice([",", ".", ""]) for _ in range(6)) for _ in range(500)]
+    texts += ["".join(chr(c) for c in rng.integers(1, 0xD7FF, 12)) for _ in range(500)]
+    ids = tokenfiles.WordIds(file, 32)
+    assert [ids.pack(t.encode(x, add_special_tokens=False).ids) for x in texts] == ids.encode(texts)
+
+
 def test_op2_counts_are_greedy(spark, docs, odd, nothing, vocabulary):
     file = vocabulary("piece_bpe_32k.model")
     first, later = piececount.vocabulary(file)
@@ -195,12 +210,43 @@ def test_op6_main_text():
     page = """<html><head><title>t</title></head><body><header>Head</header><nav><ul><li><a href=x>menu</a></ul></nav><div class="sidebar"><p>aside, one, two</div>
     <div id=main><h1>The &amp; title</h1><p>First,   paragraph&nbsp;here<br>goes on.<p>Second <b>one</b>, with &lt;tags&gt; &#233;.<script>var a = "<p>no</p>";</script><ul><li><a href=1>l1</a><li><a href=2>l2</a></ul></div>
     <div class=comments><p>Nice post, really, yes!</p></div><form><p>Sign up, now</p></form><footer>&copy; me</footer></body></html>"""
-    assert maintext.main_text(page) == "The & title\n\nFirst, paragraph here goes on.\n\nSecond one, with <tags> é."
+    assert maintext.main_text(page) == "The & title\n\nFirst, paragraph here goes on.\n\nSecond one, with <tags> é."  # l1 and l2 are a menu
     for odd in (None, "", "   ", "<", "<p", "plain text", "<div>" * 5000 + "deep text" + "</div>" * 5000, "<!-- open", "<script>x", "<p a='>", "</p></div>"):
         assert isinstance(maintext.main_text(odd), str)
     assert maintext.main_text("plain &amp; text") == "plain & text"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h1>T</h1><p>One two three, four. Five.</p><p><a href=x>See the full data set here</a></p><p>More, yes.</p></article>", "T|One two three, four. Five.|See the full data set here|More, yes."),
+        ("<article><p>Body text, long enough.</p><h2>References</h2><ul><li><a>First one, 2001</a><li><a>Second</a></ul></article>", "Body text, long enough.|References|First one, 2001|Second"),
+        ("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>Body text, long enough.</p></article>", "Title|Body text, long enough."),
+        ("<div><div class=lead><p>Intro, short.</div><div class=b><p>" + "Long, and so on. " * 30 + "</div></div>", "Intro, short.|" + ("Long, and so on. " * 30).strip()),
+        ('<article><p>A text, here.</p><div class="story-promo"><p>Kept, too.</p></div><div class="promo">Buy!</div></article>', "A text, here.|Kept, too."),
+        ('<div class="layout-with-sidebar no-ads"><p>Long text, with commas, it is.</p></div><div class=sidebar><p>no, no, no.</div>', "Long text, with commas, it is."),
+        ("<article>" + "<section><p>" + "Long, and so on. " * 40 + "</section><section><p>Short</section></article>", ("Long, and so on. " * 40).strip() + "|Short"),
+        ("<main><p>Text, one.</p><ul><li>plain item<li>other</ul></main><div class=comments><p>no, no, no, no</p></div>", "Text, one.|plain item|other"),
+    ],
+)
+def test_op6_keeps_the_article_whole(page, text):
+    assert maintext.main_text(f"<body><nav><a href=x>menu</a></nav>{page}<footer>foot</footer></body>") == text.replace("|", "\n\n")
+
+
+def test_op6_is_the_article_on_every_page(spark):
+    """Brute force: the words of the one article element, by regular expressions, on all pages."""
+    from html import unescape
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in maintext.extract(pages).collect()}
+    assert got.keys() == html.keys()
+    for k, h in html.items():
+        inside = re.search(r"<article>(.*?)</article>", h, re.S)
+        want = unescape(re.sub(r"<[^>]*>", " ", re.sub(r"<(script|style).*?</\1>|<!--.*?-->", " ", inside[1], flags=re.S))).split() if inside else []
+        assert got[k].split() == want
+
+
 def test_op6_table(spark):
     frame = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<article><p>a b</p></article>", "y")], "page_id int, url string, html string, text string")
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in maintext.extract(frame).orderBy("page_id").collect()] == [(1, "u", "", 0), (2, None, "a b", 3)]
@@ -274,7 +320,7 @@ def test_op9_odd_rows(spark, odd, nothing):
     s = whole[6, 8].spans[0]
     assert ODD[5][1][s.start : s.end] == "three four five six"
     assert whole[4, 30_000].n_hit == 11 and whole[4, 30_000]["items"] == ["null"]
-    parts = {(r.doc_id, r.n_words): r for r in contamination.contamination(odd, items, most_bytes=30).collect()}
+    parts = {(r.doc_id, r.n_words): r for r in contamination.contamination(odd, items, most_words=4).collect()}
     assert parts == whole
     assert contamination.contamination(nothing, items).collect() == [] and contamination.contamination(odd, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
