@@ -84,7 +84,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes by word. Emptied by `trim` when it holds too many, so memory is bounded whatever the vocabulary."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

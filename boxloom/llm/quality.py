@@ -96,7 +96,7 @@ _RUNS = re.compile(r"(.)\1+")
 class Features:
     """Hashed features: of each word its shape, first and last three characters; of the text its measures in steps."""
 
-    def __init__(self, buckets: int, most: int = 200_000):
+    def __init__(self, buckets: int, most: int = 100_000):
         self.buckets, self.most, self.known = buckets, most, {}
 
     def _slot(self, name: bytes) -> int:
@@ -184,20 +184,27 @@ def _featured(shared, config: Quality):
     return run
 
 
-def fitted(slots: list, values: list, good: np.ndarray, config: Quality) -> np.ndarray:
-    """Weights of a logistic scorer (the last is the constant), by gradient steps on soft labels, both classes weighing alike."""
+def fitted(slots: np.ndarray, values: np.ndarray, ends: np.ndarray, good: np.ndarray, config: Quality) -> np.ndarray:
+    """Weights of a logistic scorer (the last is the constant), by gradient steps on soft labels, both classes weighing alike.
+
+    Document k has the features slots[ends[k] : ends[k + 1]], at least one. They are taken some documents at a time, so that besides
+    them little memory is needed.
+    """
     w = np.zeros(config.buckets + 1)
     if not len(good):
         return w
-    row = np.repeat(np.arange(len(good)), [len(s) for s in slots])
-    at, x = np.concatenate([np.asarray(s, np.int64) for s in slots]), np.concatenate([np.asarray(v, np.float64) for v in values])
     weight = good / max(good.sum(), 1e-9) + (1 - good) / max((1 - good).sum(), 1e-9)
     weight /= weight.sum()
     speed = np.zeros_like(w)
     for _ in range(config.passes):
-        z = np.bincount(row, w[at] * x, len(good)) + w[-1]
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good)
-        slope = np.append(np.bincount(at, error[row] * x, config.buckets), error.sum()) + config.decay * w
+        slope = config.decay * w
+        for lo in range(0, len(good), 500):
+            e = ends[lo : lo + 501]
+            at, x, own = slots[e[0] : e[-1]], values[e[0] : e[-1]], good[lo : lo + 500]
+            z = np.add.reduceat(w[at] * x, e[:-1] - e[0]) + w[-1]
+            error = weight[lo : lo + 500] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - own)
+            slope[:-1] += np.bincount(at, np.repeat(error, np.diff(e)) * x, config.buckets)
+            slope[-1] += error.sum()
         speed = 0.9 * speed - config.step * slope
         w = w + speed
     return w
@@ -243,8 +250,10 @@ def train(docs: DataFrame, config: Quality = Quality(), id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(chance)  # at most 3^labellers numbers
     made = sample.select("id", "text").mapInArrow(_featured(shared, config), f"id {kind}, slots array<int>, values array<float>, good double").orderBy("id").limit(config.sample)
     upto = F.sum(F.size("slots")).over(Window.orderBy("id", "good").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # of at most config.sample rows
-    made = made.withColumn("upto", upto).where(F.col("upto") <= config.features).select("slots", "values", "good").toPandas()
-    return fitted(made.slots.tolist(), made["values"].tolist(), made.good.to_numpy(), config), share, table
+    made = made.withColumn("upto", upto).where(F.col("upto") <= config.features).select("slots", "values", "good").toArrow()
+    slots, values = (made.column(c).combine_chunks() for c in ("slots", "values"))
+    ends = np.concatenate([[0], np.cumsum(slots.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return fitted(slots.flatten().to_numpy(), values.flatten().to_numpy(), ends, made.column("good").to_numpy(), config), share, table
 
 
 def scored(docs: DataFrame, weights: np.ndarray, config: Quality = Quality(), text_col: str = "text") -> DataFrame:

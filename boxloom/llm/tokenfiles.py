@@ -35,8 +35,8 @@ def filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-#: Words whose ids a worker keeps at hand, over all its tasks; beyond it the store starts anew, so memory is bounded.
-MOST_WORDS = 400_000
+#: Words whose ids a worker keeps at hand, over all its tasks; beyond it only those of the batch at hand stay, so memory is bounded.
+MOST_WORDS = 250_000
 #: Marks tokens that end a word (a fixed value of such vocabularies).
 WORD_END = "</w>"
 
@@ -86,11 +86,11 @@ class WordIds:
         if not self.by_word:
             return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lists = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.known) > MOST_WORDS:
-            self.known = {"": b""}
-        words: set[str] = set()
+        words: set[str] = {""}
         for some in lists:
             words.update(some)
+        if len(self.known) > MOST_WORDS:
+            self.known = {w: self.known[w] for w in words.intersection(self.known)}
         self.learn(words.difference(self.known))
         return [b"".join(map(self.known.__getitem__, some)) for some in lists]
 
