@@ -3,7 +3,8 @@
 Vectors of one label (and one length) are assigned to the cell of the nearest centre. A pair may lie across a border, so a vector
 is also a guest of every cell whose border is near enough: if y lies in cell j, then y.(cj - ci) >= 0, and a vector x of cell i
 within the link angle t of y has x.(ci - cj) <= sin(t) |ci - cj|. Each vector therefore meets all its partners in its own cell, and
-the result is exact. Equal vectors are one row from the start. A cell is cut into blocks, and a task compares two blocks.
+the result is exact. Equal vectors are one row from the start. Cells that are still large are split in the same way, as long as that
+makes them smaller, so their number grows with the label. A cell is cut into blocks, and a task compares two blocks.
 """
 
 from __future__ import annotations
@@ -17,18 +18,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import small_batches, stored
+from boxloom.llm.common import Tables, small_batches
 from boxloom.llm.graph import components
 
 
 @dataclass(frozen=True)
 class Cells:
-    """Least cosine, vectors aimed at in a cell, most cells of a label, vectors of a label that place its centres, rounds of k-means, vectors in a block, seed."""
+    """Least cosine, vectors aimed at in a cell, most parts a cell is split into at once, vectors that place their centres, vectors assigned in a task, share of a cell that a part may have to be split again, rounds of k-means, vectors in a block, seed."""
 
     cosine: float = 0.93
     in_cell: int = 2000
-    most_cells: int = 256
+    parts: int = 64
     sample: int = 8192
+    lot: int = 4096
+    shrink: float = 0.7
     rounds: int = 8
     block: int = 512
     seed: int = 3
@@ -58,12 +61,12 @@ def _units(table) -> np.ndarray:
 
 
 def _centres(config: Cells):
-    """Spherical k-means on the sample of one label: centres as rows."""
+    """Spherical k-means on the sample of one cell: its centres, in one row."""
 
     def run(key, table):
         table = table.sort_by("node")
         x = _units(table.column("vector").to_pylist())
-        k = max(1, min(config.most_cells, len(x), -(-table.column("total")[0].as_py() // config.in_cell)))
+        k = max(1, min(config.parts, len(x), -(-table.column("total")[0].as_py() // config.in_cell)))
         rng = np.random.default_rng(config.seed)
         c = x[rng.choice(len(x), k, replace=False)]
         for _ in range(config.rounds if k > 1 else 0):
@@ -72,38 +75,58 @@ def _centres(config: Cells):
             np.add.at(sums, own, x)
             size = np.linalg.norm(sums, axis=1, keepdims=True)
             c = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), c)
-        return pa.table({"label": [key[0].as_py()] * k, "dim": pa.array([key[1].as_py()] * k, pa.int32()), "centre": [v.astype("<f8").tobytes() for v in c]}, schema=pa.schema([("label", table.schema.field("label").type), ("dim", pa.int32()), ("centre", pa.binary())]))
+        columns = {"label": [key[0].as_py()], "dim": [key[1].as_py()], "cell": [key[2].as_py()], "centres": [[v.astype("<f8").tobytes() for v in c]]}
+        return pa.table(columns, schema=pa.schema([("label", table.schema.field("label").type), ("dim", pa.int32()), ("cell", pa.int64()), ("centres", pa.list_(pa.binary()))]))
 
     return run
 
 
 def _assign(config: Cells):
-    """Own cell and cells as a guest of every vector, from the centres of its label (an array in the row)."""
+    """A lot of a cell's vectors, each in the part of its nearest centre and, as a guest, in those whose border is near enough."""
     reach = math.sin(min(math.acos(max(-1.0, min(1.0, config.cosine))) + 1e-9, math.pi / 2))
 
-    def run(batches):
-        for batch in batches:
-            cells, homes = [], []
-            known: dict = {}
-            for node, centres in zip(batch.column("vector").to_pylist(), batch.column("centres").to_pylist(), strict=True):
-                key = (len(centres), centres[0])
-                if key not in known:
-                    c = np.stack([np.frombuffer(b, "<f8") for b in centres])
-                    gaps = np.sqrt(np.maximum(2 - 2 * np.clip(c @ c.T, -1, 1), 0))
-                    known = {key: (c, gaps)}
-                c, gaps = known[key]
-                dots = c @ _units([node])[0]
-                own = int(np.argmax(dots))
-                near = np.flatnonzero(dots[own] - dots <= reach * gaps[own] + 1e-12)
-                near = near[near != own]
-                cells.append([own, *near.tolist()])
-                homes.append([True, *[False] * len(near)])
-            keep = [c for c in batch.schema.names if c != "centres"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(cells, pa.list_(pa.int32())), pa.array(homes, pa.list_(pa.bool_()))], [*keep, "cells", "homes"])
+    def run(table, centres):
+        names = ["label", "dim", "cell", "total", "node", "copies", "vector", "home"]
+        part, at, homes = np.zeros(table.num_rows, np.int64), np.arange(table.num_rows), table.column("home").to_numpy(zero_copy_only=False)
+        if table.num_rows and centres.num_rows:
+            c = np.stack([np.frombuffer(b, "<f8") for b in centres.column("centres")[0].as_py()])
+            gaps = np.sqrt(np.maximum(2 - 2 * np.clip(c @ c.T, -1, 1), 0))
+            dots = _units(table.column("vector").to_pylist()) @ c.T
+            own = np.argmax(dots, axis=1)
+            near = dots[at, own][:, None] - dots <= reach * gaps[own] + 1e-12
+            near[at, own] = True
+            rows, part = np.nonzero(near)
+            homes, at = homes[rows] & (part == own[rows]), rows
+        out = table.select(names[:-1]).take(pa.array(at))
+        return out.append_column("home", pa.array(homes, pa.bool_())).append_column("part", pa.array(part, pa.int64()))
 
     return run
 
 
+def _cells(nodes: DataFrame, label: str, config: Cells, tables: Tables) -> DataFrame:
+    """(label, dim, cell, node, copies, vector, home): every vector at home in one cell and a guest of others."""
+    keys, columns = ["label", "dim", "cell"], ["label", "dim", "cell", "node", "copies", "vector", "home"]
+    left = nodes.select("label", "dim", F.lit(0).cast("bigint").alias("cell"), "node", "copies", "vector", F.lit(True).alias("home"))
+    limit, done = F.lit(float("inf")), None
+    while True:
+        sizes = left.groupBy(keys).agg(F.count("*").alias("total"), F.count_if("home").alias("own"), F.min(limit).alias("limit"))
+        sizes = tables.stored(sizes, "sizes")
+        large = (F.col("total") > 2 * config.in_cell) & (F.col("own") > 0) & (F.col("total") <= F.col("limit"))
+        rest = left.join(sizes.where(~large).select(keys), keys, "left_semi").select(columns)
+        done = rest if done is None else done.union(rest)
+        if sizes.where(large).isEmpty():
+            return done
+        split = left.drop("limit").join(sizes.where(large).select(*keys, "total"), keys)
+        drawn = F.pmod(F.xxhash64(F.lit(config.seed), "node"), F.lit(1 << 30)) < F.lit(0.8 * config.sample * (1 << 30)) / F.col("total")
+        centres = tables.stored(split.where(drawn).select(*keys, "node", "total", "vector").groupBy(keys).applyInArrow(_centres(config), f"label {label}, dim int, cell bigint, centres array<binary>"), "centres")
+        lots = F.ceil(F.col("total") / config.lot).cast("int")
+        ask = split.withColumn("lot", F.pmod(F.xxhash64("node"), lots).cast("int")).groupBy(*keys, "lot")
+        given = centres.join(sizes.select(*keys, "total"), keys).select(*keys, "centres", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot")).groupBy(*keys, "lot")
+        made = ask.cogroup(given).applyInArrow(_assign(config), f"label {label}, dim int, cell bigint, total bigint, node bigint, copies bigint, vector binary, home boolean, part bigint")
+        made = made.select("label", "dim", F.xxhash64("cell", "part").alias("cell"), "node", "copies", "vector", "home", (F.col("total") * config.shrink).alias("limit"))
+        left, limit = tables.stored(made, "cells"), F.col("limit")
+
+
 def _compare(config: Cells, node_type):
     """Links of a block's own vectors with another block of the cell: per vector the links counted, and trees of the linked ones."""
 
@@ -144,26 +167,19 @@ def near_vectors(vectors: DataFrame, config: Cells = Cells(), id_col: str = "vec
     Rows link if their labels are equal and not null, their lengths are equal, and their cosine in double precision is at least
     config.cosine. Vectors that are null, zero, or hold null or non-finite numbers link with nothing. Rows that repeat an id are
     vectors of their own that share its component. A null id takes part through its vector, and where none of a group has an id
-    the component is null. Centres are placed on a bounded sample of each label; every vector is compared.
+    the component is null; a row without an id is kept only then. Centres are placed on a bounded sample of each cell; every vector is compared.
+    Other columns are not read.
     """
-    spark = vectors.sparkSession
+    spark, tables = vectors.sparkSession, Tables(vectors.sparkSession)
     small_batches(spark, 2000)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     label = rows.schema["label"].dataType.simpleString()
-    keyed = stored(rows.mapInArrow(_keys, f"id bigint, label {label}, key binary, dim int, vector binary"), "keyed")
+    keyed = tables.stored(rows.mapInArrow(_keys, f"id bigint, label {label}, key binary, dim int, vector binary"), "keyed")
     nodes = keyed.where("key is not null").groupBy("label", "dim", "key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     # rows without an id need a node too: a negative number from the vector, which is never shown
-    nodes = stored(nodes.withColumn("node", F.coalesce("least", -F.abs(F.xxhash64("label", "dim", "key") % (1 << 61)) - (1 << 61))), "nodes")
-
-    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("total"))
-    chance = F.least(F.lit(1.0), F.lit(0.8 * config.sample) / F.col("total"))
-    sampled = nodes.join(sizes, ["label", "dim"]).where((F.abs(F.xxhash64(F.lit(config.seed), "key") % 1000003) / 1000003.0) < chance)
-    centres = sampled.select("label", "dim", "node", "total", "vector").groupBy("label", "dim").applyInArrow(_centres(config), f"label {label}, dim int, centre binary")
-    lists = stored(centres.groupBy("label", "dim").agg(F.collect_list("centre").alias("centres")), "centres")  # at most most_cells each
-    placed = nodes.select("label", "dim", "node", "copies", "vector").join(lists, ["label", "dim"])
-    placed = placed.mapInArrow(_assign(config), f"label {label}, dim int, node bigint, copies bigint, vector binary, cells array<int>, homes array<boolean>")
-    placed = stored(placed.select("label", "dim", "node", "copies", "vector", F.explode(F.arrays_zip("cells", "homes")).alias("at")).select("label", "dim", "node", "copies", "vector", F.col("at.cells").alias("cell"), F.col("at.homes").alias("home")), "placed")
+    nodes = tables.stored(nodes.withColumn("node", F.coalesce("least", -F.abs(F.xxhash64("label", "dim", "key") % (1 << 61)) - (1 << 61))), "nodes")
 
+    placed = _cells(nodes, label, config, tables)
     held = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("all"), F.count_if(F.col("home")).alias("own"))
     held = held.select("label", "dim", "cell", F.ceil(F.col("all") / config.block).cast("int").alias("targets"), F.ceil(F.col("own") / config.block).cast("int").alias("askers"))
     cut = placed.join(held, ["label", "dim", "cell"]).where("askers > 0")
@@ -172,14 +188,16 @@ def near_vectors(vectors: DataFrame, config: Cells = Cells(), id_col: str = "vec
     asked = cut.withColumn("t", spot("targets")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).withColumn("asks", F.lit(False))
     columns = ["label", "dim", "cell", "a", "t", "asks", "node", "copies", "vector"]
     pairs = asking.select(columns).union(asked.select(columns))
-    found = stored(pairs.groupBy("label", "dim", "cell", "a", "t").applyInArrow(_compare(config, label), "node bigint, links bigint, root bigint"), "found")
+    found = tables.stored(pairs.groupBy("label", "dim", "cell", "a", "t").applyInArrow(_compare(config, label), "node bigint, links bigint, root bigint"), "found")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), tables)
     smallest = groups.groupBy("component").agg(F.min(F.when(F.col("node") > -(1 << 60), F.col("node"))).alias("first"))
     named = groups.join(smallest, "component").select("node", "first")
     facts = nodes.select("label", "dim", "key", "node", "least", "copies").join(links, "node", "left").join(named, "node", "left")
     facts = facts.select("label", "dim", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("component"))
+    facts = tables.stored(facts, "facts")
+    tables.drop(but=(keyed, facts))
     out = keyed.select("id", "label", "dim", "key").join(facts, ["label", "dim", "key"], "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))

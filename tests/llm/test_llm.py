@@ -168,13 +168,14 @@ def test_op3_odd_rows(spark, odd, nothing):
     assert [g[2] for g in got if g[0] == 6] == [6, 6]
 
 
-def test_op4_is_exact(spark, nothing):
+@pytest.mark.parametrize("config", [{"in_cell": 20, "block": 8}, {"in_cell": 6, "parts": 2, "lot": 16, "block": 8}, {}])
+def test_op4_is_exact(spark, config):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(6, 8))
     rows = [(k, (base[k % 6] + rng.normal(size=8) * rng.choice([0.05, 0.25, 0.5])).tolist(), k % 2) for k in range(150)]
     rows += [(200, rows[3][1], rows[3][2]), (201, rows[3][1], rows[3][2]), (202, rows[3][1], None), (203, None, 1), (204, [0.0] * 8, 1), (205, [float("nan")] * 8, 1), (206, [None] * 8, 1), (207, [], 1), (208, [1.0, 2.0], 1)]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddedup.near_vectors(frame, embeddedup.Cells(in_cell=20, block=8)).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddedup.near_vectors(frame, embeddedup.Cells(**config)).collect()}
     use = {i: np.array(v) for i, v, label in rows if i < 202}
     label = {i: c for i, _, c in rows}
     links = {(a, b) for a in use for b in use if a != b and label[a] == label[b] and use[a] @ use[b] / np.linalg.norm(use[a]) / np.linalg.norm(use[b]) >= 0.93}
@@ -188,6 +189,14 @@ def test_op4_is_exact(spark, nothing):
     assert embeddedup.near_vectors(empty).collect() == []
 
 
+def test_op4_odd_rows(spark):
+    """Repeated ids with like and unlike vectors, rows without an id, and columns named as the operator's own."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [0.0, 1.0], 0), (2, [0.01, 1.0], 0), (None, [0.0, 1.0], 0), (None, [-1.0, 0.0], 0), (3, [1.0, 0.0], 1), (None, None, 0)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumns({c: F.lit(1) for c in ("cell", "node", "home", "total")})
+    got = [(r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embeddedup.near_vectors(frame).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, 1, True), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (0, 3, 1, False), (0, 0, None, True), (3, 0, 3, True), (0, 0, None, True)], key=str)
+
+
 def test_op5_targets_and_reruns(spark, docs, odd, nothing):
     rows = mixing.allotted(docs).collect()
     by = {r.source: (r.source_size, r.target) for r in rows}
