@@ -85,10 +85,27 @@ def _sign(config: MinMax):
     return run
 
 
-def _sets(config: MinMax):
+#: Bits of the map of wanted ids that goes to the executors: 4 MB, whatever the corpus.
+MAP_BITS = 1 << 25
+
+
+def _map_of(ids: DataFrame) -> np.ndarray:
+    """A bit map of hashed ids, of fixed size: it leaves out what is not wanted, save for chance hits, which a join by set sorts out."""
+    spots = ids.select(F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)).alias("h")).select(F.expr("h div 32768").alias("part"), F.expr("h % 32768").alias("bit"))
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in spots.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _sets(config: MinMax, shared):
+    """(key, shingles) of the texts whose hashed id is in the shared map."""
+
     def run(batches):
-        hashes = WordHashes()
+        hashes, bits = WordHashes(), shared.value
         for batch in batches:
+            h = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array((bits[h >> 3] >> (h & 7)) & 1 == 1))
             sets = [shingle_hashes(words_of(text), config.shingle, hashes) for text in binary(batch.column(1))]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
@@ -180,14 +197,14 @@ def _hub_pairs(members: DataFrame, nodes: DataFrame, config: MinMax) -> DataFram
     return pairs.where(F.expr(_EQUAL) >= config.least_equal).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, config: MinMax = MinMax(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, config: MinMax = MinMax(), id_col: str = "doc_id", text_col: str = "text", tables: Tables | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of docs.
 
     Null or blank texts have no shingles and link with nothing. Rows that repeat an id are compared each by its own text. A row
     without an id takes part through its text: its component is the smallest id of its group, null if there is none, and it is kept
-    only then. Other columns are not read, so their names cannot clash.
+    only then. Other columns are not read, so their names cannot clash. The result reads two of `tables`, which nothing else may use.
     """
-    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
+    spark, tables = docs.sparkSession, tables or Tables(docs.sparkSession)
     small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -200,8 +217,8 @@ def near_duplicates(docs: DataFrame, config: MinMax = MinMax(), id_col: str = "d
 
     wanted = members.select("node").distinct().join(nodes.select("node", "key", "least"), "node")
     wanted = tables.stored(wanted, "wanted")
-    ids = wanted.select(F.col("least").alias("id")).distinct()
-    read = texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi").mapInArrow(_sets(config), "key binary, shingles array<bigint>")
+    shared = spark.sparkContext.broadcast(_map_of(wanted.select(F.col("least").alias("id"))))
+    read = texts.select(F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)).alias("h"), "text").mapInArrow(_sets(config, shared), "key binary, shingles array<bigint>")
     sets = tables.stored(read.join(wanted.select("key", "node"), "key").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     pairs = tables.stored(_hub_pairs(members, nodes, config), "pairs")
