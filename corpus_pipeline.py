@@ -36,9 +36,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group linked on five-word shingles at similarity 0.8."""
-    tables = Tables(spark)
+    tables, own = Tables(spark), Tables(spark)
     rows, key = keyed(docs, tables)
-    copies = tables.stored(minhash.near_duplicates(rows, id_col=key).where("not kept").select(key), "copies")
+    copies = tables.stored(minhash.near_duplicates(rows, id_col=key, tables=own).where("not kept").select(key), "copies")
+    own.drop()
     return rows.join(copies, key, "left_anti").select(docs.columns)
 
 
