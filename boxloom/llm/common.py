@@ -76,6 +76,21 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def handed_back(batches):
+    """The batches; after the last one, memory that the worker holds free goes back to the system, as other tasks and operators follow."""
+    import ctypes
+
+    import pyarrow as pa
+
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only the GNU library has it
+        pass
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words of a UTF-8 text with A-Z lowered; bytes.split() cuts at exactly the six ASCII blanks of WORD_PATTERN."""
     return text.lower().split() if text else []

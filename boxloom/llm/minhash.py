@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import Tables, WordHashes, binary, shingle_hashes, small_batches, words_of
+from boxloom.llm.common import Tables, WordHashes, binary, handed_back, shingle_hashes, small_batches, words_of
 from boxloom.llm.graph import components
 
 
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, config: MinMax = MinMax(), id_col: str = "d
     small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    signed = tables.stored(texts.mapInArrow(_sign(config), f"id {kind}, n bigint, key binary, bands array<bigint>"), "signed")
+    signed = tables.stored(texts.mapInArrow(lambda b: handed_back(_sign(config)(b)), f"id {kind}, n bigint, key binary, bands array<bigint>"), "signed")
     distinct = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = tables.stored(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import binary, small_batches
+from boxloom.llm.common import binary, handed_back, small_batches
 
 GOOD, BAD, SILENT = 1, 0, 2
 _UPPER, _LOWER, _DIGITS = (bytes(range(a, b)) for a, b in ((0x41, 0x5B), (0x61, 0x7B), (0x30, 0x3A)))
@@ -265,7 +265,7 @@ def scored(docs: DataFrame, weights: np.ndarray, config: Quality = Quality(), te
     small_batches(spark)
     names = [c for c in docs.columns if c != "quality_score"]
     shared = spark.sparkContext.broadcast(weights)  # config.buckets + 1 numbers
-    return docs.select(names).mapInArrow(_scored(shared, config, names, text_col), docs.select(names).schema.add("quality_score", "double"))
+    return docs.select(names).mapInArrow(lambda b: handed_back(_scored(shared, config, names, text_col)(b)), docs.select(names).schema.add("quality_score", "double"))
 
 
 def classified(docs: DataFrame, config: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

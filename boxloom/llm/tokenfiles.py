@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import small_batches
+from boxloom.llm.common import handed_back, small_batches
 
 #: Stands for a null id in an .idx file (a fixed value).
 NULL_ID = -(2**63)
@@ -36,7 +36,7 @@ def filesystem(uri: str):
 
 
 #: Words whose ids a worker keeps at hand, over all its tasks; beyond it only those of the batch at hand stay, so memory is bounded.
-MOST_WORDS = 250_000
+MOST_WORDS = 150_000
 #: Marks tokens that end a word (a fixed value of such vocabularies).
 WORD_END = "</w>"
 
@@ -171,7 +171,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
     bits = 16 if max(Tokenizer.from_file(vocabulary).get_vocab_size() - 1, end_id) < 2**16 else 32
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     ranged = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ranged.mapInArrow(_writer(path, vocabulary, end_id, bits), "part bigint, name string, docs bigint, tokens bigint").write.parquet(f"{path}/parts")
+    ranged.mapInArrow(lambda b: handed_back(_writer(path, vocabulary, end_id, bits)(b)), "part bigint, name string, docs bigint, tokens bigint").write.parquet(f"{path}/parts")
     parts = spark.read.parquet(f"{path}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     parts.select("*", F.lit(bits).alias("bits"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")).write.parquet(f"{path}/manifest")
