@@ -20,15 +20,15 @@ def parse_labels(lines: DataFrame, dialect: str = "strict", n_classes: int = 8,
     if dialect not in DIALECTS:
         raise ValueError(f"dialect must be one of {DIALECTS}")
     parts = F.split(F.trim(F.col(line_col)), r"\s+")
-    rows = lines.withColumn("_f", parts).where(F.size("_f") >= 5 if dialect == "lenient" else F.size("_f") == 5)
+    rows, held = lines.withColumn("_f", parts), F.size("_f") >= 5 if dialect == "lenient" else F.size("_f") == 5
     whole, number = ("cast({} as int)", "cast({} as double)") if dialect == "throwing" else ("try_cast({} as int)", "try_cast({} as double)")
     if dialect == "raw":
         whole = "try_cast(try_cast({} as double) as int)"
     fields = [F.expr(whole.format("element_at(_f, 1)")).alias("class_id"), *(F.expr(number.format(f"element_at(_f, {k})")).alias(n) for k, n in enumerate(("cx", "cy", "w", "h"), 2))]
-    # inline() parses a line once; filters on its columns would otherwise repeat the parsing for every mention
-    rows = rows.select(*lines.columns, F.when(F.size("_f") >= 5, F.array(F.struct(*fields))).alias("_b")).select(*lines.columns, F.inline("_b"))
-    if dialect != "throwing":
-        rows = rows.where("class_id is not null and cx is not null and cy is not null and w is not null and h is not null")
+    # The generator parses a line once; filters on its columns would otherwise repeat the parsing for every mention. As an outer one it
+    # lets no filter be inferred below it, where the split line, and what makes the line, would be spelled out again.
+    rows = rows.select(*lines.columns, F.when(held, F.array(F.struct(*fields))).alias("_b")).select(*lines.columns, F.inline_outer("_b"))
+    rows = rows.where("class_id is not null and cx is not null and cy is not null and w is not null and h is not null")
     if dialect == "validated":
         rows = rows.where(F.col("class_id").between(0, n_classes - 1) & valid_box())
     if dialect == "lenient":
