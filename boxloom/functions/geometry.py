@@ -72,16 +72,14 @@ def flipped(position: Column, size=1.0) -> Column:
 
 def rotated(cx: Column, cy: Column, w: Column, h: Column, degrees: Column, width: Column, height: Column) -> list[Column]:
     """The box around a normalised box turned about the image centre, clipped to the image: cx, cy, w, h."""
-    r = F.radians(degrees)
-    x1, y1, x2, y2 = corners(cx, cy, w, h, width, height)
-    xs, ys = [], []
-    for x in (x1, x2):
-        for y in (y1, y2):
-            dx, dy = x - width / 2, y - height / 2
-            xs.append(F.cos(r) * dx + F.sin(r) * dy + width / 2)
-            ys.append(-F.sin(r) * dx + F.cos(r) * dy + height / 2)
+    cos, sin = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    dx, dy = (cx - 0.5) * width, (cy - 0.5) * height
+    x, y = cos * dx + sin * dy + width / 2, cos * dy - sin * dx + height / 2
+    # the turned corners reach so far from the turned centre
+    rx = (F.abs(cos) * w * width + F.abs(sin) * h * height) / 2
+    ry = (F.abs(sin) * w * width + F.abs(cos) * h * height) / 2
     clip = lambda c, top: F.least(F.greatest(c, F.lit(0.0)), top.cast("double"))
-    return centre(clip(F.least(*xs), width), clip(F.least(*ys), height), clip(F.greatest(*xs), width), clip(F.greatest(*ys), height), width, height)
+    return centre(clip(x - rx, width), clip(y - ry, height), clip(x + rx, width), clip(y + ry, height), width, height)
 
 
 def rescaled(box: list[Column], size: float, width: Column, height: Column) -> list[Column]:
