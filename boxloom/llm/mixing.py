@@ -77,13 +77,13 @@ def queued(docs: DataFrame, config: Mix, id_col: str, source_col: str, text_col:
     return merged.withColumn("taken", F.coalesce(F.col("sofar") + F.sum("size").over(order) <= F.col("budget"), F.lit(False)))
 
 
-def allotted(docs: DataFrame, config: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def allotted(docs: DataFrame, config: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tables: Tables | None = None) -> DataFrame:
     """(id, source, size, source_size, target, taken): a row per row of docs; taken counts words, repeats included.
 
     A null text has size 0, and what has size 0 is never taken. A null source is a source of its own, the last. Rows that repeat
     an id queue one by one. An empty table gives an empty result. Reruns agree, since the order hangs on ids alone.
     """
-    tables = Tables(docs.sparkSession)
+    tables = tables or Tables(docs.sparkSession)
     turns = queued(docs, config, id_col, source_col, text_col, tables)
     sums = turns.groupBy("id", "source", "bucket", "pos", "size", "source_size", "target").agg(F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("taken"))
     out = tables.stored(sums.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken"), "allotted")
@@ -91,6 +91,24 @@ def allotted(docs: DataFrame, config: Mix = Mix(), id_col: str = "doc_id", sourc
     return out
 
 
+def repeated(docs: DataFrame, config: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them: not at all, once, up to `passes` times. Ids differ.
+
+    A source's finish times rise along its queue and the mix is cut at one finish time, so what it takes is the start of its queue.
+    That is one row per source (times taken at most, and the last row taken so often), by which texts are picked where they are read.
+    """
+    tables = Tables(docs.sparkSession)
+    share = allotted(docs, config, id_col, source_col, text_col, tables)
+    turn = F.md5(F.concat_ws("|", F.lit(config.seed), F.col(f"`{id_col}`").cast("string")))
+    last = F.struct(F.expr("cast(taken / size as int)").alias("copies"), turn.alias("turn"), F.col(f"`{id_col}`").alias("id"))
+    ends = tables.stored(share.where("taken > 0").groupBy(F.col(source_col).alias("source")).agg(F.max(last).alias("last")), "ends")
+    tables.drop(but=(ends,))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(source_col).alias("s"), F.struct(turn.alias("turn"), F.col(f"`{id_col}`").alias("id")).alias("place"))
+    rows = rows.where(F.col("own").getField(text_col).cast("string").rlike(WORD_PATTERN)).join(ends, F.col("s").eqNullSafe(F.col("source")))
+    copies = F.col("last.copies") - F.when(F.col("place") <= F.struct("last.turn", "last.id"), 0).otherwise(1)
+    return rows.withColumn("copies", copies).where("copies > 0").select("own", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("own.*")
+
+
 def mixed(docs: DataFrame, config: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: (id, source, copy, size, finish) of all that is taken, in the order of finish times over the whole table."""
     turns = queued(docs, config, id_col, source_col, text_col, Tables(docs.sparkSession)).where("taken")

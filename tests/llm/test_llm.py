@@ -215,6 +215,12 @@ def test_op5_targets_and_reruns(spark, docs, odd, nothing):
     assert order == sorted(order)
 
 
+def test_op5_rows_are_repeated_as_allotted(spark, docs):
+    share = {r.doc_id: r.taken // r.size for r in mixing.allotted(docs).collect() if r.taken}
+    again = Counter(r.doc_id for r in mixing.repeated(docs).collect())
+    assert dict(again) == share and set(share.values()) == {1, 2}
+
+
 def test_op6_main_text():
     page = """<html><head><title>t</title></head><body><header>Head</header><nav><ul><li><a href=x>menu</a></ul></nav><div class="sidebar"><p>aside, one, two</div>
     <div id=main><h1>The &amp; title</h1><p>First,   paragraph&nbsp;here<br>goes on.<p>Second <b>one</b>, with &lt;tags&gt; &#233;.<script>var a = "<p>no</p>";</script><ul><li><a href=1>l1</a><li><a href=2>l2</a></ul></div>
