@@ -60,6 +60,11 @@ class Tables:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """One side of a join that grows with the corpus: it is sorted and merged at every size, never broadcast."""
+    return df.hint("merge")
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import Tables
+from boxloom.llm.common import Tables, grown
 
 
 def components(links: DataFrame, tables: Tables | None = None, most_rounds: int = 60) -> DataFrame:
@@ -40,11 +40,11 @@ def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node of its neighbourhood."""
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(grown(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = edges.join(grown(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.union(least.select("u", F.col("m").alias("v"))).distinct()

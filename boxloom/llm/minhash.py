@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import Tables, WordHashes, binary, handed_back, shingle_hashes, small_batches, words_of
+from boxloom.llm.common import Tables, WordHashes, binary, grown, handed_back, shingle_hashes, small_batches, words_of
 from boxloom.llm.graph import components
 
 
@@ -153,12 +153,12 @@ def _block_links(open_: DataFrame, sets: DataFrame, config: MinMax, tables: Tabl
 
     Buckets that share nodes form one group. Its nodes outside the group's largest component ask all others, block against block.
     """
-    ties = open_.join(open_.groupBy("band").agg(F.min("node").alias("head")), "band").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")
+    ties = open_.join(grown(open_.groupBy("band").agg(F.min("node").alias("head"))), "band").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")
     groups = components(ties, tables).select("node", F.col("component").alias("group"))
-    nodes = tables.stored(open_.select("node", "component").distinct().join(groups, "node"), "grouped")
+    nodes = tables.stored(open_.select("node", "component").distinct().join(grown(groups), "node"), "grouped")
     main = nodes.groupBy("group", "component").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("few"))
     main = main.select("group", "main", F.ceil(F.col("all") / config.block).cast("int").alias("nt"), F.ceil(F.col("few") / config.block).cast("int").alias("na")).where("na > 0")
-    placed = nodes.join(main, "group").join(sets, "node")
+    placed = nodes.join(grown(main), "group").join(grown(sets), "node")
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     columns = ["group", "qa", "qt", "asks", "node", "component", "shingles"]
     asking = placed.where("component <> main").withColumn("asks", F.lit(True)).withColumn("qa", spot("na")).withColumn("qt", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
@@ -169,16 +169,16 @@ def _block_links(open_: DataFrame, sets: DataFrame, config: MinMax, tables: Tabl
 def _several(open_: DataFrame) -> DataFrame:
     """Those rows of open_(band, node, component, ...) whose bucket holds more than one component."""
     ends = open_.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return open_.join(ends.select("band"), "band", "left_semi")
+    return open_.join(grown(ends.select("band")), "band", "left_semi")
 
 
 def _able(open_: DataFrame, sets: DataFrame, config: MinMax) -> DataFrame:
     """open_ without nodes that can link to no other component: too many of their shingles are in no other component of open_."""
     left = open_.select("node", "component").distinct()
-    seen = left.join(sets, "node").select("node", "component", F.explode("shingles").alias("shingle"))
+    seen = left.join(grown(sets), "node").select("node", "component", F.explode("shingles").alias("shingle"))
     both = seen.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    met = seen.join(both, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
-    return open_.join(met, "node").where(F.col("met") * 100 >= F.col("n") * config.percent).drop("met")
+    met = seen.join(grown(both), "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
+    return open_.join(grown(met), "node").where(F.col("met") * 100 >= F.col("n") * config.percent).drop("met")
 
 
 #: Equal values of the signatures ba and bb, for SQL.
@@ -188,12 +188,12 @@ _EQUAL = "aggregate(zip_with(ba, bb, (x, y) -> x ^ y), 0, (s, z) -> s + if(z & 6
 def _hub_pairs(members: DataFrame, nodes: DataFrame, config: MinMax) -> DataFrame:
     """pairs(a, b) of every bucket's hub and other nodes whose sizes and signatures allow a link."""
     degree = members.groupBy("node").agg(F.sum("width").alias("degree"))
-    ranked = members.join(degree, "node").select("band", "node", "n", F.struct("degree", F.xxhash64("node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na")).alias("hub"))
+    ranked = members.join(grown(degree), "node").select("band", "node", "n", F.struct("degree", F.xxhash64("node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na")).alias("hub"))
     hubs = ranked.groupBy("band").agg(F.max("hub").alias("hub")).select("band", "hub.a", "hub.na")
     fits = (F.col("a") != F.col("node")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * config.percent)
-    pairs = members.join(hubs, "band").where(fits).select("a", F.col("node").alias("b")).distinct()
+    pairs = members.join(grown(hubs), "band").where(fits).select("a", F.col("node").alias("b")).distinct()
     signs = nodes.select("node", "bands")
-    pairs = pairs.join(signs.select(F.col("node").alias("a"), F.col("bands").alias("ba")), "a").join(signs.select(F.col("node").alias("b"), F.col("bands").alias("bb")), "b")
+    pairs = pairs.join(grown(signs.select(F.col("node").alias("a"), F.col("bands").alias("ba"))), "a").join(grown(signs.select(F.col("node").alias("b"), F.col("bands").alias("bb"))), "b")
     return pairs.where(F.expr(_EQUAL) >= config.least_equal).select("a", "b")
 
 
@@ -213,31 +213,31 @@ def near_duplicates(docs: DataFrame, config: MinMax = MinMax(), id_col: str = "d
     nodes = tables.stored(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("width")).where("width > 1")
-    members = tables.stored(banded.join(shared, "band"), "members")
+    members = tables.stored(banded.join(grown(shared), "band"), "members")
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "key", "least"), "node")
+    wanted = members.select("node").distinct().join(grown(nodes.select("node", "key", "least")), "node")
     wanted = tables.stored(wanted, "wanted")
     shared = spark.sparkContext.broadcast(_map_of(wanted.select(F.col("least").alias("id"))))
     read = texts.select(F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)).alias("h"), "text").mapInArrow(_sets(config, shared), "key binary, shingles array<bigint>")
-    sets = tables.stored(read.join(wanted.select("key", "node"), "key").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = tables.stored(read.join(grown(wanted.select("key", "node")), "key").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     pairs = tables.stored(_hub_pairs(members, nodes, config), "pairs")
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * config.percent).select("a", "b")
+    links = pairs.join(grown(left), "a").join(grown(right), "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * config.percent).select("a", "b")
     comp = components(links, tables)
 
-    open_ = members.join(comp, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    open_ = members.join(grown(comp), "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
     open_ = tables.stored(_several(open_), "open")
     open_ = tables.stored(_several(_able(open_, sets, config)), "able")
     if not open_.isEmpty():
         more = _block_links(open_, sets, config, tables)
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), tables)
 
-    named = nodes.select("key", "node", "least").join(comp, "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
+    named = nodes.select("key", "node", "least").join(grown(comp), "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("least").alias("first"))
-    labelled = tables.stored(named.join(first, "component").select("key", "first"), "labelled")
+    labelled = tables.stored(named.join(grown(first), "component").select("key", "first"), "labelled")
     tables.drop(but=(signed, labelled))
-    out = signed.select("id", "n", "key").join(labelled, "key", "left")
+    out = signed.select("id", "n", "key").join(grown(labelled), "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("first"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
