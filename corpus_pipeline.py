@@ -56,10 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a document is there as often as it is taken, not at all or up to twice."""
     tables = Tables(spark)
     rows, key = keyed(docs, tables)
-    taken = mixing.allotted(rows, id_col=key).where("taken > 0").select(F.col(key).alias("k"), F.expr("cast(taken / size as int)").alias("copies"))
-    turns = tables.stored(taken, "turns")
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
-    return rows.select(F.col(key).alias("k"), own).join(turns, "k").select("own", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("own.*")
+    return mixing.repeated(rows, id_col=key).select(docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
