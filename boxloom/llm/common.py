@@ -45,7 +45,7 @@ class Tables:
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """The rows written once and read back."""
         path = new_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[path] = out
         return out

@@ -11,9 +11,10 @@ pair seen once has one table in every sweep, so only pairs seen again are rows.
 share one symbol, so the spelling counts are a cube of at most (symbols + 2)^3 numbers whatever the corpus, and only that cube meets
 on the driver. Sweeps after `burn_in` are averaged into the predictive probability.
 
-Texts are read once. A chunk of documents becomes sequences over its own word list, and its distinct pairs with their counts, packed
-by bucket of the pair's hash; lists and pairs meet the corpus in joins, so a frequent pair costs an entry per chunk, not per
-occurrence.
+Texts are read once. A chunk of documents becomes sequences over its own word list, and the sorted hashes of its distinct pairs, as
+gaps, with their counts. Buckets of hashes count them over the corpus and tell every chunk which of its pairs were seen never, once or
+again, and which of those it is to name; so a frequent pair costs some bits per chunk, not an entry per occurrence, and both words of
+a pair are written down once.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import binary, mixed, new_path, small_batches, stored, words_of
+from boxloom.llm.common import Tables, binary, mixed, new_path, removed, small_batches, words_of
 
 
 @dataclass(frozen=True)
 class PitmanYor:
-    """Sweeps, those not averaged, most frequent characters with a symbol of their own, strengths of words, spellings and context restaurants, spelling discounts by context length, base share of the end token, seed, tokens and words in a chunk."""
+    """Sweeps, those not averaged, most frequent characters with a symbol of their own, strengths of words, spellings and context restaurants, spelling discounts by context length, base share of the end token, seed, tokens and words in a chunk, bytes of text for each bucket of pairs."""
 
     sweeps: int = 5
     burn_in: int = 2
@@ -45,14 +46,15 @@ class PitmanYor:
     seed: int = 5
     chunk_tokens: int = 4_000_000
     chunk_words: int = 600_000
+    bucket_bytes: int = 2_000_000
 
 
 #: Symbol of the end of a word (also before its start), and of characters without a symbol of their own (fixed values).
 END, OTHER = 0, 1
 #: Code points that share OTHER evenly (a fixed value of Unicode).
 CODE_POINTS = 0x110000
-#: The end token as a word (no word of a text is empty), the seed of Spark's xxhash64, and the leading bits of a pair's hash that name its bucket (fixed values).
-END_WORD, HASH_SEED, BUCKET_BITS = b"", 42, 10
+#: The end token as a word (no word of a text is empty) and the seed of Spark's xxhash64 (fixed values).
+END_WORD, HASH_SEED = b"", 42
 
 
 class _Index(dict):
@@ -72,6 +74,18 @@ def pair_hashes(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(mixed(u + np.uint64(0x9E3779B97F4A7C15)) + w)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """An integer array with its bytes by rank, zstd-compressed: bytes of a high rank are mostly zero."""
+    data = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() if len(x) else b""
+    return pa.compress(data, "zstd", asbytes=True)
+
+
+def from_planes(data: bytes, dtype: str, n: int) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(dtype).ravel()
+
+
 def _chunk_pairs(sequences: list[np.ndarray], held: np.ndarray, hashes: np.ndarray):
     """(numbers of the pair's two words, its hash, count in training documents) of a chunk's distinct pairs, in the order of the hash."""
     sizes = np.fromiter((len(x) + 1 for x in sequences), np.int64, len(sequences))
@@ -95,7 +109,7 @@ def _chunk_pairs(sequences: list[np.ndarray], held: np.ndarray, hashes: np.ndarr
     return u[order], w[order], h[order], n[order], rank[at], sizes
 
 
-def _chunked(config: PitmanYor):
+def _chunked(config: PitmanYor, bits: int):
     """Documents as word numbers of their chunk, then the chunk's words and its pairs by bucket, with their counts in training documents."""
 
     def run(batches):
@@ -114,13 +128,14 @@ def _chunked(config: PitmanYor):
                 n = len(some)
                 yield rows(n, {"kind": ["word"] * n, "chunk": [chunk] * n, "at": np.arange(at, at + n, dtype=np.int32), "n": train[at : at + n], "word": some})
             hashes = _hashes(listed)
-            u, w, h, n, _, _ = _chunk_pairs(sequences, np.array(held_out, bool), hashes)
-            edges = np.searchsorted(h >> np.uint64(64 - BUCKET_BITS), np.arange(2**BUCKET_BITS + 1, dtype=np.uint64))
+            _, _, h, n, _, _ = _chunk_pairs(sequences, np.array(held_out, bool), hashes)
+            edges = np.searchsorted(h >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
             live = np.flatnonzero(np.diff(edges))
             parts = [slice(edges[k], edges[k + 1]) for k in live]
             for at in range(0, len(live), 100):
                 some = parts[at : at + 100]
-                yield rows(len(some), {"kind": ["pair"] * len(some), "chunk": [chunk] * len(some), "at": live[at : at + 100].astype(np.int32), "words": [np.stack([hashes[u[x]], hashes[w[x]]]).tobytes() for x in some], "counts": [n[x].astype("<i4").tobytes() for x in some]})
+                gaps = [planes(np.diff(h[x], prepend=np.uint64(0))) for x in some]
+                yield rows(len(some), {"kind": ["pair"] * len(some), "chunk": [chunk] * len(some), "at": live[at : at + 100].astype(np.int32), "n": [x.stop - x.start for x in some], "words": gaps, "counts": [planes(n[x].astype("<i4")) for x in some]})
 
         for batch in batches:
             kind = batch.column(0).type
@@ -150,27 +165,70 @@ def _chunked(config: PitmanYor):
     return run
 
 
-def _unpacked(table: pa.Table):
-    """Per row of packed pairs, its hashes of both words (2 x n) and counts."""
-    return [(np.frombuffer(x, "<u8").reshape(2, -1), np.frombuffer(c, "<i4")) for x, c in zip(table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+#: What a chunk is told of a pair: seen never in training, once, once and the chunk's to name, again, again and the chunk's to name.
+NEVER, ONCE, OWN_ONCE, AGAIN, OWN_AGAIN = range(5)
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """Pairs of a bucket seen again as (u, w, c); of those seen once, how many begin (u, null, c) and end (null, w, c) with a word."""
-    parts = _unpacked(table)
-    uw, n = np.concatenate([x for x, _ in parts], axis=1), np.concatenate([c for _, c in parts])
-    _, first, at = np.unique(pair_hashes(uw[0], uw[1]), return_index=True, return_inverse=True)
-    c = np.bincount(at, n, len(first)).astype(np.int64)
-    uw = uw[:, first].view(np.int64)
-    again, once = c > 1, c == 1
-    (us, nu), (ws, nw) = (np.unique(uw[k, once], return_counts=True) for k in (0, 1))
-    m = int(again.sum())
-    total = m + len(us) + len(ws)
+    """Per chunk of a bucket, its pairs' states in the order of the hash, counts of pairs it is to name, places of pairs seen again in the bucket's list."""
+    sizes = table.column("n").to_numpy()
+    h = np.concatenate([np.cumsum(from_planes(x, "<u8", n), dtype=np.uint64) for x, n in zip(table.column("words").to_pylist(), sizes, strict=True)])
+    own = np.concatenate([from_planes(x, "<i4", n) for x, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
+    _, first, at = np.unique(h, return_index=True, return_inverse=True)
+    c = np.bincount(at, own, len(first)).astype(np.int64)
+    place = np.cumsum(c > 1) - 1
+    state = np.where(c > 1, AGAIN, np.where(c == 1, ONCE, NEVER))[at].astype(np.uint8)
+    state[first[c > 0]] += 1
+    edges = np.cumsum([0, *sizes])
+    parts = [slice(i, j) for i, j in zip(edges, edges[1:], strict=False)]
+    named = [c[at[x]][state[x] == OWN_AGAIN].astype("<i8") for x in parts]
+    places = [np.diff(place[at[x]][state[x] >= AGAIN].astype("<i8"), prepend=0) for x in parts]
+    return pa.table({
+        "chunk": table.column("chunk"),
+        "at": table.column("at"),
+        "n": pa.array(sizes, pa.int64()),
+        "states": pa.array([planes(state[x]) for x in parts], pa.binary()),
+        "named": pa.array([planes(x) for x in named], pa.binary()),
+        "places": pa.array([planes(x) for x in places], pa.binary()),
+    })
+
+
+def _states(table: pa.Table) -> list[np.ndarray]:
+    return [from_planes(x, "u1", n) for x, n in zip(table.column("states").to_pylist(), table.column("n").to_pylist(), strict=True)]
+
+
+def _parted(rows: pa.Table, words: pa.Table):
+    """A chunk's sequences, its told buckets in order, and the numbers of its words with their order."""
+    is_doc = np.array([k == "doc" for k in rows.column("kind").to_pylist()], bool)
+    docs, told = rows.filter(pa.array(is_doc)), rows.filter(pa.array(~is_doc)).sort_by("at")
+    order = np.argsort(words.column("at").to_numpy())
+    return docs, told, [np.frombuffer(x, "<i4") for x in docs.column("words").to_pylist()], order
+
+
+def _named(rows: pa.Table, words: pa.Table) -> pa.Table:
+    """Pairs seen again that the chunk is to name as (bucket, place, u, w, c); of those seen once, how many begin (u, null, c) and end (null, w, c) with a word."""
+    _, told, sequences, order = _parted(rows, words)
+    hashes = words.column("h").to_numpy()[order]
+    u, w, _, _, _, _ = _chunk_pairs(sequences, np.zeros(len(sequences), bool), hashes.view(np.uint64))
+    states = _states(told)
+    state = np.concatenate([*states, np.empty(0, np.uint8)])
+    named, places, bucket = [], [], []
+    for k, (x, data, spots, at) in enumerate(zip(states, told.column("named").to_pylist(), told.column("places").to_pylist(), told.column("at").to_pylist(), strict=True)):
+        own = int((x == OWN_AGAIN).sum())
+        named.append(from_planes(data, "<i8", own))
+        places.append(np.cumsum(from_planes(spots, "<i8", int((x >= AGAIN).sum())))[x[x >= AGAIN] == OWN_AGAIN])
+        bucket.append(np.full(own, at, np.int32))
+    again, once = state == OWN_AGAIN, state == OWN_ONCE
+    nu, nw = (np.bincount(x[once], minlength=len(hashes)) for x in (u, w))
+    us, ws = np.flatnonzero(nu), np.flatnonzero(nw)
+    few = len(us) + len(ws)
+    flat = lambda parts, kind: pa.array(np.concatenate([*parts, np.empty(0, kind)]).astype(kind))
     return pa.table({
-        "bucket": pa.array(np.full(total, table.column("at")[0].as_py(), np.int32)),
-        "u": pa.concat_arrays([pa.array(uw[0, again]), pa.array(us), pa.nulls(len(ws), pa.int64())]),
-        "w": pa.concat_arrays([pa.array(uw[1, again]), pa.nulls(len(us), pa.int64()), pa.array(ws)]),
-        "c": pa.array(np.concatenate([c[again], nu, nw]).astype(np.int64)),
+        "bucket": pa.concat_arrays([flat(bucket, np.int32), pa.nulls(few, pa.int32())]),
+        "place": pa.concat_arrays([flat(places, np.int64), pa.nulls(few, pa.int64())]),
+        "u": pa.concat_arrays([pa.array(hashes[u[again]]), pa.array(hashes[us]), pa.nulls(len(ws), pa.int64())]),
+        "w": pa.concat_arrays([pa.array(hashes[w[again]]), pa.nulls(len(us), pa.int64()), pa.array(hashes[ws])]),
+        "c": flat([*named, nu[us], nw[ws]], np.int64),
     })
 
 
@@ -179,35 +237,45 @@ def _seat_pairs(config, sweep: int, discount: float, keep: bool):
 
     def run(batches):
         for batch in batches:
-            u, w, c, tables, p = (batch.column(k).to_numpy() for k in (1, 2, 3, 5, 6))
+            u, w, c, tables, p = (batch.column(k).to_numpy() for k in (2, 3, 4, 6, 7))
             t = tables_served(c, (config.context_strength + discount * tables) * p, discount, _seed(config, sweep, [u.tobytes(), w.tobytes()]))
-            ts = [[*x, y] for x, y in zip(batch.column(4).to_pylist(), t.tolist(), strict=True)] if keep else batch.column(4)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ts, pa.list_(pa.int64())), pa.array(t)], ["bucket", "u", "w", "c", "ts", "t"])
+            ts = [[*x, y] for x, y in zip(batch.column(5).to_pylist(), t.tolist(), strict=True)] if keep else batch.column(5)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(ts, pa.list_(pa.int64())), pa.array(t)], ["bucket", "place", "u", "w", "c", "ts", "t"])
 
     return run
 
 
-def _masses(discount: float, samples: int):
-    """For each chunk's pairs of a bucket, customers less discounts in every sample, as floats in the order of the pair's hash."""
+def _answered(samples: int):
+    """For each chunk's pairs of a bucket that were seen again, customers and every sample's tables, in the order of the hash."""
 
-    def run(packed: pa.Table, again: pa.Table) -> pa.Table:
-        parts = _unpacked(packed)
-        if not parts:
-            return pa.table({"chunk": pa.array([], pa.int64()), "at": pa.array([], pa.int32()), "words": pa.array([], pa.binary())})
-        keys, at = np.unique(np.concatenate([pair_hashes(*x) for x, _ in parts]), return_inverse=True)
-        c = np.bincount(at, np.concatenate([n for _, n in parts]), len(keys))
-        t = np.ones((samples, len(keys)))
+    def run(told: pa.Table, again: pa.Table) -> pa.Table:
+        held = np.zeros((again.num_rows, samples + 1), "<i8")
         if again.num_rows:
-            u, w = (again.column(k).to_numpy().view(np.uint64) for k in ("u", "w"))
-            t[:, np.searchsorted(keys, pair_hashes(u, w))] = again.column("ts").combine_chunks().flatten().to_numpy().reshape(-1, samples).T
-        mass = np.maximum(c - discount * t, 0.0).astype("<f4")
-        edges = np.cumsum([0, *(len(n) for _, n in parts)])
-        blobs = [pa.compress(np.ascontiguousarray(mass[:, at[i:j]]).tobytes(), "zstd", asbytes=True) for i, j in zip(edges, edges[1:], strict=False)]
-        return pa.table({"chunk": packed.column("chunk"), "at": packed.column("at"), "words": pa.array(blobs, pa.binary())})
+            place = again.column("place").to_numpy()
+            held[place, 0] = again.column("c").to_numpy()
+            held[place, 1:] = again.column("ts").combine_chunks().flatten().to_numpy().reshape(-1, samples)
+        blobs = []
+        for x, spots in zip(_states(told), told.column("places").to_pylist(), strict=True):
+            at = np.cumsum(from_planes(spots, "<i8", int((x >= AGAIN).sum())))
+            blobs.append(planes(np.ascontiguousarray(held[at].T).ravel()))
+        return pa.table({"chunk": told.column("chunk"), "at": told.column("at"), "n": told.column("n"), "words": told.column("states"), "counts": pa.array(blobs, pa.binary())})
 
     return run
 
 
+def _mass(told: pa.Table, samples: int, discount: float) -> np.ndarray:
+    """Customers less discounts in every sample, for a chunk's pairs in the order of the hash."""
+    out = []
+    for states, data, n in zip(told.column("words").to_pylist(), told.column("counts").to_pylist(), told.column("n").to_pylist(), strict=True):
+        state = from_planes(states, "u1", n)
+        many = state >= AGAIN
+        held = from_planes(data, "<i8", int(many.sum()) * (samples + 1)).reshape(samples + 1, -1)
+        mass = np.tile(np.where((state == ONCE) | (state == OWN_ONCE), 1 - discount, 0.0), (samples, 1))
+        mass[:, many] = np.maximum(held[0] - discount * held[1:], 0.0)
+        out.append(mass)
+    return np.concatenate([*out, np.empty((samples, 0))], axis=1)
+
+
 def tables_served(customers: np.ndarray, pull: np.ndarray, discount: float, rng) -> np.ndarray:
     """Tables after seating each dish's customers one by one; pull = (strength + discount * tables in the restaurant) * base probability.
 
@@ -340,32 +408,25 @@ def _with_base(config, shared):
     return run
 
 
-def _sum_up(unknown: list[float], base_unknown: float, config: PitmanYor, n_train: int):
+def _sum_up(unknown: list[float], low: float, discount: float, config: PitmanYor, n_train: int):
     """The sums of a chunk's documents, from the chunk's answers by word number and by pair in the order of the hash."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        is_doc = np.array([k == "doc" for k in rows.column("kind").to_pylist()], bool)
-        docs, packed = rows.filter(pa.array(is_doc)), rows.filter(pa.array(~is_doc)).sort_by("at")
-        at, samples = answers.column("at").to_numpy(), len(unknown)
-        size = len(at)
-        order = np.argsort(at)
-
-        def spread(name, missing):
-            return np.nan_to_num(answers.column(name).to_numpy(zero_copy_only=False).astype(float), nan=missing)[order]
+        docs, told, sequences, order = _parted(rows, answers)
+        size, samples = len(order), len(unknown)
 
         def lists(name, missing):
             cells = answers.column(name).to_pylist()
             return np.array([missing if cells[k] is None else cells[k] for k in order]).reshape(size, samples).T
 
-        known, base, context = spread("c", 0.0) > 0, spread("score", base_unknown), spread("c", 0.0)
+        context = np.nan_to_num(answers.column("c").to_numpy(zero_copy_only=False).astype(float))[order]
+        known, base = context > 0, np.log10((context + 0.1) / low)
         p1, tables_share = lists("p1s", unknown), lists("shares", [1.0] * samples)
         if not known[0]:  # no training document: the end token has its base share
             p1[:, 0] = config.end_share
         hashes = answers.column("h").to_numpy().view(np.uint64)[order]
-        sequences = [np.frombuffer(x, "<i4") for x in docs.column("words").to_pylist()]
         u, w, _, _, pair, sizes = _chunk_pairs(sequences, np.zeros(len(sequences), bool), hashes)
-        mass = np.concatenate([np.frombuffer(zstd_bytes(x), "<f4").reshape(samples, -1) for x in packed.column("words").to_pylist()], axis=1)
-        chance = (mass / (config.context_strength + context[u]) + tables_share[:, u] * p1[:, w]).mean(axis=0)
+        chance = (_mass(told, samples, discount) / (config.context_strength + context[u]) + tables_share[:, u] * p1[:, w]).mean(axis=0)
         starts = np.cumsum(sizes) - sizes
         sums = np.add.reduceat(np.stack([known[w], base[w], np.log10(chance)])[:, pair], starts, axis=1)
         n = docs.num_rows
@@ -374,10 +435,6 @@ def _sum_up(unknown: list[float], base_unknown: float, config: PitmanYor, n_trai
     return run
 
 
-def zstd_bytes(x: bytes) -> bytes:
-    return pa.CompressedInputStream(pa.BufferReader(x), "zstd").read()
-
-
 def scores(docs: DataFrame, config: PitmanYor = PitmanYor(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row per row of docs, scores as log10.
 
@@ -386,23 +443,31 @@ def scores(docs: DataFrame, config: PitmanYor = PitmanYor(), id_col: str = "doc_
     dropped, whatever their length or count. As in the base, words unseen in training are one event: what a new table has left
     after the spellings of all known words. Other columns are not read.
     """
-    spark = docs.sparkSession
+    spark, tables_kept = docs.sparkSession, Tables(docs.sparkSession)
+    stored = tables_kept.stored
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("held_out", F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 10 == 0)
     path = new_path(spark, "chunks")
     schema = f"kind string, chunk bigint, id {kind}, held_out boolean, at int, n bigint, word binary, words binary, counts binary"
-    rows.mapInArrow(_chunked(config), schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4, math.ceil(math.log2(1 + size / config.bucket_bytes)))
+    rows.mapInArrow(_chunked(config, bits), schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
 
     def chunks():
         return spark.read.schema(schema).parquet(path)
 
     listed = chunks().where("kind = 'word'").select("chunk", "at", "n", "word")
-    packed = chunks().where("kind = 'pair'").select("chunk", "at", "words", "counts")
+    documents = chunks().where("kind = 'doc'").select("kind", "chunk", "id", "held_out", "at", "n", "words")
+    packed = chunks().where("kind = 'pair'").select("chunk", "at", "n", "words", "counts")
+    told = stored(packed.groupBy("at").applyInArrow(_counted, "chunk bigint, at int, n bigint, states binary, named binary, places binary"), "told")
+    removed(spark, f"{path}/kind=pair")
+    spelt_out = listed.select("chunk", "at", F.xxhash64("word").alias("h"))
+    asked = documents.unionByName(told.withColumn("kind", F.lit("told")), allowMissingColumns=True).groupBy("chunk").cogroup(spelt_out.groupBy("chunk"))
+    pairs = stored(asked.applyInArrow(_named, "bucket int, place bigint, u bigint, w bigint, c bigint"), "pairs")
     counts = listed.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0").withColumn("h", F.xxhash64("word"))
 
-    pairs = stored(packed.groupBy("at").applyInArrow(_counted, "bucket int, u bigint, w bigint, c bigint"), "pairs")
     again = pairs.where("u is not null and w is not null")
     part = pairs.agg(F.sum(F.expr("if(w is null, c, 0)")).alias("n1"), F.count_if(F.expr("u is not null and w is not null and c = 2")).alias("n2")).first()
     begins = pairs.where("u is not null").groupBy(F.col("u").alias("h")).agg(F.sum(F.expr("if(w is null, c, 0)")).alias("once_u"), F.sum(F.expr("if(w is null, c, 1)")).alias("tables"))
@@ -439,16 +504,21 @@ def scores(docs: DataFrame, config: PitmanYor = PitmanYor(), id_col: str = "doc_
 
     tables, customers = float(n_words), float(facts.c1 or 0)
     state = stored(probable(words, None, customers, tables), "words")
+    tables_kept.drop(words)
+    seats = pairs
     again = again.withColumn("ts", F.expr("cast(array() as array<bigint>)"))
     for sweep in range(1, config.sweeps + 1):
         sampled = sweep > config.burn_in
-        asked = again.select("bucket", "u", "w", "c", "ts").join(state.select(F.col("h").alias("u"), "tables"), "u").join(state.select(F.col("h").alias("w"), "p1"), "w").select("bucket", "u", "w", "c", "ts", "tables", "p1")
-        again = stored(asked.mapInArrow(_seat_pairs(config, sweep, own, sampled), "bucket int, u bigint, w bigint, c bigint, ts array<bigint>, t bigint"), "seated")
+        asked = again.select("bucket", "place", "u", "w", "c", "ts").join(state.select(F.col("h").alias("u"), "tables"), "u").join(state.select(F.col("h").alias("w"), "p1"), "w").select("bucket", "place", "u", "w", "c", "ts", "tables", "p1")
+        again = stored(asked.mapInArrow(_seat_pairs(config, sweep, own, sampled), "bucket int, place bigint, u bigint, w bigint, c bigint, ts array<bigint>, t bigint"), "seated")
+        tables_kept.drop(seats)
+        seats = again
         up = again.groupBy(F.col("u").alias("h")).agg(F.sum("t").alias("more_u"))
         down = again.groupBy(F.col("w").alias("h")).agg(F.sum("t").alias("more_w"))
         fed = state.drop("tables", "c1", "t1", "p1").join(up, "h", "left").join(down, "h", "left")
         fed = fed.withColumns({"tables": F.col("once_u") + F.coalesce("more_u", F.lit(0)), "c1": F.col("once_w") + F.coalesce("more_w", F.lit(0))}).select(*columns, "base")
         seated = stored(fed.mapInArrow(_seat(config, sweep, discount, config.strength + discount * tables), f"{types}, base double, t1 bigint"), "words")
+        tables_kept.drop(state)
         shared = spark.sparkContext.broadcast((symbols, None))
         made = seated.where(F.length("word") > 0).select("word", "t1").mapInArrow(_cells(shared), "cell bigint, t bigint").groupBy("cell").agg(F.sum("t").alias("t")).toPandas()
         cube = np.zeros(a**3, np.int64)
@@ -461,14 +531,15 @@ def scores(docs: DataFrame, config: PitmanYor = PitmanYor(), id_col: str = "doc_
             share = (config.context_strength + own * F.col("tables")) / (config.context_strength + F.col("c"))
             state = state.withColumns({"p1s": F.array_append("p1s", F.col("p1")), "shares": F.array_append("shares", share)})
         state = stored(state, "words")
+        tables_kept.drop(seated)
         if sampled:
             spelt = state.where(F.length("word") > 0).agg(F.sum(F.exp("base"))).first()[0] or 0.0
             unknown.append(max((config.strength + discount * tables) / (config.strength + customers) * (1 - config.end_share - spelt), 1e-12))
-    known = state.select("word", "c", F.log10((F.col("c") + 0.1) / low).alias("score"), "p1s", "shares")
-    answers = listed.select("chunk", "at", "word").join(known, "word", "left").select("chunk", "at", F.xxhash64("word").alias("h"), "c", "score", "p1s", "shares")
-    masses = packed.groupBy("at").cogroup(again.select("bucket", "u", "w", "ts").groupBy("bucket")).applyInArrow(_masses(own, len(unknown)), "chunk bigint, at int, words binary")
-    documents = chunks().where("kind = 'doc'").select("kind", "chunk", "id", "held_out", "at", "n", "words")
-    rows = documents.unionByName(masses.withColumn("kind", F.lit("pair")), allowMissingColumns=True)
+    known = state.select("h", "c", *(F.col(x).cast("array<float>").alias(x) for x in ("p1s", "shares")))
+    known = stored(known, "known")
+    tables_kept.drop(state)
+    answers = spelt_out.join(known, "h", "left")
+    masses = told.groupBy("at").cogroup(again.select("bucket", "place", "c", "ts").groupBy("bucket")).applyInArrow(_answered(len(unknown)), "chunk bigint, at int, n bigint, words binary, counts binary")
+    rows = documents.unionByName(masses.withColumn("kind", F.lit("told")), allowMissingColumns=True)
     out = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    base_unknown = math.log10(0.1 / low)
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sum_up(unknown, base_unknown, config, n_train), out).withColumnRenamed("id", id_col)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sum_up(unknown, low, own, config, n_train), out).withColumnRenamed("id", id_col)
