@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import Tables, binary, mixed, new_path, removed, small_batches, words_of
+from boxloom.llm.common import Tables, binary, handed_back, mixed, new_path, removed, small_batches, words_of
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,11 @@ def _chunk_pairs(sequences: list[np.ndarray], held: np.ndarray, hashes: np.ndarr
         inner = np.ones(len(before), bool)
         inner[ends - sizes + 1] = False
         before[inner] = all_
-    keys, at = np.unique(before << 32 | after, return_inverse=True)
+    before <<= 32
+    before |= after
+    del after
+    keys, at = np.unique(before, return_inverse=True)
+    del before
     n = np.bincount(at, np.repeat(~held, sizes), len(keys)).astype(np.int64)
     u, w = keys >> 32, keys & 0xFFFFFFFF
     h = pair_hashes(hashes[u], hashes[w])
@@ -453,7 +457,7 @@ def scores(docs: DataFrame, config: PitmanYor = PitmanYor(), id_col: str = "doc_
     schema = f"kind string, chunk bigint, id {kind}, held_out boolean, at int, n bigint, word binary, words binary, counts binary"
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, math.ceil(math.log2(1 + size / config.bucket_bytes)))
-    rows.mapInArrow(_chunked(config, bits), schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    rows.mapInArrow(lambda b: handed_back(_chunked(config, bits)(b)), schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
 
     def chunks():
         return spark.read.schema(schema).parquet(path)
