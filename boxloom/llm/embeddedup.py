@@ -166,7 +166,7 @@ def near_vectors(vectors: DataFrame, config: Cells = Cells(), id_col: str = "vec
 
     Rows link if their labels are equal and not null, their lengths are equal, and their cosine in double precision is at least
     config.cosine. Vectors that are null, zero, or hold null or non-finite numbers link with nothing. Rows that repeat an id are
-    vectors of their own that share its component. A null id takes part through its vector, and where none of a group has an id
+    vectors of their own, each with the links and the component of its vector. A null id takes part through its vector, and where none of a group has an id
     the component is null; a row without an id is kept only then. Centres are placed on a bounded sample of each cell; every vector is compared.
     Other columns are not read.
     """
@@ -176,8 +176,8 @@ def near_vectors(vectors: DataFrame, config: Cells = Cells(), id_col: str = "vec
     label = rows.schema["label"].dataType.simpleString()
     keyed = tables.stored(rows.mapInArrow(_keys, f"id bigint, label {label}, key binary, dim int, vector binary"), "keyed")
     nodes = keyed.where("key is not null").groupBy("label", "dim", "key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    # rows without an id need a node too: a negative number from the vector, which is never shown
-    nodes = tables.stored(nodes.withColumn("node", F.coalesce("least", -F.abs(F.xxhash64("label", "dim", "key") % (1 << 61)) - (1 << 61))), "nodes")
+    # a node is a number of the vector, as rows may repeat or lack an id; it is written once, so it stays the same
+    nodes = tables.stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     placed = _cells(nodes, label, config, tables)
     held = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("all"), F.count_if(F.col("home")).alias("own"))
@@ -192,7 +192,7 @@ def near_vectors(vectors: DataFrame, config: Cells = Cells(), id_col: str = "vec
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), tables)
-    smallest = groups.groupBy("component").agg(F.min(F.when(F.col("node") > -(1 << 60), F.col("node"))).alias("first"))
+    smallest = groups.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
     named = groups.join(smallest, "component").select("node", "first")
     facts = nodes.select("label", "dim", "key", "node", "least", "copies").join(links, "node", "left").join(named, "node", "left")
     facts = facts.select("label", "dim", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("component"))
