@@ -88,11 +88,11 @@ def missed_boxes(boxes: DataFrame, matches: DataFrame) -> DataFrame:
     return boxes.join(matches.select("box_id"), "box_id", "left_anti")
 
 
-def size_bucket_recall(boxes: DataFrame, matches: DataFrame) -> DataFrame:
-    """(bucket, class_id, tp, fn, recall)."""
+def size_bucket_recall(boxes: DataFrame, matches: DataFrame, flag: float = 0.4) -> DataFrame:
+    """(bucket, class_id, tp, fn, recall, flagged); buckets without boxes are absent."""
     hit = boxes.join(matches.select("box_id", F.lit(True).alias("hit")), "box_id", "left")
     out = hit.groupBy(size_bucket(F.col("w") * F.col("h") * 100).alias("bucket"), "class_id").agg(F.count("hit").alias("tp"), F.count_if(F.col("hit").isNull()).alias("fn"))
-    return out.withColumn("recall", F.col("tp") / (F.col("tp") + F.col("fn")))
+    return out.withColumn("recall", F.col("tp") / (F.col("tp") + F.col("fn"))).withColumn("flagged", F.col("recall") < flag)
 
 
 def dashboard(metrics: DataFrame, flag: float = 0.55) -> DataFrame:

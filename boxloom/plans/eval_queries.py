@@ -67,7 +67,7 @@ def _(v):
     return e.threshold_sweep(v("fx_preds"), v("fx_boxes"), v("fx_images"))
 
 
-@query("a13_size_bucket_recall", walk(0.45, CONF) + " SELECT CASE WHEN w * h * 100 < 2 THEN 'tiny' WHEN w * h * 100 < 5 THEN 'small' WHEN w * h * 100 < 15 THEN 'medium' ELSE 'large' END AS bucket, class_id, count(*) FILTER (box_id IN (SELECT box_id FROM m)) AS tp, count(*) FILTER (box_id NOT IN (SELECT box_id FROM m)) AS fn, count(*) FILTER (box_id IN (SELECT box_id FROM m)) / CAST(count(*) AS DOUBLE) AS recall FROM fx_boxes GROUP BY 1, 2")
+@query("a13_size_bucket_recall", walk(0.45, CONF) + " SELECT CASE WHEN w * h * 100 < 2 THEN 'tiny' WHEN w * h * 100 < 5 THEN 'small' WHEN w * h * 100 < 15 THEN 'medium' ELSE 'large' END AS bucket, class_id, count(*) FILTER (box_id IN (SELECT box_id FROM m)) AS tp, count(*) FILTER (box_id NOT IN (SELECT box_id FROM m)) AS fn, count(*) FILTER (box_id IN (SELECT box_id FROM m)) / CAST(count(*) AS DOUBLE) AS recall, count(*) FILTER (box_id IN (SELECT box_id FROM m)) / CAST(count(*) AS DOUBLE) < 0.4 AS flagged FROM fx_boxes GROUP BY 1, 2")
 def _(v):
     return e.size_bucket_recall(v("fx_boxes"), _hits(v))
 
