@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -40,7 +41,7 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.names = spark, {}, {}
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """The rows written once and read back."""
@@ -50,11 +51,22 @@ class Tables:
         self.paths[path] = out
         return out
 
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """The rows written once in buckets of key, so that later joins on it move the other side only."""
+        path, n = new_path(self.spark, name), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = path.rpartition("/")[2].replace("-", "_")
+        df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+        self.paths[path] = out = self.spark.table(table)
+        self.names[path] = table
+        return out
+
     def drop(self, *frames: DataFrame, but: tuple = ()) -> None:
         """Deletes these tables; without any named, all of them but those in `but`. Shuffle files that no plan holds go too."""
         gone = [p for p, df in self.paths.items() if (any(df is f for f in frames) if frames else not any(df is f for f in but))]
         for path in gone:
             del self.paths[path]
+            if path in self.names:
+                self.spark.sql(f"DROP TABLE IF EXISTS `{self.names.pop(path)}`")
             removed(self.spark, path)
         gc.collect()  # Spark clears the shuffles of plans that neither Python nor the JVM refers to
         self.spark.sparkContext._jvm.System.gc()
@@ -81,6 +93,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Bounds the Arrow batches of what runs inside; the session's own setting is put back after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def handed_back(batches):
     """The batches; after the last one, memory that the worker holds free goes back to the system, as other tasks and operators follow."""
     import ctypes

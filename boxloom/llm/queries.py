@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import contamination, embeddedup, maintext, minhash, mixing, personal, piececount, pitmanyor, quality, tokenfiles
+from boxloom.llm import contamination, embeddedup, maintext, minhash, mixing, personal, piececount, pitmanyor, quality, repeats, tokenfiles
 from boxloom.llm.common import as_table, new_path
 
 #: Id that ends each document in op1 (a fixed value of the contract).
@@ -75,7 +75,12 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitmanyor.scores(as_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_piece_counts, op3_minmax_dedup, op4_embedding_dedup, op5_mix, op6_main_text, op7_personal_data, op8_quality, op9_contamination, op10_pitman_yor)}
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that 400-byte strings cover which start elsewhere too."""
+    return repeats.summaries(as_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_piece_counts, op3_minmax_dedup, op4_embedding_dedup, op5_mix, op6_main_text, op7_personal_data, op8_quality, op9_contamination, op10_pitman_yor, op11_suffix_dedup)}
 
 #: Fixed patterns of op9 in SQL: what parts words.
 _OP9_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
