@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import contamination, embeddedup, maintext, minhash, mixing, personal, piececount, pitmanyor, quality, repeats, tokenfiles
+from boxloom.llm import contamination, embeddedup, maintext, minhash, mixing, personal, piececount, pitmanyor, quality, repeats, tokenfiles, turntrie
 from boxloom.llm.common import as_table, new_path
 
 #: Id that ends each document in op1 (a fixed value of the contract).
@@ -80,7 +80,13 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.summaries(as_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_piece_counts, op3_minmax_dedup, op4_embedding_dedup, op5_mix, op6_main_text, op7_personal_data, op8_quality, op9_contamination, op10_pitman_yor, op11_suffix_dedup)}
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt with shared heads."""
+    nodes = turntrie.rebuilt_trie(as_table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_piece_counts, op3_minmax_dedup, op4_embedding_dedup, op5_mix, op6_main_text, op7_personal_data, op8_quality, op9_contamination, op10_pitman_yor, op11_suffix_dedup, op13_turn_trie)}
 
 #: Fixed patterns of op9 in SQL: what parts words.
 _OP9_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -117,4 +123,22 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op13_turn_trie": r"""
+WITH t AS (SELECT conv_id, turn AS nr, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY nr NULLS FIRST, turn) - 1 AS pos FROM t),
+n AS (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id),
+c AS (SELECT n.conv_id, n.conv_id - n.conv_id % 20 AS base,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(n.conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))), CAST(4294967295 AS BIGINT)) % 4 AS h, coalesce(b.n, 0) AS there
+  FROM n LEFT JOIN n b ON b.conv_id = n.conv_id - n.conv_id % 20),
+r AS (SELECT c.conv_id, o.pos, o.turn, o.words FROM c JOIN o ON o.conv_id = c.base WHERE o.pos < c.h
+  UNION ALL SELECT c.conv_id, o.pos - c.h + least(c.h, c.there), o.turn, o.words FROM c JOIN o ON o.conv_id = c.conv_id WHERE o.pos >= c.h),
+l AS (SELECT c.conv_id, coalesce(list(r.turn ORDER BY r.pos) FILTER (WHERE r.turn IS NOT NULL), []) AS turns, coalesce(list(r.words ORDER BY r.pos) FILTER (WHERE r.turn IS NOT NULL), []) AS words FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+m AS (SELECT conv_id, d, '/' || array_to_string(turns[1:d], '/') AS key, CASE WHEN d > 0 THEN '/' || array_to_string(turns[1:d - 1], '/') END AS up, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words, len(turns) = d AS ends
+  FROM (SELECT *, unnest(generate_series(0, len(turns))) AS d FROM l)),
+g AS (SELECT key, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM m GROUP BY key),
+k AS (SELECT g.*, (SELECT count(*) FROM g x WHERE x.up = g.key) AS n_children FROM g)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, (SELECT min(p.conv_id) FROM g p WHERE p.key = a.up) AS parent_conv_id, a.n_convs, a.n_children,
+  CAST(count(*) FILTER (WHERE b.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM k a JOIN k b ON a.depth = 0 OR starts_with(b.key || '/', a.key || '/') GROUP BY a.conv_id, a.depth, a.up, a.n_convs, a.n_children, a.ends_sha256""",
 }
