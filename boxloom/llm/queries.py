@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import contamination, embeddedup, maintext, minhash, mixing, personal, piececount, pitmanyor, quality, repeats, tokenfiles, turntrie
+from boxloom.llm import contamination, embeddedup, hardneg, maintext, minhash, mixing, personal, piececount, pitmanyor, quality, repeats, tokenfiles, turntrie
 from boxloom.llm.common import as_table, new_path
 
 #: Id that ends each document in op1 (a fixed value of the contract).
@@ -80,13 +80,18 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.summaries(as_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first negatives in each positive's window, for every hundredth vector."""
+    return hardneg.hard_negatives(hardneg.shifted(as_table(spark, sf_dir, "embeddings")))
+
+
 def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all conversations, rebuilt with shared heads."""
     nodes = turntrie.rebuilt_trie(as_table(spark, sf_dir, "conversations"))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_piece_counts, op3_minmax_dedup, op4_embedding_dedup, op5_mix, op6_main_text, op7_personal_data, op8_quality, op9_contamination, op10_pitman_yor, op11_suffix_dedup, op13_turn_trie)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_piece_counts, op3_minmax_dedup, op4_embedding_dedup, op5_mix, op6_main_text, op7_personal_data, op8_quality, op9_contamination, op10_pitman_yor, op11_suffix_dedup, op12_hard_negatives, op13_turn_trie)}
 
 #: Fixed patterns of op9 in SQL: what parts words.
 _OP9_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -123,6 +128,14 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op12_hard_negatives": """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, anchor_id, b, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, b) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id NULLS LAST, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
     "op13_turn_trie": r"""
 WITH t AS (SELECT conv_id, turn AS nr, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY nr NULLS FIRST, turn) - 1 AS pos FROM t),
