@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from boxloom.operators.history import latest_snapshot  # noqa: F401  T1 is the same aggregate on a stream
+from boxloom.streaming.ordered import keyed_state, ordered_fold  # noqa: F401  started inside keyed_state
 
 #: Fixed fields of a telemetry document.
 TELEMETRY = "timestamp double, cpu_util_percent double, ram_used_gb double, ram_total_gb double, gpu_util_percent int, vram_used_gb double, vram_total_gb double, gpu_temp_c int, gpu_power_w double, gpu_graphics_clock_mhz int, gpu_memory_clock_mhz int"
@@ -24,35 +23,24 @@ def active_run_stream(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).agg(F.max_by("run", F.struct("ts", "run")).alias("run"), F.max("ts").alias("ts"))
 
 
-def ema_stream(stream: DataFrame, key: str = "run", value: str = "cpu_util", order: str = "ts", alpha: float = 0.1) -> DataFrame:
-    """(key, smooth) after every batch: s = (1 - alpha) s + alpha x from 0; the state of a key is one number."""
-    kind = stream.schema[key].dataType.simpleString()
+def ema_stream(stream: DataFrame, key: str = "run", value: str = "cpu_util", order: str = "ts", tie: str | None = None, alpha: float = 0.1, late: str = "1 minute", idle_seconds: float = 86_400) -> DataFrame:
+    """(key, smooth): s = (1 - alpha) s + alpha x from 0 over a key's rows in time order; see ordered_fold for late rows and silent keys."""
 
-    def step(keys, frames, state: GroupState):
-        s = state.get[0] if state.exists else 0.0
-        for pdf in frames:
-            for x in pdf.sort_values([order])[value]:
-                s = (1 - alpha) * s + alpha * x
-        state.update((s,))
-        yield pd.DataFrame({key: [keys[0]], "smooth": [s]})
+    def fold(state, x):
+        return ((1 - alpha) * (state[0] if state else 0.0) + alpha * x,)
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, smooth double", "s double", "update", GroupStateTimeout.NoTimeout)
+    return ordered_fold(stream, key, F.col(value), order, F.col(tie) if tie else F.lit(0), "s double", fold, lambda state: state, "smooth double", late, idle_seconds)
 
 
-def failure_streak_stream(stream: DataFrame, n: int = 10, key: str = "run", failed: str = "failed", order: str = "ts") -> DataFrame:
-    """(key, longest, stopped) after every batch; the state of a key is its current and longest run of failures."""
-    kind = stream.schema[key].dataType.simpleString()
+def failure_streak_stream(stream: DataFrame, n: int = 10, key: str = "run", failed: str = "failed", order: str = "ts", tie: str | None = None, late: str = "1 minute", idle_seconds: float = 86_400) -> DataFrame:
+    """(key, longest, stopped): the longest run of failures in time order, and whether one exceeds n; see ordered_fold for late rows and silent keys."""
 
-    def step(keys, frames, state: GroupState):
-        now, longest = state.get if state.exists else (0, 0)
-        for pdf in frames:
-            for bad in pdf.sort_values([order])[failed]:
-                now = now + 1 if bad else 0
-                longest = max(longest, now)
-        state.update((now, longest))
-        yield pd.DataFrame({key: [keys[0]], "longest": [longest], "stopped": [longest > n]})
+    def fold(state, bad):
+        now, longest = state or (0, 0)
+        now = now + 1 if bad else 0
+        return now, max(longest, now)
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, longest bigint, stopped boolean", "now bigint, longest bigint", "update", GroupStateTimeout.NoTimeout)
+    return ordered_fold(stream, key, F.col(failed), order, F.col(tie) if tie else F.lit(0), "now bigint, longest bigint", fold, lambda state: (state[1], state[1] > n), "longest bigint, stopped boolean", late, idle_seconds)
 
 
 def detect_stream(stream: DataFrame, predict_fn, conf: float = 0.15, schema: str = "path string, class_id int, conf double, x1 double, y1 double, x2 double, y2 double") -> DataFrame:
