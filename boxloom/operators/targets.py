@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxloom.functions.geometry import ciou_loss, corners, decode, encode, iou
+from boxloom.functions.geometry import ciou_loss, corners, decode, encode
 
 
 def anchor_table(spark: SparkSession, size: float, cells=(208, 104, 52, 26, 13), scales=(32, 64, 128, 200, 300), ratios=(0.5, 1.0, 2.0)) -> DataFrame:
@@ -31,27 +31,6 @@ def _box() -> list[Column]:
     return [F.col(c) for c in ("bx", "by", "bw", "bh")]
 
 
-def assign_iou(anchors: DataFrame, boxes: DataFrame, images: DataFrame, pos: float = 0.5, neg: float = 0.4) -> DataFrame:
-    """(image_id, anchor_id, state, class_id, box_id, tx, ty, tw, th) by IoU; boxes(image_id, box_id, class_id, bx, by, bw, bh) in pixels.
-
-    An anchor takes its best box: positive from pos, negative below neg, else ignored. The best anchor of every box is positive
-    too, with that anchor's own best box. Images without boxes have negative anchors only. The anchor table is a fixed grid of a
-    known size, so it is broadcast.
-    """
-    over = iou(corners(*_anchor()), corners(*_box()))
-    pairs = boxes.crossJoin(F.broadcast(anchors)).withColumn("iou", over)
-    best = pairs.groupBy("image_id", "anchor_id").agg(F.min_by(F.struct("iou", "box_id", "class_id", "bx", "by", "bw", "bh", "ax", "ay", "aw", "ah"), F.struct(-F.col("iou"), F.col("box_id"))).alias("b"))
-    forced = pairs.groupBy("image_id", "box_id").agg(F.max_by("anchor_id", F.struct(F.col("iou"), -F.col("anchor_id"))).alias("anchor_id")).select("image_id", "anchor_id", F.lit(True).alias("forced")).distinct()
-    judged = best.join(forced, ["image_id", "anchor_id"], "left")
-    state = F.when(F.col("forced") | (F.col("b.iou") >= pos), "positive").when(F.col("b.iou") < neg, "negative").otherwise("ignored")
-    out = judged.select("image_id", "anchor_id", state.alias("state"), "b.*")
-    hit = F.col("state") == "positive"
-    offsets = [F.when(hit, c).alias(n) for c, n in zip(encode(_anchor(), _box()), ("tx", "ty", "tw", "th"), strict=True)]
-    found = out.select("image_id", "anchor_id", "state", F.when(hit, F.col("class_id")).alias("class_id"), F.when(hit, F.col("box_id")).alias("box_id"), *offsets)
-    bare = images.select("image_id").join(boxes.select("image_id").distinct(), "image_id", "left_anti").crossJoin(F.broadcast(anchors.select("anchor_id")))
-    return found.unionByName(bare.withColumn("state", F.lit("negative")), allowMissingColumns=True)
-
-
 def assign_grid(boxes: DataFrame, size: float = 416, cells=(208, 104, 52, 26, 13), scales=(32, 64, 128, 200, 300), ratios=(0.5, 1.0, 2.0)) -> DataFrame:
     """(image_id, anchor_id, box_id, class_id, tx, ty, tw, th): per box and scale, the anchor of the centre's cell whose shape fits best.
 

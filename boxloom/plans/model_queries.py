@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boxloom.operators import history, images, postproc, sampling, targets
+from boxloom.operators import grid, history, images, postproc, sampling, targets
 from boxloom.plans.box_queries import query
 from boxloom.sources import sinks
 
 CELLS, SCALES, RATIOS, SIZE = (4, 2, 1), (100, 200, 300), (0.5, 1.0, 2.0), 416.0
+GRID = grid.Grid(SIZE, CELLS, SCALES, RATIOS)
 ANCHORS = """
 sc AS (SELECT * FROM (VALUES (0, 4, 104e0, 100e0, 0), (1, 2, 208e0, 200e0, 48), (2, 1, 416e0, 300e0, 60)) s(scale_no, n, stride, scale, off0)),
 an AS (SELECT CAST(off0 + c * 3 + r AS INT) AS anchor_id, scale_no, (c % n + 0.5e0) * stride AS ax, (c // n + 0.5e0) * stride AS ay, scale * sqrt(q) AS aw, scale / sqrt(q) AS ah, c % n AS gx, c // n AS gy, r
@@ -27,8 +28,7 @@ def _anchors(v):
 
 @query("g11_anchor_boxes", f"WITH {ANCHORS}, {PX} SELECT box_id, anchor_id FROM pb JOIN an ON abs(bx - ax) <= aw / 2 AND abs(by_ - ay) <= ah / 2")
 def _(v):
-    near = (F.abs(F.col("bx") - F.col("ax")) <= F.col("aw") / 2) & (F.abs(F.col("by") - F.col("ay")) <= F.col("ah") / 2)
-    return _px(v).join(F.broadcast(_anchors(v)), near).select("box_id", "anchor_id")
+    return grid.anchors_around(_px(v), GRID).select("box_id", "anchor_id")
 
 
 _I = "(greatest(0, least(bx + bw / 2, ax + aw / 2) - greatest(bx - bw / 2, ax - aw / 2)) * greatest(0, least(by_ + bh / 2, ay + ah / 2) - greatest(by_ - bh / 2, ay - ah / 2)))"
@@ -45,8 +45,14 @@ s AS (SELECT b.*, CASE WHEN f.anchor_id IS NOT NULL OR iou >= 0.5 THEN 'positive
 SELECT image_id, state, count(*) AS anchors, count(box_id) FILTER (state = 'positive') AS boxes, coalesce(sum(class_id) FILTER (state = 'positive'), 0) AS classes FROM s GROUP BY 1, 2
 UNION ALL SELECT image_id, 'negative', 63, 0, 0 FROM fx_images WHERE image_id NOT IN (SELECT image_id FROM fx_boxes)""")
 def _(v):
-    out = targets.assign_iou(_anchors(v), _px(v), v("fx_images"))
-    return out.groupBy("image_id", "state").agg(F.count("*").alias("anchors"), F.count("box_id").alias("boxes"), F.coalesce(F.sum("class_id"), F.lit(0)).alias("classes"))
+    return _states(v, GRID)
+
+
+def _states(v, anchors):
+    found = grid.assign_iou(_px(v), anchors)
+    told = found.groupBy("image_id", "state").agg(F.count("*").alias("anchors"), F.count("box_id").alias("boxes"), F.coalesce(F.sum("class_id"), F.lit(0)).alias("classes"))
+    rest = grid.negative_counts(found, v("fx_images"), anchors).where("anchors > 0").select("image_id", F.lit("negative").alias("state"), "anchors", F.lit(0).alias("boxes"), F.lit(0).alias("classes"))
+    return told.unionByName(rest)
 
 
 @query("j10_assign_grid", f"""
