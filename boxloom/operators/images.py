@@ -4,22 +4,40 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as g
 
-# For each profile, an operation's chance and the ranges of its parameters, in the order of the plan.
+# For each profile, an operation's chance and how its parameters are drawn, evenly between two numbers ("u"), a whole
+# number between two ("int"), or one of some ("of"), in the order of the plan. A cast has the factors of blue, green and red by pass.
 PROFILES = {
     "train": {
-        "low_resolution": (1.0, (0.30, 0.65)), "cast": (1.0, (0.05, 0.25)), "brightness_contrast": (1.0, (0.70, 1.15), (-25, 15)), "noise": (1.0, (4, 18)), "vignette": (1.0, (0.15, 0.45)),
-        "jpeg": (1.0, (22, 65)), "blur": (0.60,), "motion_blur": (0.40, (3, 9)), "occlusion": (0.35, (0.08, 0.25), (0.08, 0.25)),
+        "low_resolution": (1.0, ("u", 0.30, 0.65)),
+        "cast": (1.0, {"warm": (("u", 0.65, 0.92), ("u", 0.90, 1.12), ("u", 1.05, 1.35)), "cool": (("u", 1.05, 1.30), ("u", 0.90, 1.05), ("u", 0.70, 0.95))}),
+        "brightness_contrast": (1.0, ("u", 0.50, 1.35), ("u", -55, 35)),
+        "noise": (1.0, ("u", 5, 28)),
+        "vignette": (1.0, ("u", 0.30, 0.70), ("u", 0.38, 0.62), ("u", 0.38, 0.62)),
+        "jpeg": (1.0, ("int", 22, 65)),
+        "blur": (0.60,),
+        "motion_blur": (0.40, ("of", 3, 5, 7, 9), ("of", 0, 1)),
+        "occlusion": (0.35, ("of", 0, 1, 2, 3)),
     },
     "holdout": {
-        "low_resolution": (1.0, (0.32, 0.62)), "cast": (1.0, (0.05, 0.25)), "brightness_contrast": (1.0, (0.70, 1.15), (-25, 15)), "noise": (1.0, (4, 18)), "vignette": (1.0, (0.15, 0.45)),
-        "jpeg": (1.0, (28, 62)), "blur": (0.60,), "motion_blur": (0.35, (3, 9)), "occlusion": (0.35, (0.08, 0.25), (0.08, 0.25)),
+        "low_resolution": (1.0, ("u", 0.32, 0.62)),
+        "cast": (1.0, {"holdout": (("u", 0.72, 0.95), ("u", 0.95, 1.12), ("u", 1.05, 1.28))}),
+        "brightness_contrast": (1.0, ("u", 0.58, 1.28), ("u", -48, 28)),
+        "noise": (1.0, ("u", 6, 24)),
+        "vignette": (1.0, ("u", 0.35, 0.65), ("u", 0.42, 0.58), ("u", 0.42, 0.58)),
+        "jpeg": (1.0, ("int", 28, 62)),
+        "blur": (0.60,),
+        "motion_blur": (0.35, ("of", 3, 5, 7), ("of", 0, 1)),
+        "occlusion": (0.35, ("of", 0, 1, 2, 3)),
     },
-}
+}
+#: Tries for an occluder that spares the boxes, by profile, and its colours (blue, green, red).
+OCCLUDER_TRIES = {"train": 15, "holdout": 12}
+OCCLUDER_COLOURS = ((35, 35, 35), (70, 55, 45), (115, 95, 75), (25, 25, 30))
 
 
 def content_hash(files: DataFrame) -> DataFrame:
@@ -27,24 +45,37 @@ def content_hash(files: DataFrame) -> DataFrame:
     return files.withColumn("content_md5", F.md5("content"))
 
 
+def _drawn(unit: Column, kind: str, *values) -> Column:
+    """A parameter from a number in [0, 1)."""
+    if kind == "of":
+        return F.get(F.array(*(F.lit(float(v)) for v in values)), F.floor(unit * len(values)).cast("int"))
+    lo, hi = map(float, values)
+    return F.lit(lo) + unit * (hi - lo) if kind == "u" else F.lit(lo) + F.floor(unit * (hi - lo + 1))
+
+
 def degrade_plan(plan: DataFrame, seed=42, profile: str = "train") -> DataFrame:
-    """plan(image_id, pass) with ops: the operations that a hash of image, pass and operation picks, in the order of the hash.
+    """plan(image_id, pass) with ops(op, p1, p2, p3): the operations that a hash of image, pass and operation picks, in the order of the hash.
 
-    Occlusion, when picked, comes last. Parameters are drawn from their ranges by further digits of the hash.
+    Occlusion, when picked, comes last; its p1 is the number of its colour. Parameters are drawn by further digits of the hash. A pass
+    that the profile has no cast for gets the profile's first.
     """
     entries = []
-    for name, (chance, *ranges) in PROFILES[profile].items():
+    for name, (chance, *draws) in PROFILES[profile].items():
         h = F.md5(F.concat_ws("|", F.lit("plan"), F.lit(str(seed)), "image_id", "pass", F.lit(name)))
         unit = lambda at: F.conv(F.substring(h, at, 6), 16, 10).cast("double") / 16777216.0
-        drawn = [F.lit(lo) + unit(7 + 6 * k) * (hi - lo) for k, (lo, hi) in enumerate(ranges)]
-        drawn += [F.lit(None).cast("double")] * (2 - len(drawn))
-        op = F.concat(F.col("pass"), F.lit("_cast")) if name == "cast" else F.lit(name)
-        entries.append(F.struct(F.lit(name == "occlusion").alias("last"), F.substring(h, 7, 26).alias("h"), op.alias("op"), (unit(1) < chance).alias("on"), drawn[0].cast("double").alias("p1"), drawn[1].cast("double").alias("p2")))
+        kinds = draws[0] if name == "cast" else {"": draws}
+        made = {k: [_drawn(unit(7 + 6 * n), *d) for n, d in enumerate(own)] + [F.lit(None).cast("double")] * (3 - len(own)) for k, own in kinds.items()}
+        first = next(iter(made))
+        chosen = made[first]
+        for k in list(made)[1:]:
+            chosen = [F.when(F.col("pass") == k, mine).otherwise(other) for mine, other in zip(made[k], chosen, strict=True)]
+        op = F.concat(F.when(F.col("pass").isin(*made), F.col("pass")).otherwise(first), F.lit("_cast")) if name == "cast" else F.lit(name)
+        entries.append(F.struct(F.lit(name == "occlusion").alias("last"), F.substring(h, 7, 26).alias("h"), op.alias("op"), (unit(1) < chance).alias("on"), *(c.cast("double").alias(f"p{n}") for n, c in enumerate(chosen, 1))))
     picked = F.array_sort(F.filter(F.array(*entries), lambda e: e["on"]))
-    return plan.withColumn("ops", F.transform(picked, lambda e: F.struct(e["op"].alias("op"), e["p1"].alias("p1"), e["p2"].alias("p2"))))
+    return plan.withColumn("ops", F.transform(picked, lambda e: F.struct(*(e[c].alias(c) for c in ("op", "p1", "p2", "p3")))))
 
 
-def with_occluders(plan: DataFrame, sizes: DataFrame, boxes: DataFrame) -> DataFrame:
+def with_occluders(plan: DataFrame, sizes: DataFrame, boxes: DataFrame, profile: str = "train") -> DataFrame:
     """plan(image_id, pass, ops) with occluder: the rectangle that spares the boxes of the image, null where no try does.
 
     sizes(image_id, width, height); boxes(image_id, cx, cy, w, h).
@@ -52,7 +83,7 @@ def with_occluders(plan: DataFrame, sizes: DataFrame, boxes: DataFrame) -> DataF
     per = boxes.groupBy("image_id").agg(F.collect_list(F.struct("cx", "cy", "w", "h")).alias("_boxes"))
     wide = plan.join(sizes.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id").join(per, "image_id", "left")
     size, none = (F.col("_w"), F.col("_h")), F.expr("cast(array() as array<struct<cx:double,cy:double,w:double,h:double>>)")
-    tries = g.occluder_tries(F.concat_ws("|", "image_id", "pass"), *size)
+    tries = g.occluder_tries(F.concat_ws("|", "image_id", "pass"), *size, OCCLUDER_TRIES[profile])
     return wide.withColumn("occluder", g.occluder(tries, F.coalesce("_boxes", none), *size)).select(*plan.columns, "occluder")
 
 
@@ -96,43 +127,59 @@ def phash(pixels: DataFrame) -> DataFrame:
     return pixels.select("path", "height", "width", "data").mapInPandas(run, "path string, h bigint")
 
 
-def applied(a: np.ndarray, op: str, p1, p2, rng) -> np.ndarray:
-    """One operation on an H x W x 3 array; the JPEG pass is a codec and leaves pixels as they are."""
+def _enlarged(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Linear resize between cell centres, as two matrix products."""
+
+    def weights(n, m):
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        low = np.minimum(at.astype(int), max(n - 2, 0))
+        out = np.zeros((m, n))
+        out[np.arange(m), low] += 1 - (at - low)
+        out[np.arange(m), np.minimum(low + 1, n - 1)] += at - low
+        return out
+
+    return np.einsum("ij,jkc,lk->ilc", weights(pixels.shape[0], height), pixels.astype(np.float64), weights(pixels.shape[1], width))
+
+
+def _along(x: np.ndarray, kernel: list[float], axis: int) -> np.ndarray:
+    """An odd kernel along an axis; borders are mirrored without repeating the edge."""
+    half = len(kernel) // 2
+    pad = [(0, 0)] * 3
+    pad[axis] = (half, half)
+    wide = np.pad(x, pad, mode="reflect" if x.shape[axis] > half else "edge")
+    return sum(k * np.take(wide, range(i, i + x.shape[axis]), axis) for i, k in enumerate(kernel))
+
+
+def applied(a: np.ndarray, op: str, p1, p2, p3, rng) -> np.ndarray:
+    """One operation on an H x W x 3 array; the JPEG pass is a codec and leaves pixels as they are, an occlusion needs its rectangle."""
     h, w = a.shape[:2]
     x = a.astype(np.float64)
     if op == "hflip":
         return a[:, ::-1]
     if op == "low_resolution":
-        x = resized(resized(x, max(1, int(h * p1)), max(1, int(w * p1))), h, w)
+        x = np.rint(_enlarged(np.rint(resized(x, max(64, int(h * p1)), max(64, int(w * p1)))), h, w))
     elif op.endswith("_cast"):
-        x = x * {"warm": [1 - p1, 1.0, 1 + p1], "cool": [1 + p1, 1.0, 1 - p1], "yellow": [1 - p1, 1 + p1 / 2, 1 + p1 / 2]}[op[:-5]]
+        x = x * [p1, p2, p3]
     elif op in ("brightness_contrast", "brightness"):
-        x = x * (p1 if p1 is not None else 1.0) + (p2 if p2 is not None else 0.0)
+        x = np.rint(np.abs(x * (p1 if p1 is not None else 1.0) + (p2 if p2 is not None else 0.0)))
     elif op == "noise":
         x = x + rng.normal(0, p1 if p1 is not None else 8, x.shape)
     elif op == "blur":
-        k = np.pad(x, ((1, 1), (1, 1), (0, 0)), mode="edge")
-        k = (k[:-2] + 2 * k[1:-1] + k[2:]) / 4
-        x = (k[:, :-2] + 2 * k[:, 1:-1] + k[:, 2:]) / 4
+        x = np.rint(_along(_along(x, [0.25, 0.5, 0.25], 0), [0.25, 0.5, 0.25], 1))
     elif op == "motion_blur":
-        n = max(1, int(p1))
-        k = np.pad(x, ((0, 0), (n // 2, n - 1 - n // 2), (0, 0)), mode="edge")
-        x = sum(k[:, i : i + w] for i in range(n)) / n
+        n = int(p1)
+        x = np.rint(_along(x, [1 / n] * n, 1 if p2 < 0.5 else 0))
     elif op == "vignette":
-        yy, xx = np.mgrid[-1 : 1 : h * 1j, -1 : 1 : w * 1j]
-        x = x * (1 - p1 * np.clip((xx**2 + yy**2) / 2, 0, 1))[:, :, None]
-    elif op == "occlusion":
-        oh, ow = max(1, int(h * p1)), max(1, int(w * p2))
-        top, left = rng.integers(0, h - oh + 1), rng.integers(0, w - ow + 1)
-        x = x.copy()
-        x[top : top + oh, left : left + ow] = 40
-    return np.clip(np.rint(x), 0, 255).astype(np.uint8)
+        cx, cy = w * p2, h * p3
+        yy, xx = np.ogrid[:h, :w]
+        x = x * (1 - p1 * np.clip(np.hypot(xx - cx, yy - cy) / max(np.hypot(cx, cy), 1), 0, 1))[:, :, None]
+    return np.clip(x, 0, 255).astype(np.uint8)
 
 
 def apply_plan(pixels: DataFrame, plan: DataFrame) -> DataFrame:
     """(path, pass, height, width, data): pixels after the operations of plan(path, pass, ops).
 
-    If plan has the column occluder, an occlusion fills that rectangle, and nothing where it is null.
+    An occlusion fills the rectangle of the column occluder with its colour, and nothing where that is null or the column is not there.
     """
     placed = "occluder" in plan.columns
 
@@ -145,13 +192,12 @@ def apply_plan(pixels: DataFrame, plan: DataFrame) -> DataFrame:
             for a, ops, name, place in zip(_arrays(pdf), pdf["ops"], pdf["path"].astype(str) + pdf["pass"].astype(str), places, strict=True):
                 rng = np.random.default_rng(zlib.crc32(name.encode()))
                 for o in ops:
-                    if placed and o["op"] == "occlusion":
-                        if place is not None:
-                            a = a.copy()
-                            top, bottom, left, right = map(int, place)
-                            a[top:bottom, left:right] = 40
-                        continue
-                    a = applied(a, o["op"], o["p1"], o["p2"], rng)
+                    if o["op"] == "occlusion" and place is not None:
+                        a = a.copy()
+                        top, bottom, left, right = map(int, place)
+                        a[top:bottom, left:right] = OCCLUDER_COLOURS[int(o["p1"])]
+                    else:
+                        a = applied(a, o["op"], o["p1"], o["p2"], o["p3"], rng)
                 out.append(np.ascontiguousarray(a).tobytes())
             yield pdf[["path", "pass", "height", "width"]].assign(data=out)
 

@@ -168,15 +168,36 @@ def _(v):
     return history.failure_streak(v("fx_telemetry"), F.col("event_type") == "error")
 
 
-@query("i3_degrade_plan", """
-WITH u AS (SELECT image_id, p, nm, md5(concat_ws('|', 'plan', '42', image_id, p, nm)) AS h FROM fx_images, (VALUES ('warm'), ('cool')) s(p),
-  (VALUES ('low_resolution'), ('cast'), ('brightness_contrast'), ('noise'), ('vignette'), ('jpeg'), ('blur'), ('motion_blur'), ('occlusion')) o(nm)),
-c AS (SELECT *, (CAST(concat('0x', substring(h, 1, 6)) AS BIGINT)) / 16777216e0 AS x FROM u),
-k AS (SELECT * FROM c WHERE CASE nm WHEN 'blur' THEN x < 0.6 WHEN 'motion_blur' THEN x < 0.4 WHEN 'occlusion' THEN x < 0.35 ELSE true END)
-SELECT image_id, p AS pass, string_agg(CASE WHEN nm = 'cast' THEN concat(p, '_cast') ELSE nm END, ',' ORDER BY nm = 'occlusion', substring(h, 7)) AS ops FROM k GROUP BY 1, 2""")
-def _(v):
-    plan = images.degrade_plan(sampling.webcam_plan(v("fx_images"), 1.0))
-    return plan.select("image_id", "pass", F.array_join(F.transform("ops", lambda o: o["op"]), ",").alias("ops"))
+_PLAN = """
+WITH o(nm, p, chance, k1, lo1, hi1, k2, lo2, hi2, k3, lo3, hi3) AS (VALUES {rows}),
+u AS (SELECT image_id, s.p, nm, chance, k1, lo1, hi1, k2, lo2, hi2, k3, lo3, hi3, md5(concat_ws('|', 'plan', '42', image_id, s.p, nm)) AS h FROM fx_images, (VALUES ('warm'), ('cool')) s(p) JOIN o ON o.p IS NULL OR o.p = s.p),
+c AS (SELECT *, CAST(concat('0x', substring(h, 1, 6)) AS BIGINT) / 16777216e0 AS x, CAST(concat('0x', substring(h, 7, 6)) AS BIGINT) / 16777216e0 AS x1, CAST(concat('0x', substring(h, 13, 6)) AS BIGINT) / 16777216e0 AS x2, CAST(concat('0x', substring(h, 19, 6)) AS BIGINT) / 16777216e0 AS x3 FROM u),
+d AS (SELECT *, {drawn} FROM c WHERE x < chance)
+SELECT image_id, p AS pass, string_agg(concat(CASE WHEN nm = 'cast' THEN concat({cast}, '_cast') ELSE nm END, coalesce(':' || p1, ''), coalesce(':' || p2, ''), coalesce(':' || p3, '')), ',' ORDER BY nm = 'occlusion', substring(h, 7)) AS ops FROM d GROUP BY 1, 2"""
+_DRAWN = ", ".join(f"CAST(floor((CASE k{n} WHEN 'u' THEN lo{n} + x{n} * (hi{n} - lo{n}) WHEN 'int' THEN lo{n} + floor(x{n} * (hi{n} - lo{n} + 1)) WHEN 'odd' THEN lo{n} + 2 * floor(x{n} * ((hi{n} - lo{n}) / 2 + 1)) END) * 1000) AS BIGINT) AS p{n}" for n in (1, 2, 3))
+_NONE = "NULL, NULL, NULL"
+_TRAIN = f"""('low_resolution', NULL, 1e0, 'u', 0.30e0, 0.65e0, {_NONE}, {_NONE}), ('cast', 'warm', 1, 'u', 0.65e0, 0.92e0, 'u', 0.90e0, 1.12e0, 'u', 1.05e0, 1.35e0), ('cast', 'cool', 1, 'u', 1.05e0, 1.30e0, 'u', 0.90e0, 1.05e0, 'u', 0.70e0, 0.95e0),
+  ('brightness_contrast', NULL, 1, 'u', 0.50e0, 1.35e0, 'u', -55e0, 35e0, {_NONE}), ('noise', NULL, 1, 'u', 5e0, 28e0, {_NONE}, {_NONE}), ('vignette', NULL, 1, 'u', 0.30e0, 0.70e0, 'u', 0.38e0, 0.62e0, 'u', 0.38e0, 0.62e0),
+  ('jpeg', NULL, 1, 'int', 22e0, 65e0, {_NONE}, {_NONE}), ('blur', NULL, 0.60e0, {_NONE}, {_NONE}, {_NONE}), ('motion_blur', NULL, 0.40e0, 'odd', 3e0, 9e0, 'int', 0e0, 1e0, {_NONE}), ('occlusion', NULL, 0.35e0, 'int', 0e0, 3e0, {_NONE}, {_NONE})"""
+_HOLDOUT = f"""('low_resolution', NULL, 1e0, 'u', 0.32e0, 0.62e0, {_NONE}, {_NONE}), ('cast', NULL, 1, 'u', 0.72e0, 0.95e0, 'u', 0.95e0, 1.12e0, 'u', 1.05e0, 1.28e0),
+  ('brightness_contrast', NULL, 1, 'u', 0.58e0, 1.28e0, 'u', -48e0, 28e0, {_NONE}), ('noise', NULL, 1, 'u', 6e0, 24e0, {_NONE}, {_NONE}), ('vignette', NULL, 1, 'u', 0.35e0, 0.65e0, 'u', 0.42e0, 0.58e0, 'u', 0.42e0, 0.58e0),
+  ('jpeg', NULL, 1, 'int', 28e0, 62e0, {_NONE}, {_NONE}), ('blur', NULL, 0.60e0, {_NONE}, {_NONE}, {_NONE}), ('motion_blur', NULL, 0.35e0, 'odd', 3e0, 7e0, 'int', 0e0, 1e0, {_NONE}), ('occlusion', NULL, 0.35e0, 'int', 0e0, 3e0, {_NONE}, {_NONE})"""
+
+
+def _plan(v, profile):
+    plan = images.degrade_plan(sampling.webcam_plan(v("fx_images"), 1.0), profile=profile)
+    whole = lambda p: F.floor(p * 1000).cast("string")
+    return plan.select("image_id", "pass", F.array_join(F.transform("ops", lambda o: F.concat_ws(":", o["op"], whole(o["p1"]), whole(o["p2"]), whole(o["p3"]))), ",").alias("ops"))
+
+
+@query("i3_degrade_plan", _PLAN.format(rows=_TRAIN, drawn=_DRAWN, cast="p"))
+def _(v):
+    return _plan(v, "train")
+
+
+@query("i3_degrade_plan_holdout", _PLAN.format(rows=_HOLDOUT, drawn=_DRAWN, cast="'holdout'"))
+def _(v):
+    return _plan(v, "holdout")
 
 
 @query("s10_label_texts", "SELECT image_id, split, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h), chr(10) ORDER BY printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h)) AS lines FROM fx_boxes JOIN fx_images USING (image_id) GROUP BY 1, 2")

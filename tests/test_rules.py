@@ -164,7 +164,7 @@ def test_pixels(spark, tmp_path):
     plan = images.degrade_plan(pixels.select(F.col("path").alias("image_id"), F.lit("warm").alias("pass"))).withColumnRenamed("image_id", "path")
     out = images.apply_plan(pixels, plan).collect()
     assert len(out) == 4 and all(len(r.data) == r.height * r.width * 3 for r in out)
-    assert (images.applied(images.applied(a, "hflip", None, None, None), "hflip", None, None, None) == a).all()
+    assert (images.applied(images.applied(a, "hflip", None, None, None, None), "hflip", None, None, None, None) == a).all()
 
 
 def test_formats(spark, tmp_path):
@@ -209,9 +209,34 @@ def test_occluders_spare_boxes(spark):
     sizes = spark.createDataFrame([(str(i), 100, 100) for i in ids], "image_id string, width int, height int")
     crowd = [("0", x / 20, y / 20, 0.05, 0.05) for x in range(20) for y in range(20)]
     boxes = spark.createDataFrame([*crowd, *((str(i), 0.5, 0.5, 0.05, 0.05) for i in ids)], "image_id string, cx double, cy double, w double, h double")
-    plan = spark.createDataFrame([(str(i), "warm", [("occlusion", 0.9, 0.9)]) for i in ids], "image_id string, pass string, ops array<struct<op:string,p1:double,p2:double>>")
+    plan = spark.createDataFrame([(str(i), "warm", [("occlusion", 1.0, None, None)]) for i in ids], "image_id string, pass string, ops array<struct<op:string,p1:double,p2:double,p3:double>>")
     pixels = spark.createDataFrame([(str(i), 100, 100, bytearray([200] * 30000)) for i in ids], "path string, height int, width int, data binary")
     placed = images.with_occluders(plan, sizes, boxes).withColumnRenamed("image_id", "path")
     out = {r.path: np.frombuffer(r.data, np.uint8).reshape(100, 100, 3) for r in images.apply_plan(pixels, placed).collect()}
     assert len(out) == 12 and (out["0"] == 200).all()
-    assert all((a[50, 50] == 200).all() for a in out.values()) and sum((a == 40).any() for a in out.values()) >= 10
+    assert all((a[50, 50] == 200).all() for a in out.values()) and sum((a == [70, 55, 45]).all(axis=2).any() for a in out.values()) >= 10
+
+
+def test_degradations(spark):
+    """Every parameter lies in its range, and each operation does what its parameters say."""
+    grey = np.full((80, 100, 3), 100, np.uint8)
+    do = lambda op, *p: images.applied(grey, op, *p, *[None] * (3 - len(p)), np.random.default_rng(1))
+    assert do("warm_cast", 0.7, 1.0, 1.3)[0, 0].tolist() == [70, 100, 130]
+    assert (do("brightness_contrast", 0.5, -55.0) == 5).all()  # below zero counts by its size
+    assert (do("low_resolution", 0.3) == 100).all() and (do("blur") == 100).all() and (do("motion_blur", 9.0, 1.0) == 100).all()
+    dark = do("vignette", 0.7, 0.5, 0.5)
+    assert dark[40, 50, 0] == 100 and dark[0, 0, 0] == 30
+    line = np.zeros((9, 9, 3), np.uint8)
+    line[4, 4] = 90
+    across, down = (images.applied(line, "motion_blur", 3.0, d, None, None)[:, :, 0] for d in (0.0, 1.0))
+    assert across[4, 3:6].tolist() == [30] * 3 and down[3:6, 4].tolist() == [30] * 3 and across.sum() == down.sum() == 90
+    plan = spark.range(300).select(F.col("id").alias("image_id"), F.explode(F.array(F.lit("warm"), F.lit("cool"))).alias("pass"))
+    for profile, blurs in (("train", {3, 5, 7, 9}), ("holdout", {3, 5, 7})):
+        ops = [(r["pass"], o) for r in images.degrade_plan(plan, profile=profile).collect() for o in r.ops]
+        for name, (chance, *draws) in images.PROFILES[profile].items():
+            own = [(p, o) for p, o in ops if o.op == name or name == "cast" and o.op.endswith("_cast")]
+            assert abs(len(own) / 600 - chance) < 0.1
+            for p, o in own:
+                ranges = draws[0].get(p, next(iter(draws[0].values()))) if name == "cast" else draws
+                assert all(min(d[1:]) <= x <= max(d[1:]) for d, x in zip(ranges, (o.p1, o.p2, o.p3), strict=False))
+        assert {o.p1 for _, o in ops if o.op == "motion_blur"} == blurs
