@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boxloom.plans import box_queries, eval_queries, model_queries, set_queries  # noqa: F401  they register their queries
+from boxloom.plans import box_queries, eval_queries, model_queries, set_queries, stream_queries  # noqa: F401  they register their queries
 
 #: Columns of doubles by query.
 DOUBLES = {
@@ -43,6 +43,9 @@ DOUBLES = {
     "p15_normalize_gpu": "vram_used_gb gpu_power_w",
     "t1_latest_snapshot": "cpu_util vram_used_mb",
     "t3_ema": "smooth",
+    "t3_ema_stream": "smooth",
+    "t1_snapshot_stream": "cpu_util vram_used_mb",
+    "t5_detect_stream": "conf x1",
 }
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxloom.operators import history
-from boxloom.streaming import monitor
+from boxloom.streaming import monitor, snapshot
 from boxloom.streaming.ordered import keyed_state
 
 SCHEMA = "run string, ts timestamp, event_id bigint, cpu_util double, failed boolean"
@@ -68,3 +68,41 @@ def test_late_rows_silent_keys_and_restarts(spark, tmp_path):
     slices(tmp_path / "in", [("a", 3 * 3600.0 + 1, 0, 0.0, True), ("b", 4 * 3600.0, 0, 0.0, False)], 2)
     got, _ = last(spark, frame, tmp_path / "c")
     assert got["a"] == (1, False)
+
+
+def test_snapshots_are_whole_and_batches_count_once(spark, tmp_path):
+    path, schema = str(tmp_path / "snap"), "run string, ts double, event_id bigint, cpu_util double, vram_used_mb double"
+    write = snapshot.snapshot_writer(path, keep=2)
+    batch = lambda *rows: spark.createDataFrame(rows, schema)
+    assert snapshot.read_snapshot(spark, path) is None
+    write(batch(("a", 1.0, 1, 10.0, 1.0), ("a", 2.0, 1, 20.0, 2.0), ("b", 1.5, 1, 30.0, 3.0)), 0)
+    first = snapshot.read_snapshot(spark, path)
+    assert {(r.run, r.cpu_util, r.active) for r in first.collect()} == {("a", 20.0, True), ("b", 30.0, False)}
+    write(batch(("b", 9.0, 1, 40.0, 4.0)), 1)
+    before = snapshot.pointer(spark, path)
+    write(batch(("a", 99.0, 1, 99.0, 9.0)), 1)  # the same batch again
+    write(batch(("a", 99.0, 1, 99.0, 9.0)), 0)
+    assert snapshot.pointer(spark, path) == before and before["active"] == "b"
+    assert {(r.run, r.cpu_util, r.active) for r in snapshot.read_snapshot(spark, path).collect()} == {("a", 20.0, False), ("b", 40.0, True)}
+    assert first.count() == 2  # a reader of the version before still has its files
+    write(batch(("a", 0.5, 1, 77.0, 7.0), (None, None, 1, 0.0, 0.0)), 2)  # an older row changes nothing
+    assert {(r.run, r.cpu_util) for r in snapshot.read_snapshot(spark, path).collect()} == {("a", 20.0), ("b", 40.0)}
+    assert len([p for p in (tmp_path / "snap").iterdir() if p.name.startswith("version=")]) == 2
+
+
+def test_snapshot_survives_a_broken_batch(spark, tmp_path, monkeypatch):
+    """A batch that breaks off before the pointer moves leaves the old snapshot, and the restart leaves one snapshot of all rows."""
+    slices(tmp_path / "in", [("a", 1.0, 0, 5.0, True)], 1)
+    stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
+    run = lambda: snapshot.snapshot_stream(stream, str(tmp_path / "snap"), str(tmp_path / "c"), None, values=("cpu_util",))
+    run().awaitTermination(120)
+    slices(tmp_path / "in", [("a", 2.0, 0, 6.0, True), ("b", 3.0, 0, 7.0, True)], 2)
+    with monkeypatch.context() as m:
+        m.setattr(snapshot, "_point", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="ZeroDivisionError|division"):
+            run().awaitTermination(120)
+    assert [(r.run, r.cpu_util) for r in snapshot.read_snapshot(spark, str(tmp_path / "snap")).collect()] == [("a", 5.0)]
+    run().awaitTermination(120)
+    assert {(r.run, r.cpu_util, r.active) for r in snapshot.read_snapshot(spark, str(tmp_path / "snap")).collect()} == {("a", 6.0, False), ("b", 7.0, True)}
+    versions = [p.name for p in (tmp_path / "snap").iterdir() if p.name.startswith("version=")]
+    assert sorted(versions) == sorted(snapshot.pointer(spark, str(tmp_path / "snap"))["kept"])
