@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,9 +12,12 @@ from boxloom.functions import geometry as g
 from boxloom.functions.names import normalize_name, resolve_alias
 from boxloom.operators.labels import parse_labels
 from boxloom.operators.quality import IMAGE_EXTENSIONS
+from boxloom.sources.dataset import scan_whole
 
 #: Fixed box of a classification image: centre and size.
 PSEUDO_BOX = (0.5, 0.5, 0.85, 0.85)
+#: Fixed names of files that hold class names, in their order; the last one counts in a source's own folder only.
+YAML_NAMES = ("data.yaml", "dataset.yaml", "_annotations.yaml")
 HISTORY = "epoch int, lr double, loss double, cls_loss double, box_loss double, map50 double, map double, epoch_seconds double"
 
 
@@ -45,10 +50,17 @@ def pair_labels(images: DataFrame) -> DataFrame:
     return images.withColumn("label_path", F.regexp_replace(swapped, r"\.[^./]*$", ".txt"))
 
 
-def scan_coco(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, file_name, raw_name, cx, cy, w, h): boxes of COCO documents with known images and categories, valid ones only."""
+def _below(names: str | None) -> dict:
+    return {"recursiveFileLookup": True, "pathGlobFilter": names} if names else {}
+
+
+def scan_coco(spark: SparkSession, glob: str, names: str | None = None) -> DataFrame:
+    """Boxes of COCO documents, of which names is a file pattern below the folder glob, if given: (path, file_name, raw_name, cx, cy, w, h), with known images and categories, valid ones only."""
     schema = "categories array<struct<id:bigint,name:string>>, images array<struct<id:bigint,file_name:string,width:double,height:double>>, annotations array<struct<image_id:bigint,category_id:bigint,bbox:array<double>>>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(glob).select("*", F.col("_metadata.file_path").alias("path"))
+    if names:  # the usual name begins with _, which Spark's own sources hide
+        docs = scan_whole(spark, glob, names).select("path", F.from_json(F.col("content").cast("string"), schema).alias("d")).select("path", "d.*")
+    else:
+        docs = spark.read.schema(schema).option("multiLine", True).json(glob).select("*", F.col("_metadata.file_path").alias("path"))
     images = docs.select("path", F.inline("images")).where("width > 0 and height > 0").withColumnRenamed("id", "image_id")
     names = docs.select("path", F.inline("categories")).select("path", F.col("id").alias("category_id"), F.col("name").alias("raw_name"))
     boxes = docs.select("path", F.inline("annotations")).where("size(bbox) = 4").join(images, ["path", "image_id"]).join(names, ["path", "category_id"])
@@ -56,10 +68,10 @@ def scan_coco(spark: SparkSession, glob: str) -> DataFrame:
     return boxes.select("path", "file_name", "raw_name", *(c.alias(n) for c, n in zip(made, ("cx", "cy", "w", "h"), strict=True))).where(g.valid_box())
 
 
-def scan_voc(spark: SparkSession, glob: str) -> DataFrame:
+def scan_voc(spark: SparkSession, glob: str, names: str | None = None) -> DataFrame:
     """(path, filename, raw_name, cx, cy, w, h): boxes of VOC documents; images without a size are dropped."""
     schema = "filename string, size struct<width:string,height:string>, object array<struct<name:string,bndbox:struct<xmin:string,ymin:string,xmax:string,ymax:string>>>"
-    docs = spark.read.format("xml").option("rowTag", "annotation").schema(schema).load(glob).select("*", F.col("_metadata.file_path").alias("path"))
+    docs = spark.read.format("xml").option("rowTag", "annotation").options(**_below(names)).schema(schema).load(glob).select("*", F.col("_metadata.file_path").alias("path"))
     size = docs.select("path", "filename", F.expr("try_cast(size.width as double)").alias("width"), F.expr("try_cast(size.height as double)").alias("height"), F.explode("object").alias("o")).where("width > 0 and height > 0")
     corner = [F.expr(f"try_cast(o.bndbox.{c} as double)") for c in ("xmin", "ymin", "xmax", "ymax")]
     made = g.centre(*corner, F.col("width"), F.col("height"))
@@ -87,30 +99,49 @@ def scan_class_names(spark: SparkSession, root: str) -> DataFrame:
                 rows += [(path, k, v) for k, v in pairs]
             yield pd.DataFrame(rows, columns=["path", "raw_id", "raw_name"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.y*ml").load(root)
-    return files.select("path", "content").mapInPandas(run, "path string, raw_id int, raw_name string")
+    return scan_whole(spark, root, "*.y*ml").mapInPandas(run, "path string, raw_id int, raw_name string")
 
 
-def scan_auto(spark: SparkSession, root: str) -> DataFrame:
-    """(path, format, raw_name, cx, cy, w, h) of one source: label text if there is a YAML file, COCO if its marker file is there,
-    VOC only if neither gave anything; one row per file and box."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    marks = listing.agg(F.bool_or(F.col("path").rlike(r"\.ya?ml$")).alias("yaml"), F.bool_or(F.col("path").rlike(r"_annotations\.coco\.json$")).alias("coco"), F.bool_or(F.col("path").endswith(".xml")).alias("voc")).first()
+def _source(path: Column, root: str, whole: bool) -> Column:
+    """The folder of path just below root, or empty if root is one source."""
+    if whole:
+        return F.lit("")
+    tail = F.substring_index(F.replace(path, F.lit("%20"), F.lit(" ")), re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/", -1)
+    return F.when(tail.contains("/"), F.substring_index(tail, "/", 1)).otherwise("")
+
+
+def scan_routed(spark: SparkSession, root: str, whole: bool = False) -> DataFrame:
+    """(source, path, format, image, raw_name, cx, cy, w, h) of the sources in the folders below root, or of root as one source if whole.
+
+    A source with a YAML file of YAML_NAMES has label text, named by the first of them, one in its own folder before deeper ones; its COCO documents are read besides; XML is read
+    only in a source where neither gives a box. Each listed file has its source, so sources need not look alike. An image that two
+    formats describe is taken from the first of them, with all its boxes, equal ones too. image is its path without the extension.
+    """
     box = ["cx", "cy", "w", "h"]
-    parts = []
-    if marks.yaml:
-        names = scan_class_names(spark, root).select(F.col("raw_id").alias("class_id"), "raw_name")
-        parts.append(scan_labels(spark, root, "lenient", 10**6).join(F.broadcast(names), "class_id").select("path", F.lit("labels").alias("format"), "raw_name", *box))
-    if marks.coco:
-        parts.append(scan_coco(spark, f"{root}/**/_annotations.coco.json" if "*" not in root else root).select("path", F.lit("coco").alias("format"), "raw_name", *box))
-    if not parts and marks.voc:
-        parts.append(scan_voc(spark, f"{root}/*.xml").select("path", F.lit("voc").alias("format"), "raw_name", *box))
-    if not parts:
-        return spark.createDataFrame([], "path string, format string, raw_name string, cx double, cy double, w double, h double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropDuplicates()
+    plain = F.regexp_replace("path", r"^\w+:/*", "/")  # Spark names local files with a scheme
+    of = lambda d: d.withColumn("path", plain).withColumn("source", _source(F.col("path"), root, whole))
+    file = F.substring_index("path", "/", -1)
+    nested = F.when(F.substring_index("path", "/", -2) == F.concat_ws("/", F.when(F.col("source") == "", re.sub(r".*/", "", root.rstrip("/"))).otherwise(F.col("source")), file), 0).otherwise(3)
+    order = F.struct((nested + F.array_position(F.array(*map(F.lit, YAML_NAMES)), file)).alias("n"), "path")
+    names = of(scan_class_names(spark, root)).where(file.isin(*YAML_NAMES) & ((nested == 0) | (file != YAML_NAMES[2])))
+    first = names.groupBy("source").agg(F.min_by("path", order).alias("path"))
+    names = names.join(first, ["source", "path"]).select("source", F.col("raw_id").alias("class_id"), "raw_name")
+    text = of(scan_labels(spark, root, "lenient", 10**6)).join(names, ["source", "class_id"])
+    image = F.regexp_replace(F.regexp_replace("path", r"\.[^./]*$", ""), r"(?i)/labels/([^/]*)$", "/images/$1")
+    text = text.select("source", "path", F.lit("labels").alias("format"), image.alias("image"), "raw_name", *box)
+    beside = lambda file: F.regexp_replace(F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col(file)), r"\.[^./]*$", "")
+    coco = of(scan_coco(spark, root, "_annotations.coco.json")).select("source", "path", F.lit("coco").alias("format"), beside("file_name").alias("image"), "raw_name", *box)
+    told = text.unionByName(coco)
+    voc = of(scan_voc(spark, root, "*.xml")).join(told.select("source").distinct(), "source", "left_anti").select("source", "path", F.lit("voc").alias("format"), beside("filename").alias("image"), "raw_name", *box)
+    rows = told.unionByName(voc)
+    rank = lambda: F.array_position(F.array(F.lit("labels"), F.lit("coco"), F.lit("voc")), F.col("format"))
+    taken = rows.groupBy("source", "image").agg(F.min(rank()).alias("_rank"))
+    return rows.withColumn("_rank", rank()).join(taken, ["source", "image", "_rank"], "left_semi").select("source", "path", "format", "image", "raw_name", *box)
+
+
+def scan_auto(spark: SparkSession, root: str) -> DataFrame:
+    """scan_routed of root as one source: (path, format, raw_name, cx, cy, w, h), a row per box."""
+    return scan_routed(spark, root, True).select("path", "format", "raw_name", "cx", "cy", "w", "h")
 
 
 def source_catalog(spark: SparkSession, sources: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
