@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions.names import CLASSES, classes
 from boxloom.operators.labels import tiny_reason
+from boxloom.operators.select import exact_median
 
 SPLITS = ("train", "valid", "test")
 
@@ -48,11 +49,13 @@ def tiny_report(boxes: DataFrame, min_px: float = 8, size: int = 640, flag: floa
 def size_summary(boxes: DataFrame) -> DataFrame:
     """Count, mean, exact median and four area buckets per class; areas in percent, rounded to 4 places first."""
     area = F.round(F.col("w") * F.col("h") * 100, 4)
-    a = F.col("a")
-    return boxes.select("class_id", area.alias("a")).groupBy("class_id").agg(
-        F.count("*").alias("n"), F.round(F.avg("a"), 3).alias("mean_area"), F.round(F.median("a"), 3).alias("median_area"),
+    a, rows = F.col("a"), boxes.select("class_id", area.alias("a"))
+    sums = rows.groupBy("class_id").agg(
+        F.count("*").alias("n"), F.round(F.avg("a"), 3).alias("mean_area"),
         F.count_if(a < 2).alias("tiny"), F.count_if((a >= 2) & (a < 5)).alias("small"), F.count_if((a >= 5) & (a < 15)).alias("medium"), F.count_if(a >= 15).alias("large"),
     )
+    middle = exact_median(rows, "class_id", "a").select("class_id", F.round("median", 3).alias("median_area"))
+    return sums.join(middle, "class_id", "left").select("class_id", "n", "mean_area", "median_area", "tiny", "small", "medium", "large")
 
 
 def style_audit(boxes: DataFrame, class_id: int = 1, area: float = 0.04, min_px: float = 8, size: int = 640) -> DataFrame:
@@ -61,7 +64,14 @@ def style_audit(boxes: DataFrame, class_id: int = 1, area: float = 0.04, min_px:
     per = own.groupBy("image_id").agg(F.count("*").alias("n"), F.bool_and(F.col("a") < area * 100).alias("every"), F.bool_or(F.col("a") < area * 100).alias("any"))
     style = F.when(F.col("every"), "finger").when(F.col("any"), "mixed").otherwise("bunch")
     styles = per.groupBy(style.alias("item")).agg(F.count("*").alias("n")).select(F.lit("style").alias("measure"), "item", "n", (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("value"))
-    spread = per.agg(F.count("*").alias("n"), F.avg("n").alias("mean"), F.median("n").alias("median"), F.max("n").cast("double").alias("max"), F.expr("cast(count_if(every) > 0 and count_if(not any) > 0 as int)").alias("bad"))
+    # an image count is a whole number, so images are counted by it first
+    sizes = per.groupBy("n").agg(F.count("*").alias("images"))
+    upto, every = F.sum("images").over(Window.orderBy("n")), F.sum("images").over(Window.partitionBy())
+    ranked = sizes.select("n", (upto - F.col("images")).alias("first"), upto.alias("end"), every.alias("every"))
+    holds = lambda at: F.max(F.expr(f"if({at} >= first and {at} < end, n, null)"))
+    middle = ranked.agg(((holds("(every - 1) div 2") + holds("every div 2")) / 2).alias("median"))
+    spread = per.agg(F.count("*").alias("n"), F.avg("n").alias("mean"), F.max("n").cast("double").alias("max"), F.expr("cast(count_if(every) > 0 and count_if(not any) > 0 as int)").alias("bad"))
+    spread = spread.withColumn("_one", F.lit(1)).join(middle.withColumn("_one", F.lit(1)), "_one")
     spread = spread.selectExpr("n", "bad", "stack(3, 'mean', mean, 'median', cast(median as double), 'max', max) as (item, value)").select(F.lit("boxes_per_image").alias("measure"), "item", "n", "value").union(
         per.agg(F.count("*").alias("n"), F.expr("cast(count_if(every) > 0 and count_if(not any) > 0 as double)").alias("value")).select(F.lit("inconsistent").alias("measure"), F.lit("flag").alias("item"), "n", "value"))
     share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())

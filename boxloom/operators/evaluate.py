@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import corners, iou, size_bucket
+from boxloom.operators.select import carried, in_ranges
 
 THRESHOLDS = (0.10, 0.20, 0.30, 0.40, 0.50)
 
@@ -105,7 +106,8 @@ def average_precision(preds: DataFrame, boxes: DataFrame, images: DataFrame, iou
     """(iou, class_id, ap): 101-point interpolated average precision of each class that has boxes.
 
     Predictions of a class are ranked by falling confidence, then id; precision is made falling from the right, and read at recalls
-    0, 0.01 .. 1. A prediction is at most once in the ranking, so a class is one sorted window.
+    0, 0.01 .. 1. A class is ranked in ranges of confidence; counts of earlier ranges and the best precision of later ones are carried
+    over their edges, so no class is sorted in one task.
     """
     pairs = candidate_pairs(preds, boxes, images, min(ious))
     matches = None
@@ -115,10 +117,13 @@ def average_precision(preds: DataFrame, boxes: DataFrame, images: DataFrame, iou
     marks = F.array(*(F.lit(float(t)) for t in ious))
     told = preds.select("class_id", "pred_id", "conf", F.explode(marks).alias("iou")).join(matches.select("iou", "pred_id", F.lit(1).alias("tp")), ["iou", "pred_id"], "left").na.fill(0, ["tp"])
     there = boxes.groupBy("class_id").agg(F.count("*").alias("there"))
-    order = Window.partitionBy("iou", "class_id").orderBy(F.desc("conf"), "pred_id")
-    run = told.withColumn("c", F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("k", F.row_number().over(order)).join(F.broadcast(there), "class_id")
-    run = run.withColumn("p", F.col("c") / F.col("k"))
-    best = F.max("p").over(Window.partitionBy("iou", "class_id").orderBy(F.asc("conf"), F.desc("pred_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    groups = ["iou", "class_id"]
+    dealt = carried(in_ranges(told, groups, [F.desc("conf"), F.asc("pred_id")]), groups, {"c0": (F.sum("tp"), F.sum), "k0": (F.count("*"), F.sum)})
+    none = F.lit(0).cast("bigint")
+    order = Window.partitionBy(*groups, "part").orderBy(F.desc("conf"), "pred_id")
+    run = dealt.withColumn("c", F.coalesce("c0", none) + F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("k", F.coalesce("k0", none) + F.row_number().over(order)).join(F.broadcast(there), "class_id")
+    run = carried(run.withColumn("p", F.col("c") / F.col("k")), groups, {"later": (F.max("p"), F.max)}, falling=True)
+    best = F.greatest(F.max("p").over(Window.partitionBy(*groups, "part").orderBy(F.asc("conf"), F.desc("pred_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.coalesce("later", F.lit(0.0)))
     run = run.withColumn("best", best).withColumn("lower", F.ceil((F.col("c") - F.col("tp")) * 100.0 / F.col("there") + 1e-9)).withColumn("upper", F.floor(F.col("c") * 100.0 / F.col("there") + 1e-9))
     first = F.when((F.col("c") == 1) & (F.col("tp") == 1), F.lit(0)).otherwise(F.col("lower"))
     points = F.when(F.col("tp") == 1, F.greatest(F.col("upper") - first + 1, F.lit(0))).otherwise(0)

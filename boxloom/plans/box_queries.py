@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as g
 from boxloom.functions import names
-from boxloom.operators import counts, labels, quality
+from boxloom.operators import counts, dedup, labels, quality
 from boxloom.plans.fixtures import view, with_views
 
 QUERIES: dict = {}
@@ -239,10 +239,15 @@ def _(v):
     return train.withColumn("part", F.lit("clean")).unionByName(train.where("image_id % 7 = 0").withColumn("part", F.lit("copied")))
 
 
-@query("u2_union_removals", "SELECT image_id FROM fx_images WHERE image_id % 7 = 0 UNION SELECT image_id FROM fx_images WHERE image_id % 5 = 0")
+_REMOVED = """SELECT item_id FROM (SELECT item_id, split, count(DISTINCT split) OVER (PARTITION BY h) AS n, bool_or(split = 'train') OVER (PARTITION BY h) AS t FROM fx_near) WHERE n > 1 AND split = CASE WHEN t THEN 'train' ELSE 'valid' END
+UNION SELECT DISTINCT a.item_id FROM fx_near a JOIN fx_near b ON (a.split = 'train' AND b.split IN ('valid', 'test') OR a.split = 'valid' AND b.split = 'test') AND bit_count(xor(a.h, b.h)) <= 8"""
+
+
+@query("u2_union_removals", _REMOVED)
 def _(v):
-    i = v("fx_images").select("image_id")
-    return i.where("image_id % 7 = 0").union(i.where("image_id % 5 = 0")).distinct()
+    """What exact and near duplicates across splits remove, together."""
+    near = v("fx_near")
+    return dedup.removals_exact(near, "h").union(dedup.removals_near(near)).distinct()
 
 
 @query("u3_difference", "SELECT image_id FROM fx_images EXCEPT SELECT image_id FROM fx_boxes")
