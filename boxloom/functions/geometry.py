@@ -134,10 +134,13 @@ def occluder_tries(key: Column, width: Column, height: Column, tries: int = 15)
 
 
 def occluder(tries: Column, boxes: Column, width: Column, height: Column) -> Column:
-    """The first try that holds no box's centre while its area is over 0.6 of that box; null if there is none. boxes: array<struct<cx,cy,w,h>>."""
+    """An array of the first try that holds no box's centre while its area is over 0.6 of that box; empty if there is none. boxes: array<struct<cx,cy,w,h>>.
+
+    Explode it: fields taken from a struct in it would each work out all tries anew.
+    """
 
     def covers(t, b):
         x, y, area = F.floor(b["cx"] * width), F.floor(b["cy"] * height), F.floor(b["w"] * width) * F.floor(b["h"] * height)
         return x.between(t["x1"], t["x1"] + t["w"]) & y.between(t["y1"], t["y1"] + t["h"]) & (t["w"] * t["h"] > F.greatest(F.lit(1), area) * 0.6)
 
-    return F.get(F.filter(tries, lambda t: ~F.exists(boxes, lambda b: covers(t, b))), F.lit(0))
+    return F.slice(F.filter(tries, lambda t: ~F.exists(boxes, lambda b: covers(t, b))), 1, 1)
