@@ -122,15 +122,13 @@ def mosaic_keeps(box: list[Column]) -> Column:
 def occluder_tries(key: Column, width: Column, height: Column, tries: int = 15) -> Column:
     """array<struct<n,x1,y1,w,h>>: rectangles of a twelfth to a fifth of the image (at least 18 to 24 pixels), drawn from a hash of key and try."""
 
-    def one(n):
-        h = F.md5(F.concat_ws("|", F.lit("occluder"), key.cast("string"), n.cast("string")))
-        draw = lambda at, lo, hi: lo + F.conv(F.substring(h, at, 7), 16, 10).cast("bigint") % (hi - lo + 1)
-        reach = lambda x: (F.greatest(F.lit(18), F.floor(x / 12)), F.greatest(F.lit(24), F.floor(x / 5)))
-        w, high = draw(1, *reach(width)), draw(8, *reach(height))
-        x1, y1 = draw(15, F.lit(0), F.greatest(F.lit(0), width - w)), draw(22, F.lit(0), F.greatest(F.lit(0), height - high))
-        return F.struct(n.alias("n"), x1.cast("bigint").alias("x1"), y1.cast("bigint").alias("y1"), w.cast("bigint").alias("w"), high.cast("bigint").alias("h"))
-
-    return F.transform(F.sequence(F.lit(1), F.lit(tries)), one)
+    # each step sees what the one before has worked out, so a try costs one digest
+    draw = lambda d, at, lo, hi: (lo + F.conv(F.substring(d, at, 7), 16, 10).cast("bigint") % (hi - lo + 1)).cast("bigint")
+    reach = lambda x: (F.greatest(F.lit(18), F.floor(x / 12)), F.greatest(F.lit(24), F.floor(x / 5)))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda n: F.struct(n.alias("n"), F.md5(F.concat_ws("|", F.lit("occluder"), key.cast("string"), n.cast("string"))).alias("d")))
+    sized = F.transform(drawn, lambda t: F.struct(t["n"].alias("n"), t["d"].alias("d"), draw(t["d"], 1, *reach(width)).alias("w"), draw(t["d"], 8, *reach(height)).alias("h")))
+    place = lambda t, at, whole, side: draw(t["d"], at, F.lit(0), F.greatest(F.lit(0), whole - t[side]))
+    return F.transform(sized, lambda t: F.struct(t["n"].alias("n"), place(t, 15, width, "w").alias("x1"), place(t, 22, height, "h").alias("y1"), t["w"].alias("w"), t["h"].alias("h")))
 
 
 def occluder(tries: Column, boxes: Column, width: Column, height: Column) -> Column:
