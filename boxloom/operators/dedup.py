@@ -38,10 +38,13 @@ def leak_exact(items: DataFrame, digest: str = "content_md5") -> DataFrame:
 
 
 def removals_exact(items: DataFrame, digest: str = "content_md5", item: str = "item_id") -> DataFrame:
-    """Items to remove where a digest spans splits: its train members, or without any its valid members."""
-    by = Window.partitionBy(digest)
-    facts = items.withColumn("_spans", F.min("split").over(by) != F.max("split").over(by)).withColumn("_train", F.bool_or(F.col("split") == "train").over(by))
-    return facts.where(F.col("_spans") & (F.col("split") == F.when(F.col("_train"), "train").otherwise("valid"))).select(item)
+    """Items to remove where a digest spans splits: its train members, or without any its valid members.
+
+    Splits are told per digest by an aggregate, so copies of one file never meet in one task; the join back is on digests that span.
+    """
+    facts = items.groupBy(digest).agg(F.min("split").alias("_a"), F.max("split").alias("_z"), F.bool_or(F.col("split") == "train").alias("_train"))
+    told = facts.where("_a <> _z").select(digest, F.when(F.col("_train"), "train").otherwise("valid").alias("split"))
+    return items.join(told, [digest, "split"], "left_semi").select(item)
 
 
 def _bands(h: Column, bits: int, n: int) -> list[Column]:
@@ -54,6 +57,24 @@ def _bands(h: Column, bits: int, n: int) -> list[Column]:
     return out
 
 
+def band_index(hashes: DataFrame, within: int = 8, bits: int = 63) -> DataFrame:
+    """(right_h, band, value): distinct hashes by the bands that `probed` looks in; a null hash has none. Write it down to probe it often."""
+    n = within // 3 + 1
+    return hashes.where("h is not null").select(F.col("h").alias("right_h")).distinct().select("right_h", F.posexplode(F.array(*_bands(F.col("right_h"), bits, n))).alias("band", "value"))
+
+
+def probed(left: DataFrame, index: DataFrame, within: int = 8, bits: int = 63) -> DataFrame:
+    """(left_h, right_h, dist) of the hashes of left(h) and those of a band_index of the same bounds, at Hamming distance `within` or less."""
+    n = within // 3 + 1
+    width = bits // n + (bits % n > 0)
+    flips = [0, *(1 << i for i in range(width)), *((1 << i) | (1 << j) for i, j in combinations(range(width), 2))]
+    masks = left.sparkSession.createDataFrame([(f,) for f in flips], "mask bigint")  # 1 + w + w(w-1)/2 rows
+    own = band_index(left, within, bits).withColumnRenamed("right_h", "left_h")
+    probes = own.crossJoin(F.broadcast(masks)).select("left_h", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    dist = F.bit_count(F.col("left_h").bitwiseXOR(F.col("right_h")))
+    return probes.join(index, ["band", "value"]).where(dist <= within).select("left_h", "right_h", dist.alias("dist")).distinct()
+
+
 def near_pairs(left: DataFrame, right: DataFrame, within: int = 8, bits: int = 63) -> DataFrame:
     """(left_h, right_h, dist) of distinct hashes at Hamming distance `within` or less, by exact search.
 
@@ -61,14 +82,7 @@ def near_pairs(left: DataFrame, right: DataFrame, within: int = 8, bits: int = 6
     at distance 0 to 2 of each band, so the join is on equal values and no pair is missed. Candidates come from bands of about 21
     bits, which keeps them rare; equal hashes are collapsed first.
     """
-    n = within // 3 + 1
-    banded = lambda d, name: d.select(F.col("h").alias(name)).distinct().select(name, F.posexplode(F.array(*_bands(F.col(name), bits, n))).alias("band", "value"))
-    width = bits // n + (bits % n > 0)
-    flips = [0, *(1 << i for i in range(width)), *((1 << i) | (1 << j) for i, j in combinations(range(width), 2))]
-    masks = left.sparkSession.createDataFrame([(f,) for f in flips], "mask bigint")  # 1 + w + w(w-1)/2 rows
-    probes = banded(left, "left_h").crossJoin(F.broadcast(masks)).select("left_h", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    dist = F.bit_count(F.col("left_h").bitwiseXOR(F.col("right_h")))
-    return probes.join(banded(right, "right_h"), ["band", "value"]).where(dist <= within).select("left_h", "right_h", dist.alias("dist")).distinct()
+    return probed(left, band_index(right, within, bits), within, bits)
 
 
 def leak_near(items: DataFrame, within: int = 8, bits: int = 63, item: str = "item_id") -> DataFrame:

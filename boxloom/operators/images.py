@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as g
@@ -206,13 +206,49 @@ def apply_plan(pixels: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, "path string, pass string, height int, width int, data binary")
 
 
-def resize_cache(pixels: DataFrame, done: DataFrame, size: int = 320) -> DataFrame:
-    """(path, height, width, data) of pixels whose path is not in done, at size x size; append it to the cache."""
+def copy_hasher(pixels: DataFrame):
+    """For topup_plan: a function that gives copies(copy_id, image_id, ops, ..) the perceptual hash h of the image made by their operations.
+
+    image_id is the path of pixels(path, height, width, data); a copy of an image without pixels has a null hash.
+    """
+
+    def hashed(copies: DataFrame) -> DataFrame:
+        none = F.lit(None).cast("double")
+        steps = F.transform("ops", lambda o: F.struct(o.alias("op"), none.alias("p1"), none.alias("p2"), none.alias("p3")))
+        made = apply_plan(pixels, copies.select(F.col("image_id").alias("path"), F.col("copy_id").alias("pass"), steps.alias("ops")))
+        hashes = phash(made.drop("path").withColumnRenamed("pass", "path"))
+        return copies.join(hashes.withColumnRenamed("path", "copy_id"), "copy_id", "left")
+
+    return hashed
+
+
+CACHE = "path string, height int, width int, data binary"
+
 
+def _resized_rows(pixels: DataFrame, size: int) -> DataFrame:
     def run(frames):
         for pdf in frames:
             data = [np.clip(np.rint(resized(a, size, size)), 0, 255).astype(np.uint8).tobytes() for a in _arrays(pdf)]
             yield pd.DataFrame({"path": pdf["path"], "height": size, "width": size, "data": data})
 
-    todo = pixels.join(done.select("path"), "path", "left_anti").select("path", "height", "width", "data")
-    return todo.mapInPandas(run, "path string, height int, width int, data binary")
+    return pixels.select("path", "height", "width", "data").mapInPandas(run, CACHE)
+
+
+def resize_cache(pixels: DataFrame, done: DataFrame, size: int = 320) -> DataFrame:
+    """(path, height, width, data) of pixels whose path is not in done, at size x size; append it to the cache."""
+    return _resized_rows(pixels.join(done.select("path"), "path", "left_anti"), size)
+
+
+def build_cache(pixels: DataFrame, path: str, size: int = 320, overwrite: bool = False) -> dict:
+    """Appends resized pixels to the cache at `path` and returns {"written", "skipped", "total"}; images in the cache are skipped.
+
+    The numbers are observed in the pass that writes, so nothing is read twice. overwrite replaces the cache by these pixels.
+    """
+    spark = pixels.sparkSession
+    spark.createDataFrame([], CACHE).write.mode("overwrite" if overwrite else "ignore").parquet(path)
+    done = spark.read.schema(CACHE).parquet(path).select("path").distinct().withColumn("_done", F.lit(True))
+    seen = Observation("cache")
+    told = pixels.select("path", "height", "width", "data").join(done, "path", "left").observe(seen, F.count(F.lit(1)).alias("total"), F.count("_done").alias("skipped"))
+    _resized_rows(told.where("_done is null"), size).write.mode("append").parquet(path)
+    total, skipped = seen.get["total"], seen.get["skipped"]
+    return {"written": total - skipped, "skipped": skipped, "total": total}

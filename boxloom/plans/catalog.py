@@ -39,6 +39,7 @@ DOUBLES = {
     "j10_assign_grid": "tx ty tw th",
     "a17_focal_score": "loss",
     "n1_decode": "conf x1 y1 x2 y2",
+    "n3_tta_merge": "conf x1 y1 x2 y2",
     "w13_history_summary": "best",
     "p15_normalize_gpu": "vram_used_gb gpu_power_w",
     "t1_latest_snapshot": "cpu_util vram_used_mb",

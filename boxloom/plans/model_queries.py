@@ -103,19 +103,32 @@ def _(v):
     return targets.decode_logits(v("fx_logits"), _anchors(v))
 
 
-@query("n2_nms", """
-WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, pred_id) AS k FROM fx_preds),
-st AS (SELECT image_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS kept, CAST(NULL AS VARCHAR) AS pred_id FROM (SELECT DISTINCT image_id FROM r)
-  UNION ALL SELECT st.image_id, r.k, CASE WHEN bad THEN kept ELSE list_append(kept, struct_pack(x1 := r.x1, y1 := r.y1, x2 := r.x2, y2 := r.y2)) END, CASE WHEN bad THEN NULL ELSE r.pred_id END
-  FROM (SELECT st.image_id, st.kept, r.k AS nk, len(list_filter(st.kept, lambda a: (greatest(0, least(a.x2, r.x2) - greatest(a.x1, r.x1)) * greatest(0, least(a.y2, r.y2) - greatest(a.y1, r.y1)))
-      > 0.45 * ((a.x2 - a.x1) * (a.y2 - a.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - (greatest(0, least(a.x2, r.x2) - greatest(a.x1, r.x1)) * greatest(0, least(a.y2, r.y2) - greatest(a.y1, r.y1)))))) > 0 AS bad FROM st JOIN r ON r.image_id = st.image_id AND r.k = st.k + 1) st
-  JOIN r ON r.image_id = st.image_id AND r.k = st.nk)
-SELECT pred_id FROM st WHERE pred_id IS NOT NULL""")
+def _suppressed(views, rows, keys, out):
+    """Suppression as a recursion over the predictions of a group in falling confidence."""
+    inter = "(greatest(0, least(a.x2, r.x2) - greatest(a.x1, r.x1)) * greatest(0, least(a.y2, r.y2) - greatest(a.y1, r.y1)))"
+    own, same = ", ".join(f"st.{k}" for k in keys), " AND ".join(f"r.{k} = st.{k}" for k in keys)
+    return f"""
+WITH RECURSIVE {views}r AS (SELECT *, row_number() OVER (PARTITION BY {", ".join(keys)} ORDER BY conf DESC, pred_id) AS k FROM {rows}),
+st AS (SELECT {", ".join(keys)}, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS kept, CAST(NULL AS VARCHAR) AS pred_id FROM (SELECT DISTINCT {", ".join(keys)} FROM r)
+  UNION ALL SELECT {own}, r.k, CASE WHEN bad THEN kept ELSE list_append(kept, struct_pack(x1 := r.x1, y1 := r.y1, x2 := r.x2, y2 := r.y2)) END, CASE WHEN bad THEN NULL ELSE r.pred_id END
+  FROM (SELECT {own}, st.kept, r.k AS nk, len(list_filter(st.kept, lambda a: {inter}
+      > 0.45 * ((a.x2 - a.x1) * (a.y2 - a.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - {inter}))) > 0 AS bad FROM st JOIN r ON {same} AND r.k = st.k + 1) st
+  JOIN r ON {same} AND r.k = st.nk)
+{out}"""
+
+
+@query("n2_nms", _suppressed("", "fx_preds", ["image_id"], "SELECT pred_id FROM st WHERE pred_id IS NOT NULL"))
 def _(v):
     return postproc.nms(v("fx_preds")).select("pred_id")
 
 
-@query("n3_tta_merge")
+_BOTH = """b AS (SELECT image_id, pred_id, class_id, conf, x1, y1, x2, y2 FROM fx_preds UNION ALL
+  SELECT image_id, concat('m', pred_id), class_id, conf, w - (w - x1 + 1) AS x1, y1, w - (w - x2 + 1) AS x2, y2 FROM fx_preds JOIN (SELECT image_id, width AS w FROM fx_images) USING (image_id) WHERE conf > 0.5), """
+_MERGED = """SELECT pred_id, image_id, class_id, conf, x1, y1, x2, y2 FROM b WHERE pred_id IN (SELECT pred_id FROM st WHERE pred_id IS NOT NULL)
+QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, pred_id) <= 100"""
+
+
+@query("n3_tta_merge", _suppressed(_BOTH, "b", ["image_id", "class_id"], _MERGED))
 def _(v):
     preds, wide = v("fx_preds"), v("fx_images")
     mirrored = preds.where("conf > 0.5").join(wide.select("image_id", "width"), "image_id").selectExpr("image_id", "concat('m', pred_id) as pred_id", "class_id", "conf", "width - x2 + 1 as x1", "y1", "width - x1 + 1 as x2", "y2")

@@ -103,16 +103,52 @@ def _(v):
     return sampling.greedy_cap(v("fx_boxes"))
 
 
-@query("w6_topup_plan")
+def _topup(views, target, most, least, most_ops, ops, passes, near=None):
+    """The rounds of a top-up written out: d is what the neediest class still lacks, q its queue up to that, t all copies so far.
+
+    The queue has `passes` times as many passes as it needs without rejections; near is a condition on (p, k) that rejects a copy.
+    """
+    rounds = []
+    for j in range(1, 9):
+        rounds.append(f"""
+d{j} AS MATERIALIZED (SELECT class_id, had, {target} - had - coalesce((SELECT sum(p.n) FROM t{j - 1} t JOIN p ON p.image_id = t.image_id AND p.class_id = o.class_id), 0) AS need, {most} - (SELECT count(*) FROM t{j - 1}) AS lft FROM o WHERE r = {j}),
+e{j} AS (SELECT p.*, k, md5(concat_ws('|', '42', p.class_id, k, p.image_id)) AS t, need, lft, {f"CAST(NOT ({near}) AS INT)" if near else "1"} AS ok FROM d{j} d JOIN p ON p.class_id = d.class_id, LATERAL (SELECT unnest(range(1, CAST({passes} AS BIGINT) + 1)) AS k) g WHERE need > 0),
+q{j} AS MATERIALIZED (SELECT class_id, image_id, t, nth FROM (SELECT *, coalesce(sum(n * ok) OVER w, 0) AS s, coalesce(sum(ok) OVER w, 0) AS nth FROM e{j} WINDOW w AS (ORDER BY k, t, image_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE s < need AND nth < lft AND ok = 1),
+t{j} AS MATERIALIZED (SELECT * FROM t{j - 1} UNION ALL SELECT * FROM q{j})""")
+    shuffled = f"list_transform(list_sort(list_transform({list(ops)!r}, lambda x: concat(md5(concat_ws('|', t, x)), x))), lambda x: substring(x, 33))"
+    return f"""
+WITH {views}, o AS (SELECT class_id, sum(n) AS had, row_number() OVER (ORDER BY sum(n), class_id) AS r FROM p GROUP BY 1),
+t0 AS (SELECT class_id, image_id, '' AS t, CAST(0 AS HUGEINT) AS nth FROM p WHERE false),{",".join(rounds)}
+SELECT concat('aug_', class_id, '_', lpad(CAST(nth AS VARCHAR), 6, '0')) AS new_id, class_id, image_id, list_slice({shuffled}, 1, {least} + CAST(concat('0x', substring(t, 29, 4)) AS BIGINT) % {most_ops - least + 1}) AS ops FROM t8"""
+
+
+_PER = "p AS (SELECT image_id, class_id, count(*) AS n FROM fx_boxes GROUP BY 1, 2)"
+
+
+@query("w6_topup_plan", _topup(_PER, 4000, 4000, 1, 3, ("brightness", "noise", "blur", "hflip"), "ceil(need / had)"))
 def _(v):
     return sampling.topup_plan(v("fx_boxes"), 4000)
 
 
-@query("w7_topup_floor")
+@query("w7_topup_floor", _topup(_PER, 5000, 60000, 2, 4, ("brightness", "noise", "blur", "hflip", "rotate"), "ceil(need / had)"))
 def _(v):
     return sampling.topup_floor(v("fx_boxes"), 5000)
 
 
+_VECTORS = """f AS (SELECT DISTINCT h FROM fx_near WHERE split <> 'train'), c AS (SELECT item_id AS image_id, class_id % 8 AS class_id, h FROM fx_hash64 WHERE split = 'train'),
+p AS (SELECT CAST(image_id AS BIGINT) AS image_id, CAST(class_id AS INT) AS class_id, h, 1 AS n FROM c WHERE class_id IS NOT NULL)"""
+_NEAR_COPY = "EXISTS (SELECT 1 FROM f WHERE bit_count(xor(f.h, xor(p.h, ((CAST(1 AS BIGINT) << CAST((k * 7 + p.image_id) % 12 AS INT)) - 1) << 20))) <= 8)"
+
+
+@query("w6_topup_near", _topup(_VECTORS, "(SELECT count(*) // 6 FROM p)", 100000, 1, 3, ("brightness", "noise", "blur", "hflip"), "4 * ceil(need / had) + 12", _NEAR_COPY))
+def _(v):
+    """Vectors as images of one box; a copy's hash is its image's with some bits of the middle flipped, and many are near the held-out ones."""
+    items = v("fx_hash64").where("split = 'train' and class_id is not null").selectExpr("cast(item_id as bigint) as image_id", "cast(class_id % 8 as int) as class_id", "h")
+    flips = F.expr("shiftleft(shiftleft(1L, cast((k * 7 + image_id) % 12 as int)) - 1, 20)")
+    hashed = lambda copies: copies.join(items.select("image_id", "h"), "image_id", "left").withColumn("h", F.col("h").bitwiseXOR(flips))
+    return sampling.topup_plan(items.select("image_id", "class_id"), items.count() // 6, 100_000, hashed=hashed, forbidden=v("fx_near").where("split <> 'train'").select("h"))
+
+
 @query("w8_sample_balanced")
 def _(v):
     return sampling.sample_balanced(v("fx_boxes"))

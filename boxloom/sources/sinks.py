@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxloom.operators.select import carried, in_ranges
+
 
 def label_texts(boxes: DataFrame) -> DataFrame:
     """(image_id, split, lines): `class cx cy w h` with 6 decimals, one text per image."""
@@ -48,7 +50,7 @@ def append_history(rows: DataFrame, path: str) -> None:
 def assign_names(images: DataFrame, scheme: str = "split") -> DataFrame:
     """images with new_name and collides. split: {split}_{number}; digest: {tag}_{first 8 of md5}; pass: wcam_p{pass}_{number}_{stem}.
 
-    Numbers follow path order inside a split. Digest names of different files can be equal; they are flagged, not overwritten.
+    Numbers follow path order inside a split, counted over ranges of paths, so no split is sorted in one task. Digest names of different files can be equal; they are flagged, not overwritten.
     """
     if scheme == "digest":
         named = images.withColumn("new_name", F.concat_ws("_", "tag", F.substring("md5", 1, 8)))
@@ -56,7 +58,8 @@ def assign_names(images: DataFrame, scheme: str = "split") -> DataFrame:
     number = lambda c: F.lpad(c.cast("string"), 6, "0")
     if scheme == "pass":
         return images.withColumn("new_name", F.concat(F.lit("wcam_p"), F.col("pass_no"), F.lit("_"), number(F.col("index")), F.lit("_"), F.col("stem"))).withColumn("collides", F.lit(False))
-    k = F.row_number().over(Window.partitionBy("split").orderBy("path")) - 1
-    return images.withColumn("new_name", F.concat_ws("_", "split", number(k))).withColumn("collides", F.lit(False))
+    dealt = carried(in_ranges(images, ["split"], ["path"]), ["split"], {"_earlier": (F.count("*"), F.sum)})
+    k = F.row_number().over(Window.partitionBy("split", "part").orderBy("path")) - 1 + F.coalesce("_earlier", F.lit(0))
+    return dealt.withColumn("new_name", F.concat_ws("_", "split", number(k))).withColumn("collides", F.lit(False)).drop("part", "_earlier")
 
 

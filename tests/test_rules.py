@@ -240,3 +240,86 @@ def test_degradations(spark):
                 ranges = draws[0].get(p, next(iter(draws[0].values()))) if name == "cast" else draws
                 assert all(min(d[1:]) <= x <= max(d[1:]) for d, x in zip(ranges, (o.p1, o.p2, o.p3), strict=False))
         assert {o.p1 for _, o in ops if o.op == "motion_blur"} == blurs
+
+
+def topped_up(rows, target, most, near, tries=20):
+    """The rule one copy at a time: classes from the neediest, each along its queue, rejecting what near(class, pass, image) says."""
+    per = {}
+    for i, c, _ in rows:
+        per.setdefault(i, []).append(c)
+    counts = {c: sum(v.count(c) for v in per.values()) for c in range(8)}
+    made, tried = [], 0
+    for c in sorted(counts, key=lambda c: (counts[c], c)):
+        images, at, k = [i for i in per if c in per[i]], 0, 0
+        while images and counts[c] < target and len(made) < most and tried < tries * most:
+            k += 1
+            for t, i in sorted((md5(42, c, k, i), i) for i in images):
+                if counts[c] >= target or len(made) >= most or tried >= tries * most:
+                    break
+                tried += 1
+                if near(c, k, i):
+                    continue
+                made.append((f"aug_{c}_{at:06d}", c, i))
+                at += 1
+                for x in per[i]:
+                    counts[x] += 1
+    return made, tried
+
+
+def hashes_of_copies(copies):
+    """Copies of every third image are near the forbidden 0 in all passes but each fourth; those of image 7 cannot be made."""
+    near = (F.col("image_id") % 3 == 0) & (F.col("k") % 4 != 0)
+    return copies.withColumn("h", F.when(F.col("image_id") != 7, F.when(near, F.col("image_id") % 200).otherwise((1 << 62) - 1 - F.col("image_id"))))
+
+
+@pytest.mark.parametrize("seed,target,most,tries", [(7, 60, 1000, 20), (8, 200, 90, 20), (9, 150, 60, 1), (10, 5, 100, 20)])
+def test_topup_is_the_sequential_rule(spark, seed, target, most, tries):
+    rows, told = random_boxes(seed), {}
+    want, tried = topped_up(rows, target, most, lambda c, k, i: i == 7 or i % 3 == 0 and k % 4 != 0, tries)
+    forbidden = spark.createDataFrame([(0,), (None,)], "h bigint")
+    got = sampling.topup_plan(boxes_frame(spark, rows), target, most, hashed=hashes_of_copies, forbidden=forbidden, tries=tries, told=told).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(want)
+    assert told == {"added": len(want), "tried": tried, "rejected": tried - len(want)}
+    plain, _ = topped_up(rows, target, most, lambda c, k, i: False, tries)
+    assert sorted(tuple(r)[:3] for r in sampling.topup_plan(boxes_frame(spark, rows), target, most, tries=tries).collect()) == sorted(plain)
+
+
+def test_topup_where_every_copy_is_near(spark):
+    """All tries are used up in few rounds, as stretches double; a class that has no images is left."""
+    told = {}
+    rows = [(1, 2, "a"), (2, 2, "b")]
+    all_near = lambda copies: copies.withColumn("h", F.lit(5).cast("bigint"))
+    got = sampling.topup_plan(boxes_frame(spark, rows), 3, 100, hashed=all_near, forbidden=spark.createDataFrame([(4,)], "h bigint"), told=told)
+    assert got.count() == 0 and told == {"added": 0, "tried": 2000, "rejected": 2000}
+    assert sampling.topup_floor(boxes_frame(spark, []), 3).count() == 0
+
+
+def test_topup_floor_is_the_sequential_rule(spark):
+    rows = random_boxes(11)
+    want, _ = topped_up(rows, 80, 60000, lambda c, k, i: False, 1)
+    got = sampling.topup_floor(boxes_frame(spark, rows), 80).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(want)
+    assert all(2 <= len(set(r.ops)) == len(r.ops) <= 4 for r in got)
+
+
+def test_copies_are_hashed_from_pixels(spark):
+    """A mirrored copy is rejected where the mirror image of its original is held out."""
+    rng = np.random.default_rng(5)
+    a = {n: np.kron(rng.integers(0, 255, (6, 6, 3)), np.ones((8, 8, 1))).astype(np.uint8) for n in ("x", "y")}
+    pixels = spark.createDataFrame([(n, 48, 48, bytearray(p.tobytes())) for n, p in a.items()], "path string, height int, width int, data binary")
+    held = spark.createDataFrame([(images.perceptual_hash(a["x"]),), (images.perceptual_hash(a["x"][:, ::-1]),)], "h bigint")
+    boxes = spark.createDataFrame([("x", 0), ("y", 0), ("gone", 0)], "image_id string, class_id int")
+    told = {}
+    plan = sampling.topup_plan(boxes, 9, ops=("hflip",), most_ops=1, hashed=images.copy_hasher(pixels), forbidden=held, told=told).collect()
+    assert {r.image_id for r in plan} == {"y"} and len(plan) == told["added"] == 6 and told["rejected"] >= 10  # x and the image without pixels
+
+
+def test_cache_counts_what_it_writes(spark, tmp_path):
+    pixels = spark.createDataFrame([(f"p{k}", 8, 8, bytearray([k] * 192)) for k in range(9)], "path string, height int, width int, data binary")
+    path = str(tmp_path / "cache")
+    assert images.build_cache(pixels.where("path < 'p4'"), path, 4) == {"written": 4, "skipped": 0, "total": 4}
+    assert images.build_cache(pixels, path, 4) == {"written": 5, "skipped": 4, "total": 9}
+    assert images.build_cache(pixels, path, 4) == {"written": 0, "skipped": 9, "total": 9}
+    assert sorted((r.path, bytes(r.data)) for r in spark.read.parquet(path).collect()) == [(f"p{k}", bytes([k] * 48)) for k in range(9)]
+    assert images.build_cache(pixels.where("path = 'p1'"), path, 4, overwrite=True) == {"written": 1, "skipped": 0, "total": 1}
+    assert images.build_cache(pixels.where("false"), path, 4) == {"written": 0, "skipped": 0, "total": 0} and spark.read.parquet(path).count() == 1
