@@ -4,12 +4,17 @@ A page becomes a tree. Every paragraph gives points for its length and its comma
 and ever less further up; a container's points are discounted by the share of its text that lies in links. The container with most
 points is kept, with those of its siblings that score well or read like prose; if it lies in an article or main element, that element is kept. Link
 density chooses the container, but cuts nothing out of an article: inside what is kept only furniture goes, and outside of articles
-also lists of short links.
+also lists of short links. Articles beside a kept one stay with it if they are of some size and read like prose, and where it has no
+h1 of its own, the h1 of the main element around it stays too.
+
+Elements are numbered in page order, a parent before its children, so sums over subtrees go up in one backward pass and what is kept
+goes down in one forward pass. Points reach FADE elements up, at most; work is linear in the page, however deep its nesting.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -30,13 +35,18 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 STRONG = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist disqus cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs footer newsletter subscribe popup modal overlay masthead sidebar toolbar pagination pager login signup".split())
 WEAK = frozenset("promo promoted promotion header related recommended share sharing social widget banner notice alert tags meta byline skip rail outbrain taboola".split())
 CONTENT = frozenset("article content main body post entry story text page".split())
-NEVER = frozenset("html body article main".split())
+NEVER = frozenset("html body main".split())
+# Words of class and id that make an article element a reader's comment, inside an article or where no word names content.
+READERS = frozenset("comment comments commentlist disqus".split())
 # Words before a word of class and id that turn it into a remark about the layout (layout-with-sidebar, no-ads).
 REMARKS = frozenset("with has no without".split())
 # Marks at which a sentence ends, and the mean length under which the links of a list read like a menu (code points).
 SENTENCE, MENU_LINK = (".", "!", "?", ":", "…", "”", '"'), 25
 BONUS = {"article": 10.0, "main": 8.0, "section": 3.0, "div": 3.0, "blockquote": 2.0, "td": 2.0, "pre": 2.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "body": 0.0}
 
+#: How many elements up a paragraph gives points; beyond, its share would be below a fiftieth of them.
+FADE = 20
+
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -56,6 +66,8 @@ def furniture(tag: str, attrs: str, in_article: bool = False) -> bool:
         if name in ("class", "id"):
             found = _WORDS.findall(value)
             words.update(w for before, w in zip(["", *found], found, strict=False) if before not in REMARKS)
+    if tag == "article":
+        return bool(words & READERS) and (in_article or not words & CONTENT)
     return bool(words & STRONG) or bool(words & WEAK) and not words & CONTENT
 
 
@@ -63,7 +75,7 @@ def blocks_of(html: str):
     """(tags, parents, blocks): elements in page order, and the blocks (element, text, characters in links) that are not furniture."""
     tags, parents, gone, links, within = ["#"], [-1], [False], [False], [False]
     open_, blocks, parts, size_in_links = [0], [], [], 0
-    owner = 0
+    owner, owners, opened = 0, [0], Counter()  # owners: the block around each open element, itself included
 
     def flush():
         nonlocal parts, size_in_links
@@ -84,8 +96,9 @@ def blocks_of(html: str):
         nonlocal owner
         if any(tags[k] in BLOCKS for k in open_[to:]):
             flush()
-        del open_[to:]
-        owner = next(k for k in reversed(open_) if k == 0 or tags[k] in BLOCKS)
+        opened.subtract(tags[k] for k in open_[to:])
+        del open_[to:], owners[to:]
+        owner = owners[-1]
 
     at, n = 0, len(html)
     while at < n:
@@ -110,7 +123,7 @@ def blocks_of(html: str):
         at = m.end()
         ending, tag, attrs = (m[1], m[2].lower(), m[3]) if m[2] else (m[4], m[5].lower(), m[6])
         if ending:
-            for k in range(len(open_) - 1, 0, -1):
+            for k in () if opened[tag] <= 0 else range(len(open_) - 1, 0, -1):
                 if tags[open_[k]] == tag:
                     close(k)
                     break
@@ -151,8 +164,10 @@ def blocks_of(html: str):
         if attrs.endswith("/") and tag not in BLOCKS:
             continue
         open_.append(len(tags) - 1)
+        opened[tag] += 1
         if tag in BLOCKS:
             owner = len(tags) - 1
+        owners.append(owner)
     flush()
     return tags, parents, blocks
 
@@ -165,63 +180,59 @@ def main_text(html: str | None) -> str:
     if not blocks:
         return ""
     n = len(tags)
-    score, chars, linked = [0.0] * n, [0] * n, [0] * n
-    holds = set()
+    score, chars, linked, counted, said, titled = [0.0] * n, [0] * n, [0] * n, [0] * n, [False] * n, [False] * n
     for owner, text, in_links in blocks:
         points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - min(1.0, in_links / len(text)))
-        node, level = (owner, 0) if tags[owner] in BONUS or owner == 0 else (parents[owner], 0)
-        while node >= 0:
+        node = owner if tags[owner] in BONUS or owner == 0 else parents[owner]
+        for level in range(FADE):
+            if node < 0:
+                break
             score[node] += points / (1, 2, 6, 9)[level] if level < 4 else points / (3 * level)
-            holds.add(node)
-            node, level = parents[node], level + 1
-        k = owner
-        while k >= 0:
-            chars[k] += len(text)
-            linked[k] += min(in_links, len(text))
-            k = parents[k]
+            node = parents[node]
+        chars[owner] += len(text)
+        linked[owner] += min(in_links, len(text))
+        counted[owner] += 1
+        said[owner] |= text.endswith(SENTENCE)
+        titled[owner] |= tags[owner] == "h1"
+    apart = [counted[k] if tags[k] not in BONUS and k else 0 for k in range(n)]  # blocks that are no container and give to their parent
+    for k in range(n - 1, 0, -1):
+        for sums in (chars, linked, counted):
+            sums[parents[k]] += sums[k]
+        for marks in (said, titled):
+            marks[parents[k]] |= marks[k]
     density = lambda k: linked[k] / chars[k] if chars[k] else 0.0
-    worth = {k: (score[k] + BONUS.get(tags[k], 0.0)) * (1 - density(k)) for k in holds}
+    worth = {k: (score[k] + BONUS.get(tags[k], 0.0)) * (1 - density(k)) for k in range(n) if counted[k] > apart[k]}
     best = max(sorted(worth), key=worth.__getitem__)
-    k = best
+    k, main = best, -1
     while k > 0:  # the outermost article, or else the main element, that the best container lies in
         if tags[k] == "article" or tags[k] == "main" and tags[best] != "article":
             best = k
+        if tags[k] == "main":
+            main = k
         k = parents[k]
     whole = tags[best] in ("article", "main")
     keep = {best}
-    if best and not whole and tags[best] not in ("body", "html"):
-        said = {k: False for k in range(n)}
-        for owner, text, _ in blocks:
-            if text.endswith(SENTENCE):
-                k = owner
-                while k >= 0 and not said[k]:
-                    said[k] = True
-                    k = parents[k]
-        for k in range(n):
-            if parents[k] == parents[best] and k != best and chars[k]:
-                good = worth.get(k, -1.0) >= max(10.0, 0.2 * worth[best])
-                prose = density(k) < 0.25 and (said[k] or tags[k] in ("p", "pre", "blockquote", "h1", "h2", "h3"))
-                if good or prose:
-                    keep.add(k)
-    texts_in = [0] * n
-    for owner, _, _ in blocks:
-        k = owner
-        while k >= 0:
-            texts_in[k] += 1
-            k = parents[k]
-    menu = lambda k: tags[k] in ("ul", "ol", "dl") and density(k) > 0.5 and chars[k] < MENU_LINK * texts_in[k]
-    out = []
-    for owner, text, _ in blocks:
-        k, inside, bad = owner, False, False
-        while k >= 0:
-            if k in keep:
-                inside = True
-                break
-            bad = bad or not whole and menu(k)
-            k = parents[k]
-        if inside and not bad:
-            out.append(text)
-    return "\n\n".join(out)
+    beside = [k for k in range(n) if parents[k] == parents[best] and k != best and chars[k]]
+    if tags[best] == "article":
+        keep.update(k for k in beside if tags[k] == "article" and density(k) < 0.25 and said[k] and chars[k] >= 0.2 * chars[best])
+        if main >= 0 and not titled[best]:
+            outside = [False] * n  # in the main element and in no article of it
+            for k in range(main, n):
+                outside[k] = k == main or outside[parents[k]] and tags[k] != "article"
+            keep.update(owner for owner, _, _ in blocks if tags[owner] == "h1" and outside[owner])
+    elif best and not whole and tags[best] not in ("body", "html"):
+        for k in beside:
+            good = worth.get(k, -1.0) >= max(10.0, 0.2 * worth[best])
+            prose = density(k) < 0.25 and (said[k] or tags[k] in ("p", "pre", "blockquote", "h1", "h2", "h3"))
+            if good or prose:
+                keep.add(k)
+    inside, menu = [False] * n, [False] * n
+    for k in range(n):
+        up = parents[k]
+        inside[k] = k in keep or up >= 0 and inside[up]
+        own = not whole and tags[k] in ("ul", "ol", "dl") and density(k) > 0.5 and chars[k] < MENU_LINK * counted[k]
+        menu[k] = k not in keep and (own or up >= 0 and menu[up])
+    return "\n\n".join(text for owner, text, _ in blocks if inside[owner] and not menu[owner])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -231,6 +233,45 @@ def test_op6_main_text():
     assert maintext.main_text("plain &amp; text") == "plain & text"
 
 
+@pytest.mark.parametrize("page", ["<div>a" * 160_000, "<b><p>a" * 60_000, "<div>a" * 20_000 + "</section>" * 60_000, "<i>x" * 100_000, "<ul><li>a" * 100_000])
+def test_op6_is_linear_in_depth(page):
+    """Pages of up to 1 MB that do nothing but nest take seconds, not hours, and keep all their text."""
+    start = time.process_time()
+    text = maintext.main_text(page)
+    assert time.process_time() - start < 15 and text.count("a") + text.count("x") >= 20_000
+
+
+def test_op6_sums_are_those_of_the_subtrees():
+    """On random pages without articles: what is kept is one container with its siblings, found by walking up from every block."""
+    rng = random.Random(4)
+    tags = "div p ul li a b section table tr td h1 blockquote span".split()
+    for _ in range(300):
+        page = "".join(rng.choice([f"<{t}>", f"</{t}>", "Some text, with commas here. ", "short "]) for t in rng.choices(tags, k=rng.randrange(5, 60)))
+        names, parents, blocks = maintext.blocks_of(page)
+        if not blocks:
+            assert maintext.main_text(page) == ""
+            continue
+        above = lambda k: [k, *above(parents[k])] if k >= 0 else []
+        score, size, links = Counter(), Counter(), Counter()
+        for owner, text, in_links in blocks:
+            points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - min(1.0, in_links / len(text)))
+            start = owner if names[owner] in maintext.BONUS or owner == 0 else parents[owner]
+            for level, k in enumerate(above(start)):
+                score[k] += points / ((1, 2, 6, 9)[level] if level < 4 else 3 * level) * (level < maintext.FADE)
+            for k in above(owner):
+                size[k] += len(text)
+                links[k] += min(in_links, len(text))
+        worth = {k: (score[k] + maintext.BONUS.get(names[k], 0.0)) * (1 - links[k] / size[k]) for k in score}
+        best = max(sorted(worth), key=worth.__getitem__)
+        kept = maintext.main_text(page).split("\n\n")
+        every = [text for _, text, _ in blocks]
+        menus = lambda k: {a for a in above(k) if names[a] in ("ul", "ol", "dl")}
+        must = [text for owner, text, _ in blocks if best in above(owner) and not menus(owner)]
+        at = iter(every)
+        assert all(any(t == x for x in at) for t in kept if t)  # in page order, and nothing made up
+        assert not Counter(must) - Counter(kept)
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
@@ -241,6 +282,12 @@ def test_op6_main_text():
         ('<article><p>A text, here.</p><div class="story-promo"><p>Kept, too.</p></div><div class="promo">Buy!</div></article>', "A text, here.|Kept, too."),
         ('<div class="layout-with-sidebar no-ads"><p>Long text, with commas, it is.</p></div><div class=sidebar><p>no, no, no.</div>', "Long text, with commas, it is."),
         ("<article>" + "<section><p>" + "Long, and so on. " * 40 + "</section><section><p>Short</section></article>", ("Long, and so on. " * 40).strip() + "|Short"),
+        ("<main><h1>Title</h1><article><p>Text one, is this.</p></article></main>", "Title|Text one, is this."),
+        ("<main><h1>Site, all of it</h1><article><h1>Title</h1><p>Text one, is this.</p></article></main>", "Title|Text one, is this."),
+        ("<main><article><p>A text, one here.</p></article><article><p>B text, too here.</p></article></main>", "A text, one here.|B text, too here."),
+        ("<div><article><p>" + "Long, and so on. " * 30 + "</p></article><article class=card><p>Read on, now.</p></article></div>", ("Long, and so on. " * 30).strip()),
+        ("<article><p>Text, it is.</p><article class=comment><p>I agree, really.</p></article></article>", "Text, it is."),
+        ('<article class="post comment-page"><p>Text, it is.</p></article>', "Text, it is."),
         ("<main><p>Text, one.</p><ul><li>plain item<li>other</ul></main><div class=comments><p>no, no, no, no</p></div>", "Text, one.|plain item|other"),
     ],
 )
