@@ -38,6 +38,7 @@ DOUBLES = {
     "a15_average_precision": "iou ap",
     "j10_assign_grid": "tx ty tw th",
     "a17_focal_score": "loss",
+    "a18_detection_score": "cls box total",
     "n1_decode": "conf x1 y1 x2 y2",
     "n3_tta_merge": "conf x1 y1 x2 y2",
     "w13_history_summary": "best",

@@ -83,7 +83,18 @@ def _(v):
     return targets.focal_score(_targeted(v)).select("image_id", "anchor_id", "loss")
 
 
-@query("a18_detection_score")
+_SCORE = f"""
+WITH {_LOSS},
+g AS (SELECT f.*, target IS NOT NULL AS positive, image_id % 16 AS batch, 200 + off[1] * 40 AS px, 200 + off[2] * 40 AS py, 200 + off[3] * 40 AS pw, 200 + off[4] * 40 AS ph FROM f JOIN fx_logits USING (image_id, anchor_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY batch, positive ORDER BY loss DESC, image_id * 8 + anchor_id) AS k, count(*) FILTER (positive) OVER (PARTITION BY batch) AS n, least(greatest(px - pw / 2, 0), 416) AS a0, least(greatest(py - ph / 2, 0), 416) AS a1, least(greatest(px + pw / 2, 0), 416) AS a2, least(greatest(py + ph / 2, 0), 416) AS a3 FROM g),
+i AS (SELECT *, greatest(least(a2, 290e0) - greatest(a0, 110e0), 0) * greatest(least(a3, 280e0) - greatest(a1, 120e0), 0) AS inter, pow(greatest(a2, 290e0) - least(a0, 110e0), 2) + pow(greatest(a3, 280e0) - least(a1, 120e0), 2) + 1e-7 AS diagonal,
+  pow(px - 200, 2) + pow(py - 200, 2) AS apart, 4 / pow(pi(), 2) * pow(atan(180e0 / 160) - atan(greatest(pw, 1e-6) / greatest(ph, 1e-6)), 2) AS v FROM k),
+o AS (SELECT *, inter / ((a2 - a0) * (a3 - a1) + 180e0 * 160 - inter + 1e-7) AS iou FROM i),
+t AS (SELECT batch, max(n) AS positives, sum(loss) FILTER (positive OR k <= 3 * greatest(n, 1)) AS c, coalesce(sum(least(greatest(1 - (iou - apart / diagonal - v / (1 - iou + v + 1e-7) * v), 0), 4)) FILTER (positive), 0) AS b FROM o GROUP BY 1)
+SELECT batch, c / greatest(positives, 1) AS cls, b / greatest(positives, 1) AS box, (c + b) / greatest(positives, 1) AS total, positives FROM t"""
+
+
+@query("a18_detection_score", _SCORE)
 def _(v):
     scored = targets.focal_score(_targeted(v)).withColumn("positive", F.col("target").isNotNull()).withColumn("batch", F.col("image_id") % 16)
     spot = lambda k: F.lit(200.0) + F.get("off", F.lit(k)) * 40
@@ -140,7 +151,10 @@ def _(v):
     return postproc.soft_nms(v("fx_preds"))
 
 
-@query("n5_draft_labels")
+_LINE = "printf('%d %.6f %.6f %.6f %.6f', class_id, (x1 + x2) / 2 / width, (y1 + y2) / 2 / height, (x2 - x1) / width, (y2 - y1) / height)"
+
+
+@query("n5_draft_labels", f"SELECT image_id, coalesce(lines, '') AS lines FROM (SELECT image_id FROM fx_images) LEFT JOIN (SELECT image_id, string_agg(line, chr(10) ORDER BY line) AS lines FROM (SELECT image_id, {_LINE} AS line FROM fx_preds JOIN (SELECT image_id, width, height FROM fx_images) USING (image_id) WHERE conf >= 0.5) GROUP BY 1) USING (image_id)")
 def _(v):
     return postproc.drafts(v("fx_preds").where("conf >= 0.5"), v("fx_images"))
 
@@ -213,6 +227,12 @@ def _(v):
     return _plan(v, "holdout")
 
 
+@query("i1_content_hash", "SELECT doc_id, md5(coalesce(text, '')) AS content_md5 FROM documents")
+def _(v):
+    files = v("documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    return images.content_hash(files).select("doc_id", "content_md5")
+
+
 @query("s10_label_texts", "SELECT image_id, split, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h), chr(10) ORDER BY printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h)) AS lines FROM fx_boxes JOIN fx_images USING (image_id) GROUP BY 1, 2")
 def _(v):
     return sinks.label_texts(v("fx_boxes").join(v("fx_images").select("image_id", "split"), "image_id"))

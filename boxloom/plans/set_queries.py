@@ -149,11 +149,33 @@ def _(v):
     return sampling.topup_plan(items.select("image_id", "class_id"), items.count() // 6, 100_000, hashed=hashed, forbidden=v("fx_near").where("split <> 'train'").select("h"))
 
 
-@query("w8_sample_balanced")
+def _holdout(views, per_class):
+    """The rounds of a balanced sample written out: c is chosen after each class, then u is chosen and reused images."""
+    count = lambda t, j: f"(SELECT count(*) FROM {t} t JOIN p ON p.image_id = t.image_id WHERE p.class_id = {j})"
+    rounds = []
+    for j in range(8):
+        rounds.append(f"""
+c{j + 1} AS MATERIALIZED (SELECT * FROM c{j} UNION ALL SELECT image_id, 0 FROM (SELECT image_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', class_id, image_id)), image_id) AS i FROM p WHERE class_id = {j} AND image_id NOT IN (SELECT image_id FROM c{j})) WHERE i <= {per_class} - {count(f"c{j}", j)})""")
+    for j in range(8):
+        rounds.append(f"""
+f{j} AS MATERIALIZED (SELECT *, count(*) OVER () AS have FROM (SELECT image_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'fill', class_id, image_id)), image_id) AS i FROM p WHERE class_id = {j}) WHERE i <= {per_class}),
+u{j + 1} AS MATERIALIZED (SELECT * FROM u{j} UNION ALL SELECT image_id, copy FROM f{j}, (SELECT unnest(range(1, {per_class} + 1)) AS copy) WHERE (copy - 1) * have + i <= {per_class} - {count(f"u{j}", j)})""")
+    return f"""
+WITH {views}, c0 AS (SELECT image_id, 0 AS copy FROM p WHERE false),{",".join(rounds[:8])}, u0 AS (SELECT * FROM c8),{",".join(rounds[8:])}
+SELECT image_id, CAST(copy AS INT) AS copy FROM u8"""
+
+
+@query("w8_sample_balanced", _holdout("p AS (SELECT DISTINCT image_id, class_id FROM fx_boxes)", 20))
 def _(v):
     return sampling.sample_balanced(v("fx_boxes"))
 
 
+@query("w8_sample_refilled", _holdout("p AS (SELECT DISTINCT CAST(item_id AS BIGINT) AS image_id, CAST(class_id % 8 AS INT) AS class_id FROM fx_hash64 WHERE class_id IS NOT NULL)", 150))
+def _(v):
+    """Vectors as images of one box each; classes with fewer than the sample asks for have theirs reused."""
+    return sampling.sample_balanced(v("fx_hash64").where("class_id is not null").selectExpr("cast(item_id as bigint) as image_id", "cast(class_id % 8 as int) as class_id"), 150)
+
+
 @query("w9_priority_sample", """
 WITH c AS (SELECT DISTINCT image_id, class_id FROM fx_boxes WHERE class_id IN (3, 4, 5, 7)),
 f AS (SELECT image_id, min(list_position([4, 5, 7, 3], class_id) * 1000000 + k) AS o FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY md5(concat_ws('|', '42', class_id, image_id)), image_id) AS k FROM c) WHERE k <= 25 GROUP BY 1),

@@ -1,6 +1,7 @@
 """Rewrites against a literal re-statement of the sequential rule, label dialects, name traps, gates, streams, pixels, files."""
 
 import json
+import math
 import random
 import struct
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxloom.functions import names
-from boxloom.operators import dedup, evaluate, history, images, labels, sampling, targets
+from boxloom.operators import dedup, evaluate, history, images, labels, postproc, sampling, targets
 from boxloom.sources import annotations, sinks
 from boxloom.streaming import monitor
 
@@ -323,3 +324,35 @@ def test_cache_counts_what_it_writes(spark, tmp_path):
     assert sorted((r.path, bytes(r.data)) for r in spark.read.parquet(path).collect()) == [(f"p{k}", bytes([k] * 48)) for k in range(9)]
     assert images.build_cache(pixels.where("path = 'p1'"), path, 4, overwrite=True) == {"written": 1, "skipped": 0, "total": 1}
     assert images.build_cache(pixels.where("false"), path, 4) == {"written": 0, "skipped": 0, "total": 0} and spark.read.parquet(path).count() == 1
+
+
+def test_soft_nms_is_the_sequential_rule(spark):
+    rng = random.Random(6)
+    rows = []
+    for image in range(4):
+        for k in range(25):
+            x, y, w, h = rng.uniform(0, 60), rng.uniform(0, 60), rng.uniform(5, 40), rng.uniform(5, 40)
+            rows.append((image, f"{image}-{k:02d}", rng.randrange(2), round(rng.uniform(0.02, 1), 3), x, y, x + w, y + h))
+
+    def iou(a, b):
+        inter = max(0, min(a[6], b[6]) - max(a[4], b[4])) * max(0, min(a[7], b[7]) - max(a[5], b[5]))
+        union = (a[6] - a[4]) * (a[7] - a[5]) + (b[6] - b[4]) * (b[7] - b[5]) - inter
+        return inter / union if union > 0 else 0.0
+
+    want = []
+    for image in range(4):
+        left = sorted(([r[3], r] for r in rows if r[0] == image), key=lambda e: (-e[0], e[1][1]))
+        rank = 0
+        while left:
+            best = max(left, key=lambda e: e[0])
+            left.remove(best)
+            rank += 1
+            want.append((image, best[1][1], rank, best[0]))
+            for e in left:
+                if e[1][2] == best[1][2]:
+                    e[0] *= math.exp(-(iou(e[1], best[1]) ** 2) / 0.5)
+            left = [e for e in left if e[0] > 0.01]
+    frame = spark.createDataFrame(rows, "image_id int, pred_id string, class_id int, conf double, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((r.image_id, r.pred_id, r["rank"], r.conf) for r in postproc.soft_nms(frame).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)])
