@@ -70,16 +70,24 @@ def flipped(position: Column, size=1.0) -> Column:
     return _col(size) - position
 
 
-def rotated(cx: Column, cy: Column, w: Column, h: Column, degrees: Column, width: Column, height: Column) -> list[Column]:
-    """The box around a normalised box turned about the image centre, clipped to the image: cx, cy, w, h."""
-    cos, sin = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
-    dx, dy = (cx - 0.5) * width, (cy - 0.5) * height
-    x, y = cos * dx + sin * dy + width / 2, cos * dy - sin * dx + height / 2
-    # the turned corners reach so far from the turned centre
-    rx = (F.abs(cos) * w * width + F.abs(sin) * h * height) / 2
-    ry = (F.abs(sin) * w * width + F.abs(cos) * h * height) / 2
+def turn(degrees: Column) -> list[Column]:
+    """cos and sin of an angle."""
+    return [F.cos(F.radians(degrees)).alias("cos"), F.sin(F.radians(degrees)).alias("sin")]
+
+
+def rotated(cx: Column, cy: Column, w: Column, h: Column, degrees: Column, width: Column, height: Column, turned=None) -> list[Column]:
+    """The box around a normalised box turned about the image centre, clipped to the image: cx, cy, w, h. turned: `turn` of the angle, if at hand.
+
+    Its ends are those of the four turned corners, to the bit: rounding keeps the order of sums, so an end is the sum of the ends of
+    both terms. Half extents around the turned centre round otherwise, and whether a box that only touches the border stays hangs on that.
+    """
+    cos, sin = turned or turn(degrees)
+    xs = [(x * width) - width / 2 for x in (cx - w / 2, cx + w / 2)]
+    ys = [(y * height) - height / 2 for y in (cy - h / 2, cy + h / 2)]
     clip = lambda c, top: F.least(F.greatest(c, F.lit(0.0)), top.cast("double"))
-    return centre(clip(x - rx, width), clip(y - ry, height), clip(x + rx, width), clip(y + ry, height), width, height)
+    x1, x2 = (clip(end(*(cos * x for x in xs)) + end(*(sin * y for y in ys)) + width / 2, width) for end in (F.least, F.greatest))
+    y1, y2 = (clip(end(*(-sin * x for x in xs)) + end(*(cos * y for y in ys)) + height / 2, height) for end in (F.least, F.greatest))
+    return centre(x1, y1, x2, y2, width, height)
 
 
 def rescaled(box: list[Column], size: float, width: Column, height: Column) -> list[Column]:

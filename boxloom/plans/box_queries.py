@@ -324,8 +324,10 @@ SELECT box_id, (x1 + x2) / 2 / width AS ncx, (y1 + y2) / 2 / height AS ncy, (x2
 
 @query("g6_rotate", _ROT)
 def _(v):
-    wide = v("fx_boxes").join(v("fx_images"), "image_id")
-    box = g.rotated(*_b(), (F.col("cents") % 21 - 10).cast("double"), F.col("width"), F.col("height"))
+    degrees = (F.col("cents") % 21 - 10).cast("double")
+    # sine and cosine are exploded, so that no further step works them out anew
+    wide = v("fx_boxes").join(v("fx_images"), "image_id").select("*", F.explode(F.array(F.struct(*g.turn(degrees)))).alias("t"))
+    box = g.rotated(*_b(), degrees, F.col("width"), F.col("height"), (F.col("t.cos"), F.col("t.sin")))
     return wide.select("box_id", *(c.alias(n) for c, n in zip(box, ("ncx", "ncy", "nw", "nh"), strict=True))).where("nw > 0 and nh > 0")
 
 

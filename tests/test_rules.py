@@ -356,3 +356,18 @@ def test_soft_nms_is_the_sequential_rule(spark):
     got = sorted((r.image_id, r.pred_id, r["rank"], r.conf) for r in postproc.soft_nms(frame).collect())
     assert [r[:3] for r in got] == [r[:3] for r in sorted(want)]
     assert [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)])
+
+
+def test_a_rotated_box_is_that_of_its_turned_corners_to_the_bit(spark):
+    from boxloom.functions import geometry
+
+    # boxes whose side lies on the border before the turn, as cx - w / 2 is 1
+    rows = [(q * q / 5e3 + 1, j / 1e3, q * q / 2.5e3, (k * 37 % 997 + 1) / 9.97e2, k % 21 - 10, 320 + 32 * (k % 31), 240 + 24 * (k * 7 % 37)) for k, (q, j) in enumerate((q, j) for q in (5, 10, 15) for j in range(0, 1000, 3))]
+    frame = spark.createDataFrame(rows, "cx double, cy double, w double, h double, d int, width bigint, height bigint")
+    box = geometry.rotated(*(F.col(c) for c in ("cx", "cy", "w", "h")), F.col("d").cast("double"), F.col("width"), F.col("height"))
+    got = frame.select("*", *(c.alias(f"o{n}") for n, c in enumerate(box))).collect()
+    for r in got:
+        cos, sin, wide, high = math.cos(math.radians(r.d)), math.sin(math.radians(r.d)), r.width, r.height
+        turned = [(cos * x + sin * y + wide / 2, -sin * x + cos * y + high / 2) for x in ((r.cx - r.w / 2) * wide - wide / 2, (r.cx + r.w / 2) * wide - wide / 2) for y in ((r.cy - r.h / 2) * high - high / 2, (r.cy + r.h / 2) * high - high / 2)]
+        (x1, x2), (y1, y2) = ((min(max(min(c), 0.0), top), min(max(max(c), 0.0), top)) for c, top in zip(zip(*turned, strict=True), (wide, high), strict=True))
+        assert (r.o0, r.o1, r.o2, r.o3) == ((x1 + x2) / 2 / wide, (y1 + y2) / 2 / high, (x2 - x1) / wide, (y2 - y1) / high)
