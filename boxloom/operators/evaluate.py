@@ -17,11 +17,35 @@ def truth(boxes: DataFrame, images: DataFrame) -> DataFrame:
     return wide.withColumns({n: c for n, c in zip(("gx1", "gy1", "gx2", "gy2"), corners(*(F.col(x) for x in ("cx", "cy", "w", "h")), F.col("width"), F.col("height")), strict=True)}).drop("width", "height")
 
 
+def _same(a, b) -> Column:
+    """a = b, told as a range: an equality would become a key of the join, and rows that lie together by image would be dealt anew."""
+    return a.between(b, b)
+
+
+def _in_image(left: DataFrame, right: DataFrame, how: str, *names: str) -> DataFrame:
+    """left joined with right on image_id and further columns, dealt by image_id alone; right's other columns follow."""
+    other = right.select(*(F.col(n).alias(f"_{n}") for n in ("image_id", *names)), *(c for c in right.columns if c not in ("image_id", *names)))
+    on = F.col("image_id") == F.col("_image_id")
+    for n in names:
+        on = on & _same(F.col(n), F.col(f"_{n}"))
+    return left.join(other, on, how).drop("_image_id", *(f"_{n}" for n in names))
+
+
 def candidate_pairs(preds: DataFrame, boxes: DataFrame, images: DataFrame, least: float) -> DataFrame:
-    """(image_id, class_id, pred_id, conf, box_id, iou) of same-class pairs with IoU of at least `least`: an equi-join and a filter."""
+    """(image_id, class_id, pred_id, conf, box_id, iou) of same-class pairs with IoU of at least `least`: a join by image and a filter."""
+    return _with_candidates(preds, boxes, images, least, "inner")
+
+
+def _with_candidates(preds: DataFrame, boxes: DataFrame, images: DataFrame, least: float, how: str) -> DataFrame:
+    """candidate_pairs; with how="left" also the predictions without any, their box_id and iou null.
+
+    Both sides are dealt by image_id, as their joins with the images leave them, and so are all the groups that follow: one shuffle each.
+    """
     gt = truth(boxes, images).select("image_id", "class_id", "box_id", "gx1", "gy1", "gx2", "gy2")
     over = iou([F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(c) for c in ("gx1", "gy1", "gx2", "gy2")])
-    return preds.join(gt, ["image_id", "class_id"]).withColumn("iou", over).where(F.col("iou") >= least).select("image_id", "class_id", "pred_id", "conf", "box_id", "iou")
+    gt = gt.withColumnsRenamed({"image_id": "_image_id", "class_id": "_class_id"})
+    on = (F.col("image_id") == F.col("_image_id")) & _same(F.col("class_id"), F.col("_class_id")) & (over >= least)
+    return preds.join(gt, on, how).select("image_id", "class_id", "pred_id", "conf", "box_id", F.when(F.col("box_id").isNotNull(), over).alias("iou"))
 
 
 def match(preds: DataFrame, boxes: DataFrame, images: DataFrame, least: float = 0.45, by: tuple = ()) -> DataFrame:
@@ -80,18 +104,23 @@ def _match_swept(pairs: DataFrame, marks: Column) -> DataFrame:
     return folded.select("image_id", "class_id", F.inline("m")).withColumn("threshold", F.explode(F.filter(marks, lambda t: F.col("conf") >= t)))
 
 
+def rescued(missed: DataFrame, low: DataFrame, images: DataFrame, least: float = 0.45) -> DataFrame:
+    """(image_id, box_id) of the missed boxes that a weak prediction of their class overlaps; a prediction may rescue several."""
+    return candidate_pairs(low, missed, images, least).select("image_id", "box_id").distinct()
+
+
 def rescue(missed: DataFrame, low: DataFrame, images: DataFrame, least: float = 0.45) -> DataFrame:
-    """Missed boxes that a weak prediction of their class overlaps; a prediction may rescue several."""
-    return missed.join(candidate_pairs(low, missed, images, least).select("box_id").distinct(), "box_id", "left_semi")
+    """The missed boxes that are `rescued`."""
+    return _in_image(missed, rescued(missed, low, images, least), "left_semi", "box_id")
 
 
 def missed_boxes(boxes: DataFrame, matches: DataFrame) -> DataFrame:
-    return boxes.join(matches.select("box_id"), "box_id", "left_anti")
+    return _in_image(boxes, matches.select("image_id", "box_id"), "left_anti", "box_id")
 
 
 def size_bucket_recall(boxes: DataFrame, matches: DataFrame, flag: float = 0.4) -> DataFrame:
     """(bucket, class_id, tp, fn, recall, flagged); buckets without boxes are absent."""
-    hit = boxes.join(matches.select("box_id", F.lit(True).alias("hit")), "box_id", "left")
+    hit = _in_image(boxes, matches.select("image_id", "box_id", F.lit(True).alias("hit")), "left", "box_id")
     out = hit.groupBy(size_bucket(F.col("w") * F.col("h") * 100).alias("bucket"), "class_id").agg(F.count("hit").alias("tp"), F.count_if(F.col("hit").isNull()).alias("fn"))
     return out.withColumn("recall", F.col("tp") / (F.col("tp") + F.col("fn"))).withColumn("flagged", F.col("recall") < flag)
 
@@ -109,13 +138,8 @@ def average_precision(preds: DataFrame, boxes: DataFrame, images: DataFrame, iou
     0, 0.01 .. 1. A class is ranked in ranges of confidence; counts of earlier ranges and the best precision of later ones are carried
     over their edges, so no class is sorted in one task.
     """
-    pairs = candidate_pairs(preds, boxes, images, min(ious))
-    matches = None
-    for t in ious:
-        m = _match_at(pairs, t).withColumn("iou", F.lit(float(t)))
-        matches = m if matches is None else matches.union(m)
     marks = F.array(*(F.lit(float(t)) for t in ious))
-    told = preds.select("class_id", "pred_id", "conf", F.explode(marks).alias("iou")).join(matches.select("iou", "pred_id", F.lit(1).alias("tp")), ["iou", "pred_id"], "left").na.fill(0, ["tp"])
+    told = _walked(preds, boxes, images, min(ious), tuple(ious)).select("class_id", "pred_id", "conf", F.col("least").alias("iou"), F.col("box_id").isNotNull().cast("int").alias("tp"))
     there = boxes.groupBy("class_id").agg(F.count("*").alias("there"))
     groups = ["iou", "class_id"]
     dealt = carried(in_ranges(told, groups, [F.desc("conf"), F.asc("pred_id")]), groups, {"c0": (F.sum("tp"), F.sum), "k0": (F.count("*"), F.sum)})
@@ -132,8 +156,17 @@ def average_precision(preds: DataFrame, boxes: DataFrame, images: DataFrame, iou
     return grid.join(sums, ["iou", "class_id"], "left").select("iou", "class_id", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
-def _match_at(pairs: DataFrame, least: float) -> DataFrame:
-    return _match_swept(pairs.where(F.col("iou") >= least), F.array(F.lit(float("-inf")))).select("class_id", "pred_id", "box_id")
+def _walked(preds: DataFrame, boxes: DataFrame, images: DataFrame, least: float, ious: tuple) -> DataFrame:
+    """(image_id, class_id, pred_id, conf, least, box_id) of every prediction: the box that `match` gives it at each of ious, or null."""
+    pairs = _with_candidates(preds, boxes, images, least, "left")
+    option = F.when(F.col("box_id").isNotNull(), F.struct((-F.col("iou")).alias("o"), "box_id"))
+    options = pairs.groupBy("image_id", "class_id", "pred_id", "conf").agg(F.array_sort(F.collect_list(option)).alias("options"))
+    grouped = options.groupBy("image_id", "class_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("o"), F.col("pred_id"), F.col("options")))).alias("ps"))
+    grouped = grouped.withColumn("least", F.explode(F.array(*(F.lit(float(t)) for t in ious))))
+    folded = grouped.withColumn("m", F.expr("""
+      aggregate(ps, cast(array() as array<struct<pred_id:string,box_id:string,conf:double>>),
+        (a, p) -> array_append(a, named_struct('pred_id', p.pred_id, 'box_id', get(filter(p.options, x -> -x.o >= least and not exists(a, y -> y.box_id <=> x.box_id)), 0).box_id, 'conf', -p.o)))"""))
+    return folded.select("image_id", "class_id", "least", F.inline("m"))
 
 
 def failure_samples(preds: DataFrame, boxes: DataFrame, images: DataFrame, conf: float = 0.25, most: int = 60, most_right: int = 20, least: float = 0.45) -> DataFrame:
@@ -142,14 +175,18 @@ def failure_samples(preds: DataFrame, boxes: DataFrame, images: DataFrame, conf:
     At most `most` missed and false per class, `most_right` right ones under the class of the image's first box. Weakly seen boxes
     have no cap of their own, but end with the box that fills the class's missed ones.
     """
-    strong = preds.where(F.col("conf") >= conf)
-    hits = match(strong, boxes, images, least)
-    lost = missed_boxes(boxes, hits)
-    seen = rescue(lost, preds.where((F.col("conf") >= 0.10) & (F.col("conf") < conf)), images, least).select("box_id", F.lit(True).alias("seen"))
-    order = Window.partitionBy("class_id").orderBy("image_id", "box_id")
-    told = lost.join(seen, "box_id", "left").withColumn("before", F.coalesce(F.count_if(F.col("seen").isNull()).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < most)
+    strong = _walked(preds.where(F.col("conf") >= conf), boxes, images, least, (least,))
+    hits = strong.where(F.col("box_id").isNotNull()).select("image_id", "box_id")
+    lost = missed_boxes(boxes.select("image_id", "class_id", "box_id"), hits)
+    low = preds.where((F.col("conf") >= 0.10) & (F.col("conf") < conf))
+    seen = rescued(boxes, low, images, least).withColumn("seen", F.lit(True))
+    told = _in_image(lost, seen, "left", "box_id")
+    # a row after `most` unseen ones of its class and part is after them in the class too, so parts are cut first and few rows meet by class
+    for groups in (("_part", "class_id"), ("class_id",)):
+        before = Window.partitionBy(*groups).orderBy("image_id", "box_id").rowsBetween(Window.unboundedPreceding, -1)
+        told = told.withColumn("_part", F.pmod(F.hash("image_id"), F.lit(256))).withColumn("_before", F.coalesce(F.count_if(F.col("seen").isNull()).over(before), F.lit(0))).where(F.col("_before") < most)
     missed = told.select(F.when(F.col("seen"), "low_conf").otherwise("fn").alias("kind"), "class_id", F.col("box_id").alias("item"), "image_id")
-    wrong = strong.join(hits.select("pred_id"), "pred_id", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("class_id").orderBy("image_id", "pred_id"))).where(F.col("k") <= most)
-    right = boxes.join(hits.select("image_id").distinct(), "image_id", "left_semi").groupBy("image_id").agg(F.min_by("class_id", "box_id").alias("class_id"))
+    wrong = strong.where(F.col("box_id").isNull()).withColumn("k", F.row_number().over(Window.partitionBy("class_id").orderBy("image_id", "pred_id"))).where(F.col("k") <= most)
+    right = _in_image(boxes.select("image_id", "class_id", "box_id"), hits.select("image_id").distinct(), "left_semi").groupBy("image_id").agg(F.min_by("class_id", "box_id").alias("class_id"))
     right = right.withColumn("k", F.row_number().over(Window.partitionBy("class_id").orderBy("image_id"))).where(F.col("k") <= most_right)
     return missed.union(wrong.select(F.lit("fp"), "class_id", "pred_id", "image_id")).union(right.select(F.lit("ok"), "class_id", F.col("image_id").cast("string"), "image_id"))

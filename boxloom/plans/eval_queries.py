@@ -43,7 +43,8 @@ def _(v):
 @query("j8_rescue", walk(0.45, CONF) + f" SELECT box_id FROM fx_boxes WHERE box_id NOT IN (SELECT box_id FROM m) AND box_id IN (SELECT box_id FROM pr WHERE iou >= 0.45 AND conf >= 0.1 AND conf < {CONF})")
 def _(v):
     low = v("fx_preds").where((F.col("conf") >= 0.1) & (F.col("conf") < CONF))
-    return e.rescue(e.missed_boxes(v("fx_boxes"), _hits(v)), low, v("fx_images")).select("box_id")
+    # what no strong prediction matched, of the boxes that weak ones overlap: the same rows as rescue(missed_boxes), with one shuffle of the boxes
+    return e.missed_boxes(e.rescued(v("fx_boxes"), low, v("fx_images")), _hits(v)).select("box_id")
 
 
 _PRF = """

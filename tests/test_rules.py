@@ -371,3 +371,22 @@ def test_a_rotated_box_is_that_of_its_turned_corners_to_the_bit(spark):
         turned = [(cos * x + sin * y + wide / 2, -sin * x + cos * y + high / 2) for x in ((r.cx - r.w / 2) * wide - wide / 2, (r.cx + r.w / 2) * wide - wide / 2) for y in ((r.cy - r.h / 2) * high - high / 2, (r.cy + r.h / 2) * high - high / 2)]
         (x1, x2), (y1, y2) = ((min(max(min(c), 0.0), top), min(max(max(c), 0.0), top)) for c, top in zip(zip(*turned, strict=True), (wide, high), strict=True))
         assert (r.o0, r.o1, r.o2, r.o3) == ((x1 + x2) / 2 / wide, (y1 + y2) / 2 / high, (x2 - x1) / wide, (y2 - y1) / high)
+
+
+def test_matching_and_what_follows_deal_rows_by_image_alone(spark):
+    images = spark.createDataFrame([(i, 100, 100) for i in range(3)], "image_id bigint, width int, height int")
+    boxes = spark.createDataFrame([(i, c, f"b{i}{c}{k}", 0.2 + 0.3 * k, 0.5, 0.2, 0.4) for i in range(3) for c in (0, 1) for k in (0, 1)], "image_id bigint, class_id int, box_id string, cx double, cy double, w double, h double")
+    preds = spark.createDataFrame([(i, c, f"p{i}{c}", conf, 10.0, 30.0, 30.0, 70.0) for i in range(3) for c, conf in ((0, 0.9), (1, 0.15))], "image_id bigint, class_id int, pred_id string, conf double, x1 double, y1 double, x2 double, y2 double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = evaluate.match(preds.where("conf >= 0.25"), boxes, images)
+        lost = evaluate.rescue(evaluate.missed_boxes(boxes, hits), preds.where("conf < 0.25"), images)
+        for frame in (hits, lost):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+            assert dealt and all("class_id" not in line.split("hashpartitioning(")[1] and "box_id" not in line.split("hashpartitioning(")[1] for line in dealt)
+        assert sorted(r.box_id for r in hits.collect()) == ["b000", "b100", "b200"]
+        assert sorted(r.box_id for r in lost.collect()) == ["b010", "b110", "b210"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
