@@ -40,7 +40,8 @@ def assign_grid(boxes: DataFrame, size: float = 416, cells=(208, 104, 52, 26, 13
     for n, s in zip(cells, scales, strict=True):
         specs.append(F.struct(F.lit(n).alias("n"), F.lit(size / n).alias("stride"), F.lit(offset).alias("offset"), F.array(*(F.struct(F.lit(s * math.sqrt(r)).alias("w"), F.lit(s / math.sqrt(r)).alias("h")) for r in ratios)).alias("shapes")))
         offset += n * n * len(ratios)
-    wide = boxes.withColumn("s", F.explode(F.array(*specs)))
+    # boxes are dealt by image before each becomes a row per scale, and the window needs no other dealing
+    wide = boxes.select("image_id", "box_id", "class_id", "bx", "by", "bw", "bh").repartition("image_id").withColumn("s", F.explode(F.array(*specs)))
     cell = lambda c: F.least(F.greatest(F.expr(f"cast({c} / s.stride as int)"), F.lit(0)), F.col("s.n") - 1)
     fit = """transform(s.shapes, x -> least(bw, x.w) * least(bh, x.h) / greatest(bw * bh + x.w * x.h - least(bw, x.w) * least(bh, x.h), 1e-6d))"""
     wide = wide.withColumn("gx", cell("bx")).withColumn("gy", cell("by")).withColumn("fit", F.expr(fit))

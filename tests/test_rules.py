@@ -390,3 +390,10 @@ def test_matching_and_what_follows_deal_rows_by_image_alone(spark):
         assert sorted(r.box_id for r in lost.collect()) == ["b010", "b110", "b210"]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_grid_assignment_deals_boxes_before_they_become_rows_of_scales(spark):
+    boxes = spark.createDataFrame([(1, f"b{k}", k % 3, 40.0 * k, 30.0 * k, 50.0, 60.0) for k in range(8)], "image_id bigint, box_id string, class_id int, bx double, by double, bw double, bh double")
+    plan = targets.assign_grid(boxes)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert len(dealt) == 1 and "anchor_id" not in dealt[0]
