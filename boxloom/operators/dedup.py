@@ -75,31 +75,65 @@ def probed(left: DataFrame, index: DataFrame, within: int = 8, bits: int = 63) -
     return probes.join(index, ["band", "value"]).where(dist <= within).select("left_h", "right_h", dist.alias("dist")).distinct()
 
 
-def near_pairs(left: DataFrame, right: DataFrame, within: int = 8, bits: int = 63) -> DataFrame:
-    """(left_h, right_h, dist) of distinct hashes at Hamming distance `within` or less, by exact search.
+def _turned(hashes: DataFrame, name: str, within: int, bits: int) -> DataFrame:
+    """Rows of hashes(name, ..) by each value at distance 0 or 1 of each band: band, key (band and value), and the bit turned, or 0, as name_m."""
+    n = within // 3 + 1
+    width = bits // n + (bits % n > 0)
+    masks = F.array(*(F.lit(m) for m in (0, *(1 << i for i in range(width)))))
+    rows = hashes.select("*", F.posexplode(F.array(*_bands(F.col(name), bits, n))).alias("band", "_v"))
+    rows = rows.withColumn(f"{name}_m", F.explode(masks))
+    key = F.shiftleft(F.col("band").cast("bigint"), width).bitwiseOR(F.col("_v").bitwiseXOR(F.col(f"{name}_m")))
+    return rows.withColumn("key", key).drop("_v")
 
-    Cut into `within // 3 + 1` wide bands, two such hashes differ by at most 2 bits in one band. The left side probes every value
-    at distance 0 to 2 of each band, so the join is on equal values and no pair is missed. Candidates come from bands of about 21
-    bits, which keeps them rare; equal hashes are collapsed first.
+
+def _near(left: DataFrame, right: DataFrame, within: int, bits: int) -> DataFrame:
+    """Rows of left(left_h, ..) and right(right_h, ..), distinct hashes, at Hamming distance `within` or less, each pair once, with dist.
+
+    Cut into `within // 3 + 1` wide bands, two such hashes differ by at most 2 bits in one band. Both sides take every value at
+    distance 0 or 1 of each band, so such bands share a value: 1 + w rows a band on each side, where one side alone would need
+    1 + w + w(w-1)/2. Of the values they share one counts (a single turned bit is the left's, of two the left turns the lower), and
+    of the bands the first, so no pair comes twice and none is missed. Bands of about 21 bits keep candidates rare.
     """
-    return probed(left, band_index(right, within, bits), within, bits)
+    n = within // 3 + 1
+    b = _turned(right, "right_h", within, bits).withColumnRenamed("band", "_band")
+    apart = F.col("left_h").bitwiseXOR(F.col("right_h"))
+    once = (F.col("right_h_m") == 0) | ((F.col("left_h_m") > 0) & (F.col("left_h_m") < F.col("right_h_m")))
+    for k, x in enumerate(_bands(apart, bits, n)[:-1]):
+        once &= (F.col("band") <= k) | (F.bit_count(x) > 2)
+    dist = F.bit_count(apart)
+    met = _turned(left, "left_h", within, bits).join(b, "key").where(once & (dist <= within))
+    return met.select(*left.columns, *right.columns, dist.alias("dist"))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, within: int = 8, bits: int = 63) -> DataFrame:
+    """(left_h, right_h, dist) of distinct hashes at Hamming distance `within` or less, by exact search. left(h), right(h)."""
+    own = lambda side, name: side.where("h is not null").select(F.col("h").alias(name)).distinct()
+    return _near(own(left, "left_h"), own(right, "right_h"), within, bits)
+
+
+def _across(items: DataFrame, within: int, bits: int) -> DataFrame:
+    """(left_h, right_h, dist, splits): near hashes with those of SPLIT_PAIRS (left_split, right_split) that they stand in; one search for all of them."""
+    has = lambda s: F.bool_or(F.col("split") == s)
+    names = sorted({s for pair in SPLIT_PAIRS for s in pair})
+    hashes = items.where("h is not null").groupBy("h").agg(*(has(s).alias(s) for s in names))
+    side = lambda name, own: hashes.where(" or ".join(own)).select(F.col("h").alias(f"{name}_h"), F.struct(*own).alias(name))
+    pairs = _near(side("left", sorted({a for a, _ in SPLIT_PAIRS})), side("right", sorted({b for _, b in SPLIT_PAIRS})), within, bits)
+    both = [F.when(F.col("left")[a] & F.col("right")[b], F.struct(F.lit(a).alias("left_split"), F.lit(b).alias("right_split"))) for a, b in SPLIT_PAIRS]
+    return pairs.select("left_h", "right_h", "dist", F.array_compact(F.array(*both)).alias("splits")).where(F.size("splits") > 0)
 
 
 def leak_near(items: DataFrame, within: int = 8, bits: int = 63, item: str = "item_id") -> DataFrame:
     """(left_split, left, right_split, right, dist): near duplicates across split pairs. items(item, split, h)."""
-    out = None
-    for a, b in SPLIT_PAIRS:
-        left, right = items.where(F.col("split") == a), items.where(F.col("split") == b)
-        pairs = near_pairs(left.select("h"), right.select("h"), within, bits)
-        found = pairs.join(left.select(F.col("h").alias("left_h"), F.col(item).alias("left")), "left_h").join(right.select(F.col("h").alias("right_h"), F.col(item).alias("right")), "right_h")
-        found = found.select(F.lit(a).alias("left_split"), "left", F.lit(b).alias("right_split"), "right", "dist")
-        out = found if out is None else out.unionByName(found)
-    return out
+    pairs = _across(items, within, bits).select("left_h", "right_h", "dist", F.inline("splits"))
+    side = lambda name: items.select(F.col("h").alias(f"{name}_h"), F.col("split").alias(f"{name}_split"), F.col(item).alias(name))
+    found = pairs.join(side("left"), ["left_h", "left_split"]).join(side("right"), ["right_h", "right_split"])
+    return found.select("left_split", "left", "right_split", "right", "dist")
 
 
 def removals_near(items: DataFrame, within: int = 8, bits: int = 63, item: str = "item_id") -> DataFrame:
-    """The left member of every near pair. One pass is enough: every left item with a match goes in it."""
-    return leak_near(items, within, bits, item).select(F.col("left").alias(item)).distinct()
+    """The left member of every near pair. One pass is enough: every left item with a match goes in it; pairs of items are not made."""
+    hit = _across(items, within, bits).select(F.col("left_h").alias("h"), F.explode("splits.left_split").alias("split")).distinct()
+    return items.join(hit, ["h", "split"], "left_semi").select(item).distinct()
 
 
 def quarantine(images: DataFrame, removals: DataFrame, item: str = "image_id") -> tuple[DataFrame, DataFrame]:

@@ -54,7 +54,7 @@ SELECT p_partkey AS name_id, concat(CASE CAST(p_partkey % 9 AS INT) WHEN 0 THEN
 SPARK = BOTH | {
     "fx_hash64": """
 SELECT vec_id AS item_id, label AS class_id, CASE WHEN vec_id % 20 < 14 THEN 'train' WHEN vec_id % 20 < 17 THEN 'valid' ELSE 'test' END AS split,
-  aggregate(sequence(1, 63), 0L, (acc, i) -> acc * 2 + IF(embedding[i] > array_sort(slice(embedding, 2, 63))[31], 1L, 0L)) AS h FROM {embeddings}""",
+  transform(array(array_sort(slice(embedding, 2, 63))[31]), m -> aggregate(sequence(1, 63), 0L, (acc, i) -> acc * 2 + IF(embedding[i] > m, 1L, 0L)))[0] AS h FROM {embeddings}""",
     "fx_near": """
 SELECT item_id, class_id, split, h FROM {fx_hash64} UNION ALL
 SELECT item_id + 1000000, class_id, CASE split WHEN 'train' THEN 'valid' WHEN 'valid' THEN 'test' ELSE 'train' END,

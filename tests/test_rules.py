@@ -397,3 +397,10 @@ def test_grid_assignment_deals_boxes_before_they_become_rows_of_scales(spark):
     plan = targets.assign_grid(boxes)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
     assert len(dealt) == 1 and "anchor_id" not in dealt[0]
+
+
+def test_soft_nms_goes_over_images_in_step(spark):
+    rows = [(i, f"{i}-{k}", k % 2, 0.9 - k / 10, 0.0, 0.0, 10.0, 10.0 + k) for i in range(50) for k in range(i % 4 + 1)]
+    got = postproc.soft_nms(spark.createDataFrame(rows, "image_id int, pred_id string, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"))
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["rank"] for r in got.collect() if r.image_id == 3) == [1, 2, 3, 4] and len({r.image_id for r in got.collect()}) == 50
