@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,40 +37,49 @@ def tta_merge(plain: DataFrame, mirrored: DataFrame, widths: DataFrame, over: fl
 
 
 def soft_nms(preds: DataFrame, sigma: float = 0.5, least: float = 0.01, id_col: str = "pred_id") -> DataFrame:
-    """(image_id, id, rank, conf): Gaussian soft suppression; a kept box lowers others of its class by exp(-IoU^2 / sigma)."""
+    """(image_id, id, rank, conf): Gaussian soft suppression; a kept box lowers others of its class by exp(-IoU^2 / sigma).
+
+    Images go in step: a round keeps the best box left of every image of a lot and lowers the others, so its cost is that of the boxes.
+    """
     kind = preds.schema
 
-    def one(c, s, b):
-        left, order, scores = np.arange(len(s)), [], []
-        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    def kept(image, c, s, b):
+        """(rows, ranks) of boxes in the order in which each image keeps them; image ascends, s is lowered in place."""
+        left, rank, rows, ranks = np.arange(len(s)), 0, [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        area = (b[2] - b[0]) * (b[3] - b[1])
         while len(left):
-            k = left[np.argmax(s[left])]
-            order.append(k)
-            scores.append(s[k])
-            left = left[left != k]
-            wide = np.clip(np.minimum(b[left, 2], b[k, 2]) - np.maximum(b[left, 0], b[k, 0]), 0, None)
-            inter = wide * np.clip(np.minimum(b[left, 3], b[k, 3]) - np.maximum(b[left, 1], b[k, 1]), 0, None)
+            rank += 1
+            new = np.diff(image[left], prepend=-1) != 0
+            own = np.cumsum(new) - 1
+            most = np.maximum.reduceat(s[left], np.flatnonzero(new))
+            top = np.flatnonzero((s[left] == most[own]) | np.isnan(s[left]))
+            top = top[np.diff(own[top], prepend=-1) != 0]
+            best = left[top]
+            rows.append(best)
+            ranks.append(np.full(len(best), rank, np.int32))
+            left, k = np.delete(left, top), best[np.delete(own, top)]
+            wide = np.clip(np.minimum(b[2][left], b[2][k]) - np.maximum(b[0][left], b[0][k]), 0, None)
+            inter = wide * np.clip(np.minimum(b[3][left], b[3][k]) - np.maximum(b[1][left], b[1][k]), 0, None)
             union = area[left] + area[k] - inter
             over = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
             s[left] *= np.where(c[left] == c[k], np.exp(-(over**2) / sigma), 1.0)
             left = left[s[left] > least]
-        return order, scores
-
-    def run(frames):
-        for pdf in frames:
-            images, ids, ranks, confs = [], [], [], []
-            for image, name, c, s, *box in pdf.itertuples(index=False):
-                order, scores = one(np.asarray(c), np.array(s, float), np.stack([np.asarray(x, float) for x in box], axis=1))
-                images += [image] * len(order)
-                ids += [name[k] for k in order]
-                ranks += range(1, len(order) + 1)
-                confs += scores
-            yield pd.DataFrame({"image_id": images, id_col: ids, "rank": ranks, "conf": confs})
+        return np.concatenate(rows), np.concatenate(ranks)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                some = batch.slice(at, 2_000)
+                lists = some.column(1)
+                p, image = lists.flatten(), np.repeat(np.arange(len(some)), np.diff(lists.offsets.to_numpy()))
+                number = lambda c: np.array(p.field(c).to_numpy(zero_copy_only=False), float)  # noqa: B023, E731
+                c, s = pc.dictionary_encode(p.field("class_id"), null_encoding="encode").indices.to_numpy(), number("conf")
+                rows, ranks = kept(image, c, s, [number(x) for x in ("x1", "y1", "x2", "y2")])
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(image[rows])), p.field("id").take(pa.array(rows)), pa.array(ranks), pa.array(s[rows])], ["image_id", id_col, "rank", "conf"])
 
     entry = F.struct((-F.col("conf")).alias("o"), F.col(id_col).alias("id"), "class_id", "conf", "x1", "y1", "x2", "y2")
     lists = preds.groupBy("image_id").agg(F.array_sort(F.collect_list(entry)).alias("p"))  # a detector bounds an image's predictions
-    lists = lists.select("image_id", *(F.col(f"p.{c}").alias(c) for c in ("id", "class_id", "conf", "x1", "y1", "x2", "y2")))
-    return lists.mapInPandas(run, f"image_id {kind['image_id'].dataType.simpleString()}, {id_col} {kind[id_col].dataType.simpleString()}, rank int, conf double")
+    return lists.mapInArrow(run, f"image_id {kind['image_id'].dataType.simpleString()}, {id_col} {kind[id_col].dataType.simpleString()}, rank int, conf double")
 
 
 def score(images: DataFrame, predict_fn, schema: str = "image_id bigint, class_id int, conf double, x1 double, y1 double, x2 double, y2 double") -> DataFrame:

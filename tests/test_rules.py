@@ -404,3 +404,16 @@ def test_soft_nms_goes_over_images_in_step(spark):
     got = postproc.soft_nms(spark.createDataFrame(rows, "image_id int, pred_id string, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"))
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["rank"] for r in got.collect() if r.image_id == 3) == [1, 2, 3, 4] and len({r.image_id for r in got.collect()}) == 50
+
+
+def test_occluder_is_the_first_try_that_fits(spark):
+    """Tries are worked out one after another; the one found is the first of all that fit."""
+    from boxloom.functions import geometry as g
+
+    boxes = [(i, 0.1 * (i % 9) + 0.05, 0.1 * k + 0.05, 0.02, 0.02) for i in range(30) for k in range(10)]
+    per = spark.createDataFrame(boxes, "i int, cx double, cy double, w double, h double").groupBy("i").agg(F.collect_list(F.struct("cx", "cy", "w", "h")).alias("b"))
+    size = F.lit(640), F.lit(480)
+    tries = F.flatten(F.array(*(g.occluder_try(F.col("i"), *size, F.lit(n)) for n in range(1, 16))))
+    for r in per.select("b", tries.alias("tries"), g.occluder(F.col("i"), F.col("b"), *size).alias("found")).collect():
+        covers = lambda t, b: t.x1 <= math.floor(b.cx * 640) <= t.x1 + t.w and t.y1 <= math.floor(b.cy * 480) <= t.y1 + t.h and t.w * t.h > max(1, math.floor(b.w * 640) * math.floor(b.h * 480)) * 0.6
+        assert r.found == [t for t in r.tries if not any(covers(t, b) for b in r.b)][:1]
