@@ -127,26 +127,28 @@ def mosaic_keeps(box: list[Column]) -> Column:
     return (box[2] - box[0] > 2) & (box[3] - box[1] > 2)
 
 
-def occluder_tries(key: Column, width: Column, height: Column, tries: int = 15) -> Column:
-    """array<struct<n,x1,y1,w,h>>: rectangles of a twelfth to a fifth of the image (at least 18 to 24 pixels), drawn from a hash of key and try."""
+def occluder_try(key: Column, width: Column, height: Column, n: Column) -> Column:
+    """array<struct<n,x1,y1,w,h>> of one: a rectangle of a twelfth to a fifth of the image (at least 18 to 24 pixels), drawn from a hash of key and try n."""
 
     # each step sees what the one before has worked out, so a try costs one digest
     draw = lambda d, at, lo, hi: (lo + F.conv(F.substring(d, at, 7), 16, 10).cast("bigint") % (hi - lo + 1)).cast("bigint")
     reach = lambda x: (F.greatest(F.lit(18), F.floor(x / 12)), F.greatest(F.lit(24), F.floor(x / 5)))
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda n: F.struct(n.alias("n"), F.md5(F.concat_ws("|", F.lit("occluder"), key.cast("string"), n.cast("string"))).alias("d")))
+    drawn = F.array(F.struct(n.alias("n"), F.md5(F.concat_ws("|", F.lit("occluder"), key.cast("string"), n.cast("string"))).alias("d")))
     sized = F.transform(drawn, lambda t: F.struct(t["n"].alias("n"), t["d"].alias("d"), draw(t["d"], 1, *reach(width)).alias("w"), draw(t["d"], 8, *reach(height)).alias("h")))
     place = lambda t, at, whole, side: draw(t["d"], at, F.lit(0), F.greatest(F.lit(0), whole - t[side]))
     return F.transform(sized, lambda t: F.struct(t["n"].alias("n"), place(t, 15, width, "w").alias("x1"), place(t, 22, height, "h").alias("y1"), t["w"].alias("w"), t["h"].alias("h")))
 
 
-def occluder(tries: Column, boxes: Column, width: Column, height: Column) -> Column:
+def occluder(key: Column, boxes: Column, width: Column, height: Column, tries: int = 15) -> Column:
     """An array of the first try that holds no box's centre while its area is over 0.6 of that box; empty if there is none. boxes: array<struct<cx,cy,w,h>>.
 
-    Explode it: fields taken from a struct in it would each work out all tries anew.
+    Tries after the first that fits are not worked out. Explode it: fields taken from a struct in it would each work it out anew.
     """
 
     def covers(t, b):
         x, y, area = F.floor(b["cx"] * width), F.floor(b["cy"] * height), F.floor(b["w"] * width) * F.floor(b["h"] * height)
         return x.between(t["x1"], t["x1"] + t["w"]) & y.between(t["y1"], t["y1"] + t["h"]) & (t["w"] * t["h"] > F.greatest(F.lit(1), area) * 0.6)
 
-    return F.slice(F.filter(tries, lambda t: ~F.exists(boxes, lambda b: covers(t, b))), 1, 1)
+    fits = lambda n: F.filter(occluder_try(key, width, height, n), lambda t: ~F.exists(boxes, lambda b: covers(t, b)))
+    none = F.expr("cast(array() as array<struct<n:int,x1:bigint,y1:bigint,w:bigint,h:bigint>>)")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(tries)), none, lambda found, n: F.when(F.size(found) > 0, found).otherwise(fits(n)))

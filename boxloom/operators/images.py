@@ -83,8 +83,8 @@ def with_occluders(plan: DataFrame, sizes: DataFrame, boxes: DataFrame, profile:
     per = boxes.groupBy("image_id").agg(F.collect_list(F.struct("cx", "cy", "w", "h")).alias("_boxes"))
     wide = plan.join(sizes.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id").join(per, "image_id", "left")
     size, none = (F.col("_w"), F.col("_h")), F.expr("cast(array() as array<struct<cx:double,cy:double,w:double,h:double>>)")
-    tries = g.occluder_tries(F.concat_ws("|", "image_id", "pass"), *size, OCCLUDER_TRIES[profile])
-    return wide.select(*plan.columns, F.explode_outer(g.occluder(tries, F.coalesce("_boxes", none), *size)).alias("occluder"))
+    found = g.occluder(F.concat_ws("|", "image_id", "pass"), F.coalesce("_boxes", none), *size, OCCLUDER_TRIES[profile])
+    return wide.select(*plan.columns, F.explode_outer(found).alias("occluder"))
 
 
 def _resize_weights(n: int, m: int) -> np.ndarray:

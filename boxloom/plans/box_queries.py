@@ -379,4 +379,4 @@ def _(v):
     boxes = v("fx_boxes").groupBy("image_id").agg(F.collect_list(F.struct("cx", "cy", "w", "h")).alias("boxes"))
     wide = v("fx_images").join(boxes, "image_id", "left").withColumn("boxes", F.coalesce("boxes", F.expr("cast(array() as array<struct<cx:double,cy:double,w:double,h:double>>)")))
     size = F.col("width"), F.col("height")
-    return wide.select("image_id", F.explode(g.occluder(g.occluder_tries(F.col("image_id"), *size), F.col("boxes"), *size)).alias("o")).select("image_id", "o.*")
+    return wide.select("image_id", F.explode(g.occluder(F.col("image_id"), F.col("boxes"), *size)).alias("o")).select("image_id", "o.*")

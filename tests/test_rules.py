@@ -417,3 +417,10 @@ def test_occluder_is_the_first_try_that_fits(spark):
     for r in per.select("b", tries.alias("tries"), g.occluder(F.col("i"), F.col("b"), *size).alias("found")).collect():
         covers = lambda t, b: t.x1 <= math.floor(b.cx * 640) <= t.x1 + t.w and t.y1 <= math.floor(b.cy * 480) <= t.y1 + t.h and t.w * t.h > max(1, math.floor(b.w * 640) * math.floor(b.h * 480)) * 0.6
         assert r.found == [t for t in r.tries if not any(covers(t, b) for b in r.b)][:1]
+
+
+def test_a_plan_works_out_each_digest_once(spark):
+    plan = images.degrade_plan(spark.range(3).select(F.col("id").alias("image_id"), F.lit("warm").alias("pass")))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("md5(") == len(images.PROFILES["train"])
+    ranked = images.degrade_plan(sampling.webcam_plan(spark.range(3).withColumnRenamed("id", "image_id"), 1.0)).select("image_id", "ops")
+    assert "Window [row_number" not in ranked._jdf.queryExecution().optimizedPlan().toString()
