@@ -399,6 +399,19 @@ def test_grid_assignment_deals_boxes_before_they_become_rows_of_scales(spark):
     assert len(dealt) == 1 and "anchor_id" not in dealt[0]
 
 
+def test_near_search_turns_one_bit_on_both_sides(spark):
+    """66 rows a hash on each side instead of 696 on one; every pair of every split pair once, also for hashes of several splits."""
+    assert dedup._turned(spark.createDataFrame([(5,), (2**62,)], "left_h bigint"), "left_h", 8, 63).count() == 2 * 66
+    rng = random.Random(12)
+    base = [rng.getrandbits(63) for _ in range(12)]
+    turned = [h ^ sum(1 << k for k in rng.sample(range(63), d)) for h in base for d in (0, 1, 2, 3, 6, 8, 9)]
+    items = [(k, rng.choice(["train", "valid", "test"]), h) for k, h in enumerate([*base, *turned, None])]
+    frame = spark.createDataFrame(items, "item_id int, split string, h bigint")
+    want = sorted((sa, a, sb, b, bin(x ^ y).count("1")) for a, sa, x in items[:-1] for b, sb, y in items[:-1] if (sa, sb) in dedup.SPLIT_PAIRS and bin(x ^ y).count("1") <= 8)
+    assert sorted(tuple(r) for r in dedup.leak_near(frame).collect()) == want and want
+    assert sorted(r.item_id for r in dedup.removals_near(frame).collect()) == sorted({w[1] for w in want})
+
+
 def test_soft_nms_goes_over_images_in_step(spark):
     rows = [(i, f"{i}-{k}", k % 2, 0.9 - k / 10, 0.0, 0.0, 10.0, 10.0 + k) for i in range(50) for k in range(i % 4 + 1)]
     got = postproc.soft_nms(spark.createDataFrame(rows, "image_id int, pred_id string, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"))
