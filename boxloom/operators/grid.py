@@ -7,11 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.functions.geometry import corners, encode, iou
-from boxloom.operators.targets import anchor_table
+from boxloom.functions.geometry import encode
 
 
 @dataclass(frozen=True)
@@ -146,21 +145,76 @@ def _best(box, shapes: list[tuple]):
     return best, over
 
 
-def _met(grid: Grid, least: float):
-    """Rows (image_id, nr, bx, by, bw, bh) -> (image_id, nr, anchor_id, iou, forced): overlaps from `least` on, and each box's best anchor as forced."""
-    shapes = grid.table()
+def _first(image, anchor, over, row, forced):
+    """Each anchor of an image once: with its highest IoU, the first row of equal ones, and whether any is forced."""
+    order = np.lexsort((row, -over, anchor, image))
+    image, anchor, over, row, forced = (x[order] for x in (image, anchor, over, row, forced))
+    first = np.flatnonzero((np.diff(image, prepend=-1) != 0) | (np.diff(anchor, prepend=-1) != 0))
+    any_forced = np.logical_or.reduceat(forced, first) if len(first) else forced[:0]
+    return image[first], anchor[first], over[first], row[first], any_forced
+
+
+def _placed(anchor, shapes: list[tuple], ratios: int):
+    """Centres and sides (ax, ay, aw, ah) of anchors by id."""
+    first = np.array([s[2] for s in shapes[::ratios]])
+    scale = np.searchsorted(first, anchor, "right") - 1
+    at, k = (anchor - first[scale]) // ratios, (anchor - first[scale]) % ratios
+    n, stride, aw, ah = (np.array([s[c] for s in shapes])[scale * ratios + k] for c in (0, 1, 4, 5))
+    return (at % n + 0.5) * stride, (at // n + 0.5) * stride, aw, ah
+
+
+def _shared(a, b):
+    """IoU of anchors and boxes, arrays of equal length."""
+    both, one, other = 1.0, 1.0, 1.0
+    for k in (0, 1):
+        low, high, b1, b2 = a[k] - a[k + 2] / 2, a[k] + a[k + 2] / 2, b[k] - b[k + 2] / 2, b[k] + b[k + 2] / 2
+        both, one, other = both * np.maximum(np.minimum(high, b2) - np.maximum(low, b1), 0.0), one * (high - low), other * (b2 - b1)
+    whole = one + other - both
+    return np.divide(both, whole, out=np.zeros(len(both)), where=whole > 0)
+
+
+def _judged(image, starts, sizes, box, shapes, ratios: int, pos: float, neg: float, lot: int):
+    """(anchor_id, row, forced, iou) of the anchors that are forced or reach `neg` in whole images; rows of an image are together, in the order of its ties."""
+    least, held = min(pos, neg), [np.empty(0, d) for d in (np.int64, np.int64, float, np.int64, bool)]
+    for at in range(0, len(image), lot):
+        part = [c[at : at + lot] for c in box]
+        best, over = _best(part, shapes)
+        found = [_overlaps(part, s, least) for s in shapes] + [(np.arange(len(best)), best, over)]
+        row, anchor, iou_ = (np.concatenate(x) for x in zip(*found, strict=True))
+        new = image[row + at], anchor, iou_, row + at, np.arange(len(row)) >= len(row) - len(best)
+        held = _first(*(np.concatenate(x) for x in zip(held, new, strict=True)))
+    own, anchor, over, row, forced = held
+    # forced anchors that share less than that with every box are not among the overlaps, so they are held against every box of the image
+    low = np.flatnonzero(over < least)
+    pieces = np.cumsum(sizes[own[low]]) // 1_000_000
+    for some in np.split(low, np.flatnonzero(np.diff(pieces)) + 1) if len(low) else []:
+        many = sizes[own[some]]
+        at = np.repeat(some, many)
+        rows = np.arange(len(at)) + np.repeat(starts[own[some]] - np.cumsum(many) + many, many)
+        _, _, over[some], row[some], _ = _first(own[at], anchor[at], _shared(_placed(anchor[at], shapes, ratios), [c[rows] for c in box]), rows, forced[at])
+    keep = forced | (over >= neg)
+    return anchor[keep], row[keep], forced[keep], over[keep]
+
+
+def _told(grid: Grid, pos: float, neg: float):
+    """Lists of boxes by image -> (image_id, anchor_id, forced, iou, box_id, class_id, bx, by, bw, bh, ax, ay, aw, ah), some whole images at a time."""
+    shapes, ratios = grid.table(), len(grid.ratios)
+    lot = 2_000 if grid.count > 10_000 else 20_000  # boxes looked at together, by how many anchors one can meet
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                some = batch.slice(at, 2_000)
-                box = [some.column(k).to_numpy().astype(float) for k in range(2, 6)]
-                best, over = _best(box, shapes)
-                parts = [_overlaps(box, s, least) for s in shapes] + [(np.arange(len(best)), best, over)]
-                row, anchor, iou_ = (np.concatenate(x) for x in zip(*parts, strict=True))
-                forced = np.arange(len(row)) >= len(row) - len(best)
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            lots = np.flatnonzero(np.diff(np.cumsum(sizes) // lot, prepend=-1))
+            for at, end in zip(lots.tolist(), [*lots[1:].tolist(), len(sizes)], strict=True):
+                some, many = batch.slice(at, end - at), sizes[at:end].astype(np.int64)
+                p = some.column(1).flatten()
+                box = [p.field(c).to_numpy().astype(float) for c in ("bx", "by", "bw", "bh")]
+                image = np.repeat(np.arange(len(many)), many)
+                anchor, row, forced, over = _judged(image, np.cumsum(many) - many, many, box, shapes, ratios, pos, neg, lot)
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([some.column(0).take(rows), some.column(1).take(rows), pa.array(anchor.astype(np.int32)), pa.array(iou_), pa.array(forced)], ["image_id", "nr", "anchor_id", "iou", "forced"])
+                sides = [pa.array(x.astype(float)) for x in (*(c[row] for c in box), *_placed(anchor, shapes, ratios))]
+                cells = [some.column(0).take(pa.array(image[row])), pa.array(anchor.astype(np.int32)), pa.array(forced), pa.array(over), p.field("box_id").take(rows), p.field("class_id").take(rows), *sides]
+                yield pa.RecordBatch.from_arrays(cells, ["image_id", "anchor_id", "forced", "iou", "box_id", "class_id", "bx", "by", "bw", "bh", "ax", "ay", "aw", "ah"])
 
     return run
 
@@ -170,25 +224,14 @@ def assign_iou(boxes: DataFrame, grid: Grid = Grid(), pos: float = 0.5, neg: flo
 
     An anchor takes its best box: positive from pos, negative below neg, else ignored. The best anchor of every box is positive
     too, with that anchor's own best box, the smallest box id of equal ones. All other anchors of the grid are negative:
-    `negative_counts` counts them, `negatives` lists them.
+    `negative_counts` counts them, `negatives` lists them. Boxes are dealt by image once, and an image's boxes are a unit of work.
     """
     columns = ["image_id", "box_id", "class_id", "bx", "by", "bw", "bh"]
-    boxes = boxes.select(columns)
-    boxes = boxes.where(" and ".join(f"{c} is not null" for c in columns[3:])).withColumn("nr", F.row_number().over(Window.partitionBy("image_id").orderBy("box_id")))
-    placed = F.broadcast(anchor_table(boxes.sparkSession, grid.size, grid.cells, grid.scales, grid.ratios))  # the grid's own size bounds it
-    kind = boxes.schema["image_id"].dataType.simpleString()
-    met = boxes.select("image_id", "nr", "bx", "by", "bw", "bh").mapInArrow(_met(grid, min(pos, neg)), f"image_id {kind}, nr int, anchor_id int, iou double, forced boolean")
-    # an IoU times 2^54 is whole above a quarter and close to it below; with the box's number it is one number, whose maximum needs no sorting
-    own = F.max(F.expr("cast(iou * 18014398509481984 as decimal(20,0)) * 1000000000bd - nr")).alias("b")
-    judged = met.groupBy("image_id", "anchor_id").agg(own, F.max("forced").alias("forced"), F.max("iou").alias("most"))
-    # forced anchors that share less than that with every box: at most the grid's, so each box of the image meets a bounded number
-    rest = judged.where(F.col("most") < min(pos, neg)).select("image_id", "anchor_id").join(boxes, "image_id")
-    rest = rest.join(placed, "anchor_id").withColumn("iou", iou(corners(*_anchor()), corners(*_box())))
-    rest = rest.groupBy("image_id", "anchor_id").agg(F.min_by("nr", F.struct(-F.col("iou"), F.col("nr"))).alias("nr")).withColumn("forced", F.lit(True))
-    told = judged.where(F.col("most") >= min(pos, neg)).select("image_id", "anchor_id", "forced", "most", F.expr("cast(ceil(b / 1000000000bd) * 1000000000bd - b as int)").alias("nr"))
-    rows = told.unionByName(rest, allowMissingColumns=True).join(boxes, ["image_id", "nr"]).join(placed, "anchor_id").withColumn("iou", F.col("most"))
-    state = F.when(F.col("forced") | (F.col("iou") >= pos), "positive").when(F.col("iou") >= neg, "ignored")
-    rows = rows.withColumn("state", state).where("state is not null")
+    kind = {c: boxes.schema[c].dataType.simpleString() for c in columns[:3]}
+    boxes = boxes.select(*columns[:3], *(F.col(c).cast("double") for c in columns[3:])).where(" and ".join(f"{c} is not null" for c in columns[3:]))
+    lists = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*columns[1:]))).alias("p"))
+    told = lists.mapInArrow(_told(grid, pos, neg), f"image_id {kind['image_id']}, anchor_id int, forced boolean, iou double, box_id {kind['box_id']}, class_id {kind['class_id']}, " + ", ".join(f"{c} double" for c in ("bx", "by", "bw", "bh", "ax", "ay", "aw", "ah")))
+    rows = told.withColumn("state", F.when(F.col("forced") | (F.col("iou") >= pos), "positive").otherwise("ignored"))
     hit = F.col("state") == "positive"
     offsets = [F.when(hit, c).alias(n) for c, n in zip(encode(_anchor(), _box()), ("tx", "ty", "tw", "th"), strict=True)]
     return rows.select("image_id", "anchor_id", "state", F.when(hit, F.col("class_id")).alias("class_id"), F.when(hit, F.col("box_id")).alias("box_id"), *offsets)

@@ -49,10 +49,14 @@ def _(v):
 
 
 def _states(v, anchors):
-    found = grid.assign_iou(_px(v), anchors)
-    told = found.groupBy("image_id", "state").agg(F.count("*").alias("anchors"), F.count("box_id").alias("boxes"), F.coalesce(F.sum("class_id"), F.lit(0)).alias("classes"))
-    rest = grid.negative_counts(found, v("fx_images"), anchors).where("anchors > 0").select("image_id", F.lit("negative").alias("state"), "anchors", F.lit(0).alias("boxes"), F.lit(0).alias("classes"))
-    return told.unionByName(rest)
+    """Counts by image and state; what is found is read once, and the negative anchors are the rest of each image's grid."""
+    hit = F.col("state") == "positive"
+    found = grid.assign_iou(_px(v), anchors).groupBy("image_id").agg(F.count(F.when(hit, 1)).alias("p"), F.count(F.when(~hit, 1)).alias("i"), F.count("box_id").alias("boxes"), F.coalesce(F.sum("class_id"), F.lit(0)).alias("classes"))
+    wide = found.join(v("fx_images").select("image_id").distinct().withColumn("listed", F.lit(True)), "image_id", "full")
+    none = F.lit(0).cast("bigint")
+    state = lambda name, n, *own: F.struct(F.lit(name).alias("state"), n.alias("anchors"), *(c.alias(x) for c, x in zip(own or (none, none), ("boxes", "classes"), strict=True)))
+    rest = F.when(F.col("listed"), F.lit(anchors.count) - F.coalesce("p", none) - F.coalesce("i", none))
+    return wide.select("image_id", F.inline(F.array(state("positive", F.col("p"), F.col("boxes"), F.col("classes")), state("ignored", F.col("i")), state("negative", rest)))).where("anchors > 0")
 
 
 @query("j10_assign_grid", f"""

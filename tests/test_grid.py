@@ -78,3 +78,13 @@ def test_centres_inside_anchors(spark):
     table = anchors(TOY)
     want = {(b[0], b[1], a) for b in boxes for a in np.flatnonzero((abs(b[3] - table[:, 0]) <= table[:, 2] / 2) & (abs(b[4] - table[:, 1]) <= table[:, 3] / 2)).tolist()}
     assert {(r.image_id, r.box_id, r.anchor_id) for r in grid.anchors_around(spark.createDataFrame(boxes, SCHEMA), TOY).collect()} == want
+
+
+def test_boxes_are_dealt_once_and_lots_do_not_matter(spark):
+    found = grid.assign_iou(spark.createDataFrame(awkward(6), SCHEMA), TOY)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    own = sorted(b for b in awkward(6) if b[0] < 3)
+    many = np.bincount([b[0] for b in own])
+    image, box = np.repeat(np.arange(3), many), [np.array([b[k] for b in own]) for k in range(3, 7)]
+    whole, cut = (grid._judged(image, np.cumsum(many) - many, many, box, TOY.table(), 3, 0.5, 0.4, lot) for lot in (1000, 2))
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True)) and len(whole[0])
