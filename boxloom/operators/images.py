@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -59,10 +61,12 @@ def degrade_plan(plan: DataFrame, seed=42, profile: str = "train") -> DataFrame:
     Occlusion, when picked, comes last; its p1 is the number of its colour. Parameters are drawn by further digits of the hash. A pass
     that the profile has no cast for gets the profile's first.
     """
-    entries = []
-    for name, (chance, *draws) in PROFILES[profile].items():
-        h = F.md5(F.concat_ws("|", F.lit("plan"), F.lit(str(seed)), "image_id", "pass", F.lit(name)))
-        unit = lambda at: F.conv(F.substring(h, at, 6), 16, 10).cast("double") / 16777216.0
+    entries, picks, digests = [], [], {}
+    for at, (name, (chance, *draws)) in enumerate(PROFILES[profile].items()):
+        # a column of its own, so a digest is worked out once for all that is drawn from it
+        digests[f"_h{at}"] = F.md5(F.concat_ws("|", F.lit("plan"), F.lit(str(seed)), "image_id", "pass", F.lit(name)))
+        h = F.col(f"_h{at}")
+        unit = lambda at: F.conv(F.substring(h, at, 6), 16, 10).cast("double") / 16777216.0  # noqa: B023, E731
         kinds = draws[0] if name == "cast" else {"": draws}
         made = {k: [_drawn(unit(7 + 6 * n), *d) for n, d in enumerate(own)] + [F.lit(None).cast("double")] * (3 - len(own)) for k, own in kinds.items()}
         first = next(iter(made))
@@ -70,9 +74,14 @@ def degrade_plan(plan: DataFrame, seed=42, profile: str = "train") -> DataFrame:
         for k in list(made)[1:]:
             chosen = [F.when(F.col("pass") == k, mine).otherwise(other) for mine, other in zip(made[k], chosen, strict=True)]
         op = F.concat(F.when(F.col("pass").isin(*made), F.col("pass")).otherwise(first), F.lit("_cast")) if name == "cast" else F.lit(name)
-        entries.append(F.struct(F.lit(name == "occlusion").alias("last"), F.substring(h, 7, 26).alias("h"), op.alias("op"), (unit(1) < chance).alias("on"), *(c.cast("double").alias(f"p{n}") for n, c in enumerate(chosen, 1))))
-    picked = F.array_sort(F.filter(F.array(*entries), lambda e: e["on"]))
-    return plan.withColumn("ops", F.transform(picked, lambda e: F.struct(*(e[c].alias(c) for c in ("op", "p1", "p2", "p3")))))
+        on = F.lit(True) if chance >= 1 else unit(1) < chance  # a unit is below 1
+        drawn = [c.cast("double") if chance >= 1 else F.when(on, c.cast("double")) for c in chosen]
+        entries.append(F.struct((~on).alias("off"), F.lit(name == "occlusion").alias("last"), F.substring(h, 7, 26).alias("h"), op.alias("op"), *(c.alias(f"p{n}") for n, c in enumerate(drawn, 1))))
+        picks.append(on.cast("int"))
+    # functions of lambdas are not compiled, nor is what stands inside them: entries are sorted and cut without any
+    told = plan.repartition(*(F.col(c) for c in ("image_id", "pass"))).withColumns(digests)  # digests cost more than dealing the keys to all cores
+    told = told.withColumn("_s", F.slice(F.sort_array(F.array(*entries)), F.lit(1), reduce(Column.__add__, picks)))
+    return told.withColumn("ops", F.arrays_zip("_s.op", "_s.p1", "_s.p2", "_s.p3")).drop("_s", *digests)
 
 
 def with_occluders(plan: DataFrame, sizes: DataFrame, boxes: DataFrame, profile: str = "train") -> DataFrame:

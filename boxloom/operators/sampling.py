@@ -232,7 +232,7 @@ def webcam_plan(images: DataFrame, fraction: float = 0.4, dual: bool = True, see
     """(new_index, image_id, pass): the first max(1, n * fraction) images of the shuffle, for one or two passes."""
     ranked = global_rank(images.select("image_id").withColumn("_t", turn(seed, "image_id")), "_t", "image_id")
     n = F.greatest(F.lit(1), F.floor(F.col("total") * fraction))
-    picked = ranked.where(F.col("rank") <= n).select("image_id", "rank", n.alias("n"))
+    picked = (ranked if fraction == 1 else ranked.where(F.col("rank") <= n)).select("image_id", "rank", n.alias("n"))  # without a cut nothing is ranked for whom the index does not matter
     passes = F.array(*map(F.lit, ["warm", "cool"] if dual else ["warm"]))
     return picked.select("image_id", "rank", "n", F.posexplode(passes).alias("p", "pass")).select((F.col("p") * F.col("n") + F.col("rank") - 1).alias("new_index"), "image_id", "pass")
 
