@@ -144,6 +144,7 @@ _NEAR_COPY = "EXISTS (SELECT 1 FROM f WHERE bit_count(xor(f.h, xor(p.h, ((CAST(1
 def _(v):
     """Vectors as images of one box; a copy's hash is its image's with some bits of the middle flipped, and many are near the held-out ones."""
     items = v("fx_hash64").where("split = 'train' and class_id is not null").selectExpr("cast(item_id as bigint) as image_id", "cast(class_id % 8 as int) as class_id", "h")
+    items = sampling._written(items, "items")  # each stretch of the queue reads them
     flips = F.expr("shiftleft(shiftleft(1L, cast((k * 7 + image_id) % 12 as int)) - 1, 20)")
     hashed = lambda copies: copies.join(items.select("image_id", "h"), "image_id", "left").withColumn("h", F.col("h").bitwiseXOR(flips))
     return sampling.topup_plan(items.select("image_id", "class_id"), items.count() // 6, 100_000, hashed=hashed, forbidden=v("fx_near").where("split <> 'train'").select("h"))
