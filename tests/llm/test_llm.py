@@ -405,6 +405,30 @@ def test_op10_base_and_gain(spark, docs, odd, nothing):
     assert pitmanyor.scores(odd).count() == len(ODD) and pitmanyor.scores(nothing).collect() == []
 
 
+def test_op10_rows_are_buckets_and_scores_hang_on_no_partitioning(spark, docs, monkeypatch):
+    """What is stored is a few rows per chunk and bucket, not rows per pair, word or sweep; other partitions and chunks give the same scores."""
+    rows, pairs, again = [], Counter(), 0
+    for name in ("stored", "parted"):
+        if hasattr(pitmanyor.Tables, name):
+            whole = getattr(pitmanyor.Tables, name)
+
+            def counted(self, df, *more, whole=whole):
+                out = whole(self, df, *more)
+                rows.append(out.where("kind <> 'char'").count() if "kind" in out.columns else out.count())
+                return out
+
+            monkeypatch.setattr(pitmanyor.Tables, name, counted)
+    one = {r.doc_id: r.score for r in pitmanyor.scores(docs.coalesce(1)).collect()}
+    for r in docs.collect():
+        w = [None, *words(r.text), None]
+        pairs.update(zip(w, w[1:], strict=False) if zlib.crc32(str(r.doc_id).encode()) % 10 else ())
+    again = sum(n > 1 for n in pairs.values())
+    assert again > 1_000 and sum(rows) < again
+    monkeypatch.undo()
+    other = {r.doc_id: r.score for r in pitmanyor.scores(docs.repartition(5), pitmanyor.PitmanYor(chunk_tokens=5_000)).collect()}
+    assert other == pytest.approx(one, rel=1e-9)
+
+
 def test_op10_seating():
     rng = np.random.default_rng(1)
     c = np.array([0, 1, 2, 50, 5000] * 200)
