@@ -61,6 +61,18 @@ def test_op11_spans_and_texts(spark):
     assert got == {"-pppppq": [(6, 26)], "é": [(2, 22)]}
 
 
+def test_op11_passages_by_bytes_not_words(spark):
+    """A passage of over 50 words goes where it has 400 bytes, and stays below; n_bytes tells neither."""
+    rng = random.Random(7)
+    said = lambda n, k: " ".join("".join(rng.choice("abcdefghij") for _ in range(k)) for _ in range(n))
+    long, short = said(55, 8), said(55, 5)
+    texts = [f"{said(40, 6)} 1{long}2 {said(9, 6)}", f"{said(3, 6)} 3{long}4 {said(70, 6)}", f"{said(20, 6)} 5{short}6", f"{said(8, 6)} 7{short}8 {said(5, 6)}"]
+    docs = spark.createDataFrame([(k, t, "x", k, 1) for k, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.summaries(docs).collect()}
+    assert len(short) < 400 < len(long) and [got[k][:2] for k in range(4)] == [(len(t), len(long) * (k < 2)) for k, t in enumerate(texts)]
+    assert got == dict(enumerate(brute(texts, 400)))
+
+
 def test_op11_nothing(spark):
     assert repeats.summaries(spark.createDataFrame([], SCHEMA), SMALL).count() == 0
 
