@@ -216,7 +216,7 @@ def _chunked(config: PitmanYor, bits: int):
                 seen += len(own)
             sequences += lists
             held_out += batch.column(2).to_pylist()
-            table = packed([("doc", 0, chunk, len(x), x.astype("<i4").tobytes(), None) for x in lists])
+            table = packed([("doc", 0, chunk, len(x), planes(x), None) for x in lists])
             yield from table.append_column("id", batch.column(0)).append_column("held_out", batch.column(2)).to_batches()
             if seen > config.chunk_tokens or len(index) > config.chunk_words:
                 yield from closed()
@@ -259,7 +259,7 @@ def _parted(rows: pa.Table):
     """(documents of a chunk, their sequences, what else is in the group by kind)."""
     is_doc = pa.compute.equal(rows.column("kind"), "doc")
     docs = rows.filter(is_doc)
-    return docs, [np.frombuffer(x, "<i4") for x in docs.column("a").to_pylist()], unpacked(rows.filter(pa.compute.invert(is_doc)), "at")
+    return docs, [from_planes(x, "<i4", n) for x, n in zip(docs.column("a").to_pylist(), docs.column("n").to_pylist(), strict=True)], unpacked(rows.filter(pa.compute.invert(is_doc)), "at")
 
 
 def _named(bits: int):
@@ -651,7 +651,9 @@ def scores(docs: DataFrame, config: PitmanYor = PitmanYor(), id_col: str = "doc_
 
     told = kept.parted(grouped("at", _counted, chunks("pair")), "told")
     removed(spark, f"{path}/kind=pair")
+    kept.swept()
     named = kept.parted(grouped("who", _named(bits), from_chunks(), of(told, "told")), "named")
+    kept.swept()
     links = kept.parted(grouped("at", _linked(bits), of(told, "count"), of(named, "name")), "links")
     words = kept.parted(grouped("at", _vocabulary, chunks("word"), of(named, "once"), of(links, "ask")), "vocabulary")
     kept.drop(named)
