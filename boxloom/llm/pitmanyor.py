@@ -6,10 +6,12 @@ spells words character by character, by a hierarchy of restaurants: each pair of
 same character share a parent, and all parents share the root. A table of the word restaurant is a customer of the spelling
 restaurants, and a table of a child is a customer of its parent.
 
-Gibbs sweeps seat all customers anew, given the table totals of the last sweep. Pairs and words are seated where Spark keeps them; a
-pair seen once has one table in every sweep, so only pairs seen again are rows. Characters outside the `symbols` most frequent ones
-share one symbol, so the spelling counts are a cube of at most (symbols + 2)^3 numbers whatever the corpus, and only that cube meets
-on the driver. Sweeps after `burn_in` are averaged into the predictive probability.
+Gibbs sweeps seat all customers anew, given the table totals of the last sweep. Words lie in buckets of their hashes and pairs in
+buckets of theirs, each a row of arrays in the order of the hash. A bucket of words tells every bucket of pairs the tables and
+probabilities of the words that it holds pairs of; there the pairs are seated, and the tables by first and second word go back, in the
+same order. A pair seen once has one table in every sweep, so only pairs seen again are seated. Characters outside the `symbols` most
+frequent ones share one symbol, so the spelling counts are a cube of at most (symbols + 2)^3 numbers whatever the corpus, and only that
+cube meets on the driver. Sweeps after `burn_in` are averaged into the predictive probability.
 
 Texts are read once. A chunk of documents becomes sequences over its own word list, and the sorted hashes of its distinct pairs, as
 gaps, with their counts. Buckets of hashes count them over the corpus and tell every chunk which of its pairs were seen never, once or
