@@ -93,6 +93,7 @@ def _near(left: DataFrame, right: DataFrame, within: int, bits: int) -> DataFram
     distance 0 or 1 of each band, so such bands share a value: 1 + w rows a band on each side, where one side alone would need
     1 + w + w(w-1)/2. Of the values they share one counts (a single turned bit is the left's, of two the left turns the lower), and
     of the bands the first, so no pair comes twice and none is missed. Bands of about 21 bits keep candidates rare.
+    Spark sizes a side by its hashes, not by the rows they become, and would broadcast it: a merge join is asked for.
     """
     n = within // 3 + 1
     b = _turned(right, "right_h", within, bits).withColumnRenamed("band", "_band")
@@ -101,7 +102,7 @@ def _near(left: DataFrame, right: DataFrame, within: int, bits: int) -> DataFram
     for k, x in enumerate(_bands(apart, bits, n)[:-1]):
         once &= (F.col("band") <= k) | (F.bit_count(x) > 2)
     dist = F.bit_count(apart)
-    met = _turned(left, "left_h", within, bits).join(b, "key").where(once & (dist <= within))
+    met = _turned(left, "left_h", within, bits).join(b.hint("merge"), "key").where(once & (dist <= within))
     return met.select(*left.columns, *right.columns, dist.alias("dist"))
 
 
