@@ -442,7 +442,7 @@ def test_a_plan_works_out_each_digest_once(spark):
 
 def broadcast_keys(frame):
     """What the broadcast joins of the plan that ran join by."""
-    frame.collect()
+    assert frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "isFinalPlan=true" in plan and "key#" in plan
     return re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)
@@ -451,10 +451,14 @@ def broadcast_keys(frame):
 def near_items(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(63) for _ in range(30)]
-    items = [(k, ("train", "valid", "test")[k % 3], h) for k, h in enumerate([*base, *(h ^ (1 << rng.randrange(63)) for h in base[:9])])]
+    items = [(k, ("train", "valid", "test")[(k + k // 30) % 3], h) for k, h in enumerate([*base, *(h ^ (1 << rng.randrange(63)) for h in base[:9])])]
     return spark.createDataFrame(items, "item_id int, split string, h bigint")
 
 
 def test_leak_near_broadcasts_no_turned_hashes(spark):
     """Their size is told from the hashes before each becomes 66 rows, so a threshold does not keep them from the driver."""
     assert not [k for k in broadcast_keys(dedup.leak_near(near_items(spark))) if "key#" in k]
+
+
+def test_removals_near_broadcasts_no_turned_hashes(spark):
+    assert not [k for k in broadcast_keys(dedup.removals_near(near_items(spark))) if "key#" in k]
