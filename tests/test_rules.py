@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import names
 from boxloom.operators import dedup, evaluate, history, images, labels, postproc, sampling, targets
+from boxloom.plans.catalog import QUERIES
 from boxloom.sources import annotations, sinks
 from boxloom.streaming import monitor
 
@@ -462,3 +463,7 @@ def test_leak_near_broadcasts_no_turned_hashes(spark):
 
 def test_removals_near_broadcasts_no_turned_hashes(spark):
     assert not [k for k in broadcast_keys(dedup.removals_near(near_items(spark))) if "key#" in k]
+
+
+def test_union_removals_broadcasts_no_turned_hashes(spark):
+    assert not [k for k in broadcast_keys(QUERIES["u2_union_removals"](spark, "/root/testdata/sf0.001")) if "key#" in k]
